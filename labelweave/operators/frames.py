@@ -30,6 +30,12 @@ def extraction_fields(df: DataFrame, text: str = "text") -> list[str]:
     return fields
 
 
+def stacked(df: DataFrame, names: Sequence[str], rows: Sequence[Sequence[Column]]) -> DataFrame:
+    """Turn every input row into several output rows with the given columns."""
+    structs = [F.struct(*[c.alias(n) for n, c in zip(names, row)]) for row in rows]
+    return df.select(F.inline(F.array(*structs)))
+
+
 def is_labelled(labels: str = "labels") -> Column:
     return F.size(labels) > 0
 
@@ -118,28 +124,22 @@ def validation_report(
     """Violations per rule with their number and the first offending row id."""
     blank = F.col(text).isNull() | (lab.strip(text) == "")
     untagged = F.coalesce(F.size(tags) <= 0, F.lit(True))
-    return df.agg(
+    found = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(blank, 1)).alias("n_blank"),
-        F.min(F.when(blank, F.col(row_id))).alias("first_blank"),
+        F.min(F.when(blank, F.col(row_id))).cast("bigint").alias("first_blank"),
         F.count(F.when(untagged, 1)).alias("n_untagged"),
-        F.min(F.when(untagged, F.col(row_id))).alias("first_untagged"),
-    ).select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit("at_least_two_rows").alias("rule"),
-                    F.when(F.col("n") < 2, 1).otherwise(0).cast("bigint").alias("violations"),
-                    F.lit(None).cast("bigint").alias("first_row"),
-                ),
-                F.struct(
-                    F.lit("non_blank_text"), "n_blank", F.col("first_blank").cast("bigint")
-                ),
-                F.struct(
-                    F.lit("at_least_one_tag"), "n_untagged", F.col("first_untagged").cast("bigint")
-                ),
-            )
-        )
+        F.min(F.when(untagged, F.col(row_id))).cast("bigint").alias("first_untagged"),
+    )
+    too_few = F.when(F.col("n") < 2, 1).otherwise(0).cast("bigint")
+    return stacked(
+        found,
+        ["rule", "violations", "first_row"],
+        [
+            (F.lit("at_least_two_rows"), too_few, F.lit(None).cast("bigint")),
+            (F.lit("non_blank_text"), F.col("n_blank"), F.col("first_blank")),
+            (F.lit("at_least_one_tag"), F.col("n_untagged"), F.col("first_untagged")),
+        ],
     )
 
 

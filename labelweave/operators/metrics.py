@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sets import harmonic, ratio
 from ..functions.vectors import sigmoid
+from .frames import stacked
 from .scoring import LabelSide, predicted_array
 
 LOG_LOSS_EPS = 2.220446049250313e-16
@@ -139,13 +140,10 @@ def label_hit_rates(outcomes: DataFrame) -> DataFrame:
 
 def multilabel_metrics(counts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """``f1_micro, f1_macro, subset_accuracy`` as ``metric, value`` rows."""
-    scores = macro_micro(counts).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("f1_micro").alias("metric"), F.col("micro_f1").alias("value")),
-                F.struct(F.lit("f1_macro").alias("metric"), F.col("macro_f1").alias("value")),
-            )
-        )
+    scores = stacked(
+        macro_micro(counts),
+        ["metric", "value"],
+        [(F.lit("f1_micro"), F.col("micro_f1")), (F.lit("f1_macro"), F.col("macro_f1"))],
     )
     exact = row_accuracy(outcomes).select(
         F.lit("subset_accuracy").alias("metric"), F.col("row_accuracy").alias("value")
@@ -164,26 +162,21 @@ def classification_report(counts: DataFrame, outcomes: DataFrame) -> DataFrame:
     def weighted(c: str) -> Column:
         return ratio(F.sum(F.col(c) * F.col("support")), support)
 
-    averages = per_label.agg(
+    totals = per_label.agg(
         support.alias("support"),
         micro_p.alias("mp"),
         micro_r.alias("mr"),
         *[F.avg(c).alias(f"a_{c}") for c in ("precision", "recall", "f1")],
         *[weighted(c).alias(f"w_{c}") for c in ("precision", "recall", "f1")],
-    ).select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit("micro avg").alias("name"),
-                    F.col("mp").alias("precision"),
-                    F.col("mr").alias("recall"),
-                    harmonic(F.col("mp"), F.col("mr")).alias("f1"),
-                    F.col("support"),
-                ),
-                F.struct(F.lit("macro avg"), "a_precision", "a_recall", "a_f1", "support"),
-                F.struct(F.lit("weighted avg"), "w_precision", "w_recall", "w_f1", "support"),
-            )
-        )
+    )
+    averages = stacked(
+        totals,
+        cols,
+        [
+            (F.lit("micro avg"), F.col("mp"), F.col("mr"), harmonic(F.col("mp"), F.col("mr")), F.col("support")),
+            (F.lit("macro avg"), F.col("a_precision"), F.col("a_recall"), F.col("a_f1"), F.col("support")),
+            (F.lit("weighted avg"), F.col("w_precision"), F.col("w_recall"), F.col("w_f1"), F.col("support")),
+        ],
     )
     n_pred = F.col("n_tp") + F.col("n_fp")
     samples = outcomes.agg(

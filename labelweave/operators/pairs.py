@@ -116,7 +116,7 @@ def blocked_contrastive_pairs(
         row_id,
         labels,
         F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int").alias("_salt"),
-        F.explode(F.sequence(F.lit(0), F.lit(top // block_labels))).cast("bigint").alias("_block"),
+        F.explode(F.expr(f"sequence(0L, {top // block_labels}L)")).alias("_block"),
     )
     candidates = F.slice(
         F.array_sort(
