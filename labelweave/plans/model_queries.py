@@ -1 +1,173 @@
-"""Registered below."""
+"""Fits, model scores and searches over the given vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.vectors import plain_zero
+from ..operators import learning, metrics, scoring, search
+from ..operators.ranking import mark_hash_split, test_size
+from ..session import ensure_checkpoint_dir
+from . import views
+from .catalog import query
+from .metric_queries import _SWEEP, rounded
+
+
+def rows(spark, d):
+    return views.vec_labels(spark, d).withColumnRenamed("embedding", "vector")
+
+
+def split_rows(spark, d):
+    """Labelled rows as 70 % train and 30 % test."""
+    labelled = rows(spark, d).filter(F.size("labels") > 0)
+    marked = mark_hash_split(labelled, "vec_id", test_size(0.3), views.SEED).persist()
+    return marked.filter(~F.col("is_test")), marked.filter("is_test")
+
+
+def metric_rows(spark, values: dict, **extra):
+    names = list(extra)
+    data = [(*extra.values(), k, float(v)) for k, v in values.items()]
+    schema = ", ".join(f"{n} string" for n in names) + (", " if names else "")
+    return spark.createDataFrame(data, schema + "metric string, value double")
+
+
+@query("logreg_ovr")
+def logreg_ovr(spark, d):
+    """Weights of one regression per label."""
+    side = views.label_side(spark, d)
+    model = learning.fit_labelwise(rows(spark, d), side, max_iter=100)
+    data = [
+        (k, float(b), [float(x) for x in w])
+        for k, w, b in zip(side.keys, model.weights, model.offsets)
+    ]
+    return spark.createDataFrame(data, "label_key string, offset double, weights array<double>")
+
+
+@query("logreg_pairs")
+def logreg_pairs(spark, d):
+    """Pair regression on the train part, evaluated on the test part."""
+    side = views.label_side(spark, d)
+    train, test = split_rows(spark, d)
+    model = learning.fit_linear_pairs(
+        learning.training_pairs(train, side, "vec_id"), side, max_iter=100
+    )
+    return metric_rows(spark, learning.evaluate(model, test))
+
+
+@query("gbt_pairs")
+def gbt_pairs(spark, d):
+    """Boosted trees on projected pair features: loss per round on both parts."""
+    side = views.label_side(spark, d)
+    train, test = split_rows(spark, d)
+    train_pairs = learning.training_pairs(train, side, "vec_id")
+    test_pairs = learning.training_pairs(test, side, "vec_id")
+    model = learning.fit_boosted_pairs(
+        train_pairs, side, rounds=5, max_depth=3, pca_components=16
+    )
+    curves = learning.loss_curves(model, {"train": train_pairs, "test": test_pairs})
+    return spark.createDataFrame(curves, "split string, round int, loss double")
+
+
+@query("loss_curve")
+def loss_curve(spark, d):
+    """Objective of the pair regression after every iteration."""
+    side = views.label_side(spark, d)
+    model = learning.fit_linear_pairs(
+        learning.training_pairs(rows(spark, d), side, "vec_id"), side, max_iter=50
+    )
+    return spark.createDataFrame(list(enumerate(model.loss_curve)), "iteration int, loss double")
+
+
+@query("pca_project")
+def pca_project(spark, d):
+    """Pair features on their first 8 principal axes."""
+    side = views.label_side(spark, d)
+    train = learning.training_pairs(rows(spark, d), side, "vec_id")
+    from pyspark.ml.functions import vector_to_array
+
+    projected = learning.centred_pca(train, 8).transform(train)
+    return projected.select("vec_id", "label_key", vector_to_array("projected").alias("projected"))
+
+
+@query("grid_search")
+def grid_search(spark, d):
+    """Mean micro F1 per C over three contiguous folds."""
+    side = views.label_side(spark, d)
+    _, best, _, scores = learning.grid_search(
+        rows(spark, d), side, "vec_id", [0.1, 10.0], cv=3, max_iter=50
+    )
+    data = [(c, s, c == best) for c, s in scores]
+    return spark.createDataFrame(data, "C double, micro_f1 double, is_best boolean")
+
+
+@query("model_scores")
+def model_scores(spark, d):
+    """Match probability of every (row, label) from the fitted pair regression."""
+    side = views.label_side(spark, d)
+    model = learning.fit_linear_pairs(
+        learning.training_pairs(rows(spark, d), side, "vec_id"), side, max_iter=50
+    )
+    return scoring.long_scores(model.score_rows(rows(spark, d)), side, ["vec_id"])
+
+
+@query("evaluate_model")
+def evaluate_model(spark, d):
+    """Zero-shot and fitted model on the same test part."""
+    side = views.label_side(spark, d)
+    train, test = split_rows(spark, d)
+    fitted = learning.fit_labelwise(train, side, max_iter=50)
+    zero = learning.CosineModel(side, threshold=views.THRESHOLD)
+    return metric_rows(spark, learning.evaluate(zero, test), model="zero_shot").unionByName(
+        metric_rows(spark, learning.evaluate(fitted, test), model="fitted")
+    )
+
+
+@query(
+    "rethreshold",
+    views.with_views("scores")
+    + _SWEEP.replace("range(99) t(i)", "(VALUES (4), (9), (19)) t(i)")
+    + """SELECT round(threshold, 9) AS threshold, round(macro_f1, 9) AS macro_f1, round(micro_f1, 9) AS micro_f1 FROM s2""",
+)
+def rethreshold(spark, d):
+    """Scores are written once and summed up again for every threshold."""
+    side = views.label_side(spark, d)
+    ensure_checkpoint_dir(spark)
+    snapshot = views.scored(spark, d, side).select("scores", "truth").checkpoint()
+    grid = metrics.threshold_grid()
+    out = None
+    for t in (grid[4], grid[9], grid[19]):
+        counts = metrics.confusion_counts(
+            scoring.long_scores(snapshot, side, [], truth="truth"), t
+        )
+        one = metrics.macro_micro(counts).select(
+            F.lit(t).alias("threshold"), "macro_f1", "micro_f1"
+        )
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query("swarm_search")
+def swarm_search(spark, d):
+    """All evaluations of a small swarm over C and the number of negatives."""
+    side = views.label_side(spark, d)
+    train, test = split_rows(spark, d)
+    found = search.tune_linear_pairs(
+        train,
+        test,
+        side,
+        "vec_id",
+        [
+            {"name": "C", "kind": "log_float", "min": 0.01, "max": 100.0},
+            {"name": "n_neg", "kind": "int", "min": 1, "max": 6},
+        ],
+        particles=2,
+        iterations=1,
+    )
+    data = [
+        (h["iteration"], h["particle"], h["values"]["C"], h["values"]["n_neg"], h["fitness"], h["threshold"])
+        for h in found.history
+    ]
+    return spark.createDataFrame(
+        data,
+        "iteration int, particle int, C double, n_neg int, fitness double, threshold double",
+    )
