@@ -35,14 +35,25 @@ def dot(left: Column | str, right: Column | str) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once.
+
+    Inside a lambda an outer expression would be evaluated again per element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def l2_normalize(vector: Column | str) -> Column:
-    v = _col(vector)
-    length = F.sqrt(
-        F.aggregate(
+    def scaled(v: Column) -> Column:
+        square = F.aggregate(
             v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")
         )
-    )
-    return F.transform(v, lambda x: x.cast("double") / (length + F.lit(1e-12)))
+        return bound(
+            F.sqrt(square) + F.lit(1e-12),
+            lambda length: F.transform(v, lambda x: x.cast("double") / length),
+        )
+
+    return bound(_col(vector), scaled)
 
 
 def pair_features(text: Column | str, label: Column | str, mode: str) -> Column:
@@ -119,8 +130,8 @@ def hashed_tokens(
     """
     token_hash = F.conv(F.substring(F.md5(F.col("token")), 1, 8), 16, 10).cast("bigint")
     tokens = df.select(
-        F.col(row_id), F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\S+"), F.lit(0))).alias("token")
-    )
+        F.col(row_id), F.explode(F.split(F.col(text), r"\s+")).alias("token")
+    ).filter(F.col("token") != "")
     return (
         tokens.select(row_id, (token_hash % F.lit(dims)).cast("int").alias("dim"))
         .groupBy(row_id, "dim")

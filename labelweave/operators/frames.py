@@ -118,11 +118,22 @@ def review_frame(
     )
 
 
+def is_blank(text: str = "text") -> Column:
+    return F.col(text).isNull() | ~F.col(text).rlike(r"\S")
+
+
 def validation_report(
-    df: DataFrame, row_id: str, text: str = "text", tags: str = "labels"
+    df: DataFrame,
+    row_id: str,
+    text: str = "text",
+    tags: str = "labels",
+    blank: Column | None = None,
 ) -> DataFrame:
-    """Violations per rule with their number and the first offending row id."""
-    blank = F.col(text).isNull() | (lab.strip(text) == "")
+    """Violations per rule with their number and the first offending row id.
+
+    ``blank`` is a flag computed ahead, for tables that no longer hold the text.
+    """
+    blank = is_blank(text) if blank is None else blank
     untagged = F.coalesce(F.size(tags) <= 0, F.lit(True))
     found = df.agg(
         F.count(F.lit(1)).alias("n"),
@@ -156,14 +167,23 @@ def nested_examples(df: DataFrame, text: str, fields: Sequence[str], keep: Seque
     return df.select(*keep, text, F.struct(*fields).alias("extracted"))
 
 
+def text_key(text: str = "text") -> Column:
+    """Digest that stands for a whole text in joins and groups, so that texts stay put."""
+    return F.sha2(F.col(text), 256)
+
+
 def without_seen(df: DataFrame, seen: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose text does not occur in ``seen``."""
-    return df.join(seen.select(text).distinct(), text, "left_anti")
+    known = seen.select(text_key(text).alias("_key")).distinct()
+    return df.withColumn("_key", text_key(text)).join(known, "_key", "left_anti").drop("_key")
 
 
 def distinct_texts(df: DataFrame, row_id: str, text: str = "text") -> DataFrame:
-    """One row per text: the smallest row id."""
-    return df.groupBy(text).agg(F.min(row_id).alias(row_id))
+    """``text_key, row_id``: the smallest row id of every text.
+
+    Only digests and ids are shuffled; equal texts are combined before that.
+    """
+    return df.groupBy(text_key(text).alias("text_key")).agg(F.min(row_id).alias(row_id))
 
 
 def aligned(left: DataFrame, right: DataFrame, row_id: str) -> DataFrame:

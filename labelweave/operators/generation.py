@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .frames import without_seen
 from .ranking import hash_cut, hash_number, hash_order
 
@@ -94,6 +95,8 @@ def generate(
     found = unique_texts(filled_templates(tries, "try_id", templates, slots, seed), "try_id")
     if avoid is not None:
         found = without_seen(found, avoid)
+    ensure_checkpoint_dir(spark)
+    found = found.checkpoint()
     have = found.count()
     if have < n:
         raise RuntimeError(f"only {have} unique texts after {n * tries_per_text} tries")

@@ -428,7 +428,10 @@ def evaluate(
     model, rows: DataFrame, threshold: float | None = None, labels: str = "labels", vector: str = "vector"
 ) -> dict[str, float]:
     """Score a labelled table against the model's own classes."""
-    snapshot = score_snapshot(model, rows, [], labels, vector)
-    return snapshot_metrics(
-        snapshot, model.side, model.threshold if threshold is None else threshold
-    )
+    snapshot = score_snapshot(model, rows, [], labels, vector).persist()
+    try:
+        return snapshot_metrics(
+            snapshot, model.side, model.threshold if threshold is None else threshold
+        )
+    finally:
+        snapshot.unpersist()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lab
 from ..functions.vectors import pair_features
+from ..session import ensure_checkpoint_dir
 from .ranking import hash_number, hash_order, rank_within
 from .scoring import BLOCK_LABELS, MAX_LABELS, LabelSide
 
@@ -202,10 +203,14 @@ def same_label_pairs(
         F.explode(F.array_distinct(labels)).alias("_l"),
         hash_order(seed, row_id).alias("_h"),
     )
-    numbered = rank_within(member, ["_l"], "_h", row_id, out="_rn")
-    sizes = member.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"))
+    ensure_checkpoint_dir(texts.sparkSession)
+    numbered = (
+        rank_within(member, ["_l"], "_h", row_id, out="_rn", size="_n")
+        .select(row_id, "_l", "_rn", "_n")
+        .checkpoint()
+    )
     own = (
-        numbered.join(sizes.filter("_n > 1"), "_l")
+        numbered.filter("_n > 1")
         .groupBy(row_id)
         .agg(F.array_sort(F.collect_list(F.struct("_l", "_rn", "_n"))).alias("_own"))
     )
@@ -245,6 +250,7 @@ def other_label_pairs(
     owned = texts.filter(F.size(labels) > 0).select(
         F.col(row_id), F.array_sort(F.array_distinct(labels)).alias("_set")
     )
+    ensure_checkpoint_dir(texts.sparkSession)
     total = owned.count()
     if total < 2:
         return owned.select(
@@ -255,7 +261,7 @@ def other_label_pairs(
         ).limit(0)
     line = rank_within(
         owned.withColumn("_h", hash_order(seed, row_id)), [], "_h", row_id, out="_pos"
-    ).drop("_h")
+    ).drop("_h").checkpoint()
     asked = line.withColumn(
         "iteration", F.explode(F.sequence(F.lit(0), F.lit(num_iterations - 1)))
     )
@@ -271,6 +277,7 @@ def other_label_pairs(
         .filter(~F.arrays_overlap("_set", "_set2"))
         .groupBy(row_id, "iteration")
         .agg(F.min_by("partner_id", "_try").alias("partner_id"))
+        .checkpoint()
     )
     rest = asked.join(hit, [row_id, "iteration"], "left_anti").select(row_id, "iteration", "_set")
     found = hit.select(row_id, "partner_id", F.lit(0).alias("label"), "iteration")

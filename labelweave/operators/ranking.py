@@ -38,18 +38,28 @@ def hash_number(hash_hex: Column) -> Column:
     return F.conv(F.substring(hash_hex, 1, HASH_KEY_DIGITS), 16, 10).cast("bigint")
 
 
-def kth_smallest(df: DataFrame, column: str, k: int) -> tuple[int, int] | None:
+def column_span(df: DataFrame, column: str) -> tuple[int, int, int]:
+    """Smallest value, largest value and number of values of an integer column."""
+    low, high, total = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    return low, high, total
+
+
+def kth_smallest(
+    df: DataFrame, column: str, k: int, span: tuple[int, int, int] | None = None
+) -> tuple[int, int] | None:
     """Exact k-th smallest value (1-based) of an integer column.
 
     Returns the value and the number of rows strictly below it, None when k is
-    out of range. Every pass collects at most ``HISTOGRAM_BINS`` counts.
+    out of range. A pass collects at most ``HISTOGRAM_BINS`` counts; once the bin
+    that holds the answer has few rows, its distinct values end the search.
     """
-    low, high, total = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    low, high, total = span or column_span(df, column)
     if k < 1 or k > total:
         return None
-    below = 0
+    below, inside = 0, total
     while low < high:
-        width = (high - low) // HISTOGRAM_BINS + 1
+        # few rows: count per value; many rows: count per equally wide bin
+        width = 1 if inside <= HISTOGRAM_BINS else (high - low) // HISTOGRAM_BINS + 1
         bins = (
             df.filter(F.col(column).between(low, high))
             .groupBy(F.expr(f"({column} - {low}L) div {width}L").alias("bin"))
@@ -59,6 +69,7 @@ def kth_smallest(df: DataFrame, column: str, k: int) -> tuple[int, int] | None:
         for bin_no, count in sorted((r["bin"], r["count"]) for r in bins):
             if below + count >= k:
                 low, high = low + bin_no * width, min(high, low + (bin_no + 1) * width - 1)
+                inside = count
                 break
             below += count
     return low, below
@@ -116,26 +127,28 @@ def split_by_text(
     df: DataFrame, text: str, fraction: float, seed: int | str = 42, out: str = "is_validation"
 ) -> DataFrame:
     """Mark rows by their text, so that equal texts stay on one side."""
-    texts = df.select(F.md5(text).alias("_t")).distinct()
+    ensure_checkpoint_dir(df.sparkSession)
+    # written once, as the search for the cut reads it several times
+    texts = df.select(F.md5(text).alias("_t")).distinct().checkpoint()
     cut = hash_cut(texts, "_t", validation_size(fraction)(texts.count()), seed)
     return df.withColumn("_t", F.md5(text)).withColumn(out, cut).drop("_t")
 
 
 def mark_prefix(df: DataFrame, row_id: str, fraction: float, out: str = "is_train") -> DataFrame:
     """Mark the first ``int(fraction * n)`` rows by integer row id."""
-    k = int(df.count() * fraction)
-    found = kth_smallest(df, row_id, k)
+    span = column_span(df, row_id)
+    found = kth_smallest(df, row_id, int(span[2] * fraction), span)
     return df.withColumn(out, F.lit(False) if found is None else F.col(row_id) <= found[0])
 
 
 def contiguous_folds(df: DataFrame, row_id: str, k: int, out: str = "fold") -> DataFrame:
     """Unshuffled folds by integer row id; the first ``n % k`` folds are one larger."""
-    n = df.count()
-    size, extra = divmod(n, k)
+    span = column_span(df, row_id)
+    size, extra = divmod(span[2], k)
     ends, at = [], 0
     for i in range(k - 1):
         at += size + (1 if i < extra else 0)
-        found = kth_smallest(df, row_id, at)
+        found = kth_smallest(df, row_id, at, span)
         if found is not None:
             ends.append(found[0])
     passed = [F.when(F.col(row_id) > e, 1).otherwise(0) for e in ends]
@@ -180,21 +193,24 @@ def rank_within(
     row_id: str,
     out: str = "rn",
     digits: int = 3,
+    size: str | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 1 in (hash, row_id) order.
 
     A group is cut into ``16**digits`` hash ranges that are ranked on their own
-    and shifted by the counts before them, so a hot group uses many tasks.
+    and shifted by the counts before them, so a hot group uses many tasks. ``size``
+    names a column for the number of rows of the group.
     """
     cut = df.withColumn("_b", F.substring(order_hash, 1, digits))
     group = [*keys, "_b"]
     before = (
         Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     )
+    all_of = [F.sum("_n").over(Window.partitionBy(*keys)).alias(size)] if size else []
     offsets = (
         cut.groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *all_of)
     )
     local = F.row_number().over(Window.partitionBy(*group).orderBy(order_hash, row_id))
     return (

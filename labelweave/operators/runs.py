@@ -72,6 +72,7 @@ def lineage(model_versions: DataFrame, runs: DataFrame, version: int | None = No
     if version is not None:
         wanted = model_versions.filter(F.col("version") == version)
     else:
-        newest = F.max(F.struct("version", "run_id")).alias("_v")
-        wanted = model_versions.groupBy("name").agg(newest).select("name", "_v.version", "_v.run_id")
+        wanted = model_versions.groupBy("name").agg(
+            F.max_by("run_id", "version").alias("run_id"), F.max("version").alias("version")
+        )
     return wanted.select("name", "version", "run_id").join(runs.select("run_id", "params"), "run_id")

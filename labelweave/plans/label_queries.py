@@ -145,10 +145,11 @@ def _guessed(spark, d):
     guess = F.array_sort(
         F.array(
             F.lit("lang::en"),
-            F.when(F.length("text") >= 500, "quality::good").otherwise("quality::bad"),
+            F.when(F.col("long"), "quality::good").otherwise("quality::bad"),
         )
     )
-    return views.labelled_docs(spark, d).select("doc_id", "labels", guess.alias("guess"))
+    docs = views.labelled_docs(spark, d, (F.length("text") >= 500).alias("long"))
+    return docs.select("doc_id", "labels", guess.alias("guess"))
 
 
 @query(
@@ -219,7 +220,8 @@ UNION ALL SELECT 'at_least_one_tag', count(*) FILTER (len(labels) = 0),
   min(doc_id) FILTER (len(labels) = 0) FROM labelled_docs""",
 )
 def validation_report(spark, d):
-    return frames.validation_report(views.labelled_docs(spark, d), "doc_id")
+    docs = views.labelled_docs(spark, d, frames.is_blank().alias("blank"))
+    return frames.validation_report(docs, "doc_id", blank=F.col("blank"))
 
 
 @query(
@@ -363,10 +365,13 @@ def anti_seen_texts(spark, d):
     return frames.without_seen(docs, views.table(spark, d, "benchmark")).select("doc_id")
 
 
-@query("distinct_texts", "SELECT md5(text) AS text_md5, min(doc_id) AS doc_id FROM documents GROUP BY text")
+@query(
+    "distinct_texts",
+    "SELECT sha256(text) AS text_key, min(doc_id) AS doc_id FROM documents GROUP BY text",
+)
 def distinct_texts(spark, d):
     docs = views.table(spark, d, "documents")
-    return frames.distinct_texts(docs, "doc_id").select(F.md5("text").alias("text_md5"), "doc_id")
+    return frames.distinct_texts(docs, "doc_id")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as lab
@@ -30,8 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, text, lang, source, labels``; documents without judgement have no labels."""
+def labelled_docs(spark: SparkSession, sf_dir: str, *values: Column) -> DataFrame:
+    """``doc_id, lang, labels`` and the given values of a document.
+
+    Documents without judgement have no labels. Values are taken before the join,
+    so that a text is never shuffled for something that is read off it.
+    """
     judged = table(spark, sf_dir, "labels").withColumn("_j", F.lit(True))
     keys = F.array_sort(
         F.array(
@@ -42,14 +46,11 @@ def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             lab.label_key(F.lit("safety"), F.when(F.col("toxic") == 1, "toxic").otherwise("clean")),
         )
     )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", *values)
     return (
-        table(spark, sf_dir, "documents")
-        .join(judged, "doc_id", "left")
+        docs.join(judged, "doc_id", "left")
         .select(
-            "doc_id",
-            "text",
-            "lang",
-            "source",
+            *docs.columns,
             F.when(F.col("_j"), keys).otherwise(lab.empty_labels()).alias("labels"),
         )
     )
@@ -78,17 +79,13 @@ def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One exemplar vector per label: that of the smallest vec_id."""
-    return (
-        table(spark, sf_dir, "embeddings")
-        .groupBy(F.col("label").alias("label_idx"))
-        .agg(F.min_by("embedding", "vec_id").alias("vector_label"))
-        .select(
-            "label_idx",
-            F.concat(
-                F.lit("c"), F.col("label_idx") % 3, F.lit("::l"), F.col("label_idx")
-            ).alias("label_key"),
-            "vector_label",
-        )
+    emb = table(spark, sf_dir, "embeddings")
+    # ids first: the vectors themselves are neither sorted nor shuffled
+    first = emb.groupBy("label").agg(F.min("vec_id").alias("vec_id")).select("vec_id")
+    return emb.join(first, "vec_id", "left_semi").select(
+        F.col("label").alias("label_idx"),
+        F.concat(F.lit("c"), F.col("label") % 3, F.lit("::l"), F.col("label")).alias("label_key"),
+        F.col("embedding").alias("vector_label"),
     )
 
 
