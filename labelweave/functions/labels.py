@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 KEY_SEPARATOR = "::"
+# all characters that count as white space in Python text, beyond ASCII too
+WHITE_SPACE = r"[\s\x1c-\x1f]"
+_ENDS = rf"(?U)^{WHITE_SPACE}+|{WHITE_SPACE}+\z"
 NO_LABELS = "cast(array() as array<string>)"
 
 
@@ -21,7 +24,7 @@ def empty_labels() -> Column:
 
 def strip(value: Column | str) -> Column:
     """Strip all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(_col(value), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(value), _ENDS, "")
 
 
 def parse_delimited(value: Column | str) -> Column:

@@ -119,7 +119,7 @@ def review_frame(
 
 
 def is_blank(text: str = "text") -> Column:
-    return F.col(text).isNull() | ~F.col(text).rlike(r"\S")
+    return F.col(text).isNull() | F.col(text).rlike(rf"(?U)\A{lab.WHITE_SPACE}*\z")
 
 
 def validation_report(

@@ -59,6 +59,17 @@ def encode_texts(
     return df.withColumn(out, encoder_column(F.col(text), make_encoder, batch_size, normalize))
 
 
+def as_text_frame(spark: SparkSession, texts) -> DataFrame:
+    """``row_id, text`` from a table, a pandas Series or a list of texts.
+
+    Lists and Series are for ad-hoc texts; tables keep their own columns.
+    """
+    if isinstance(texts, DataFrame):
+        return texts
+    rows = [(i, None if t is None else str(t)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "row_id bigint, text string")
+
+
 def embed_labels(
     spark: SparkSession,
     taxonomy: Mapping[str, Mapping[str, str]],

@@ -63,7 +63,7 @@ def logistic(
 def linear_scores(weights: np.ndarray, offsets: Sequence[float], vector: str) -> Column:
     """Array of probabilities: sigmoid of the linear scores of a vector."""
     logits = score_against(np.asarray(weights))(F.col(vector))
-    shift = F.array(*[F.lit(float(o)) for o in offsets])
+    shift = F.lit(np.asarray(offsets, dtype=np.float64))
     return F.zip_with(logits, shift, lambda x, o: sigmoid(x + o))
 
 
@@ -255,9 +255,8 @@ class BoostedPairModel:
 
     def _side_by_side(self, df: DataFrame, vector: str, out: str) -> DataFrame:
         rows = df
-        for i, label in enumerate(self.side.vectors):
-            fixed = F.array(*[F.lit(float(x)) for x in label])
-            features = array_to_vector(pair_features(vector, fixed, self.mode))
+        for i, label in enumerate(self.side.matrix):
+            features = array_to_vector(pair_features(vector, F.lit(label), self.mode))
             scored = self.fitted.transform(rows.withColumn("features", features))
             rows = scored.select(
                 *rows.columns, vector_to_array("probability")[1].alias(f"_score{i}")
@@ -268,7 +267,7 @@ class BoostedPairModel:
 
 def label_literal(side: LabelSide) -> Column:
     """The label vectors as an array of arrays."""
-    return F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in side.vectors])
+    return F.array(*[F.lit(v) for v in side.matrix])
 
 
 def training_pairs(
@@ -387,6 +386,32 @@ def fit_boosted_pairs(
     return BoostedPairModel(side, mode, fitted)
 
 
+def fitted_or_zero_shot(model, side: LabelSide, threshold: float = 0.5):
+    """The model, or similarity scores as long as there is none."""
+    return CosineModel(side, threshold) if model is None else model
+
+
+def pair_fit_summary(model, train: DataFrame, validation: DataFrame | None = None) -> dict[str, float]:
+    """Pair counts and mean losses of a fit; the losses are NaN when nothing was fitted."""
+
+    def mean_loss(rows: DataFrame | None) -> float:
+        if model is None or rows is None:
+            return math.nan
+        scored = model.fitted.transform(rows).select(
+            vector_to_array("probability")[1].alias("score"), (F.col("label") == 1.0).alias("truth")
+        )
+        value = metrics.pair_log_loss(scored).first()[0]
+        return math.nan if value is None else value
+
+    return {
+        "fitted": float(model is not None),
+        "n_pairs": float(train.count()),
+        "n_eval_pairs": float(0 if validation is None else validation.count()),
+        "mean_loss": mean_loss(train),
+        "mean_val_loss": mean_loss(validation),
+    }
+
+
 def loss_curves(model: BoostedPairModel, tables: dict[str, DataFrame]) -> list[tuple[str, int, float]]:
     """Loss after every boosting round on each table: (split, round, loss)."""
     trees = model.fitted.stages[-1]

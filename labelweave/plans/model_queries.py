@@ -78,6 +78,15 @@ def loss_curve(spark, d):
     return spark.createDataFrame(list(enumerate(model.loss_curve)), "iteration int, loss double")
 
 
+@query("pair_fit_summary")
+def pair_fit_summary(spark, d):
+    """Pair counts and mean losses of the pair regression on both parts."""
+    side = views.label_side(spark, d)
+    train, test = (learning.training_pairs(part, side, "vec_id") for part in split_rows(spark, d))
+    model = learning.fit_linear_pairs(train, side, max_iter=50)
+    return metric_rows(spark, learning.pair_fit_summary(model, train, test))
+
+
 @query("pca_project")
 def pca_project(spark, d):
     """Pair features on their first 8 principal axes."""

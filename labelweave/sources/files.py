@@ -37,9 +37,11 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
-def read_json_array(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A file holding one JSON array of records."""
-    reader = spark.read.option("multiLine", True)
+def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """One JSON array of records, or JSON lines; the first character tells which."""
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    is_array = first is not None and first["value"].lstrip().startswith("[")
+    reader = spark.read.option("multiLine", is_array)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
@@ -56,7 +58,7 @@ def read_parquet(spark: SparkSession, path: str, schema=None) -> DataFrame:
 READERS = {
     ".csv": read_csv,
     ".parquet": read_parquet,
-    ".json": read_json_array,
+    ".json": read_json,
     ".jsonl": read_json_lines,
 }
 
@@ -114,7 +116,7 @@ def write_vocabulary(df: DataFrame, path: str, labels: str = "labels") -> None:
 
 def _saved(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return read_json_lines(spark, path) if extension(path) == ".json" else read_table(spark, path)
+        return read_table(spark, path)
     except AnalysisException:
         return None
 

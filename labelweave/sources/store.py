@@ -27,6 +27,10 @@ RUN_SCHEMA = (
     "run_id string, type string, name string, version int, start_time timestamp, path string, "
     "signature string, tags map<string,string>, params map<string,string>, metrics map<string,double>"
 )
+ROUND_SCHEMA = (
+    "round int, n_pairs bigint, epochs int, labeled_total bigint, mean_loss double, "
+    "macro_f1 double, micro_f1 double"
+)
 RESERVED_TAGS = ("type", "use_case", "name", "version")
 SLUG = re.compile(r"[a-z0-9][a-z0-9_-]*")
 
@@ -45,14 +49,17 @@ class Store:
 
     # -- run table ---------------------------------------------------------
 
-    def runs(self) -> DataFrame:
-        """The run table; empty when nothing was submitted yet."""
+    def _read_or_empty(self, folder: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(RUN_SCHEMA).parquet(f"{self.base}/runs")
+            return self.spark.read.schema(schema).parquet(f"{self.base}/{folder}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], RUN_SCHEMA)
+            return self.spark.createDataFrame([], schema)
+
+    def runs(self) -> DataFrame:
+        """The run table; empty when nothing was submitted yet."""
+        return self._read_or_empty("runs", RUN_SCHEMA)
 
     def _append(
         self,
@@ -213,13 +220,12 @@ class Store:
     ) -> None:
         """One row per training round, written once its scores are known."""
         row = (round_no, n_pairs, epochs, labelled_total, mean_loss, macro_f1, micro_f1)
-        schema = (
-            "round int, n_pairs bigint, epochs int, labeled_total bigint, mean_loss double, "
-            "macro_f1 double, micro_f1 double"
-        )
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(
+        self.spark.createDataFrame([row], ROUND_SCHEMA).coalesce(1).write.mode("append").parquet(
             f"{self.base}/rounds"
         )
 
     def rounds(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/rounds").orderBy("round")
+        return self._read_or_empty("rounds", ROUND_SCHEMA).orderBy("round")
+
+    def next_round(self) -> int:
+        return (self.rounds().agg(F.max("round")).first()[0] or 0) + 1

@@ -6,10 +6,12 @@ same functions run on tables and, where noted, on streams.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.labels import empty_labels
 from ..operators.running import RANGE, previous_value, running_max, running_sum, with_ranges
 from ..session import ensure_checkpoint_dir
 
@@ -162,14 +164,56 @@ def write_fold(root: str):
     return sink
 
 
+def _compacted(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{root}/compacted")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_folds(spark: SparkSession, root: str, before_batch: int | None = None) -> DataFrame:
-    """The merged fold of all written batches, or of those before a batch."""
+    """The merged fold of all written batches, or of those before a batch.
+
+    Starts from the newest compacted fold that fits and adds the later batches.
+    """
     folds = spark.read.option("basePath", f"{root}/folds").parquet(f"{root}/folds/batch=*")
     if before_batch is not None:
         folds = folds.filter(F.col("batch") < before_batch)
+    compacted = _compacted(spark, root)
+    if compacted is not None:
+        if before_batch is not None:
+            compacted = compacted.filter(F.col("upto") < before_batch)
+        upto = compacted.agg(F.max("upto")).first()[0]
+        if upto is not None:
+            folds = folds.filter(F.col("batch") > upto).drop("batch")
+            folds = folds.unionByName(compacted.filter(F.col("upto") == upto).drop("upto"))
     return merge_folds(folds)
 
 
+def compact_folds(spark: SparkSession, root: str) -> int:
+    """Write the merged fold of all batches so far; returns the last batch in it."""
+    written = spark.read.option("basePath", f"{root}/folds").parquet(f"{root}/folds/batch=*")
+    upto = written.agg(F.max("batch")).first()[0]
+    merged = read_folds(spark, root, upto + 1)
+    merged.write.mode("overwrite").parquet(f"{root}/compacted/upto={upto}")
+    return upto
+
+
+def with_current_labels(texts: DataFrame, fold: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Texts with the labels of a fold; rows without edits have none."""
+    now = current_edits(fold).withColumnRenamed("row_id", row_id)
+    joined = texts.drop("labels").join(now, row_id, "left")
+    return joined.withColumn("labels", F.coalesce("labels", empty_labels()))
+
+
+def publish_labels(store, name: str, texts: DataFrame, root: str, row_id: str = "row_id") -> int:
+    """Write the texts with their labels as the next version of a dataset."""
+    folds = read_folds(texts.sparkSession, root)
+    return store.submit_dataset(with_current_labels(texts, folds, row_id), name)
+
+
 def start_labelling(stream: DataFrame, root: str) -> StreamingQuery:
     """Keep folding arriving edits under ``root``; read them with ``read_folds``."""
     return (

@@ -92,6 +92,27 @@ def test_streamed_fold(spark, tmp_path, edits):
     assert again == got
 
 
+def test_compacted_folds_and_published_labels(spark, tmp_path, edits):
+    from labelweave.sources.store import Store
+
+    root = str(tmp_path / "fold")
+    for batch in range(4):
+        if batch == 3:
+            assert ev.compact_folds(spark, root) == 2
+        part = spark.createDataFrame(edits[batch * 150 : (batch + 1) * 150], ev.EVENT_SCHEMA)
+        ev.write_fold(root)(part, batch)
+    want = replay(edits, 0)[0]
+    got = {r["row_id"]: r["labels"] for r in ev.current_edits(ev.read_folds(spark, root)).collect()}
+    assert got == want
+    early = ev.current_edits(ev.read_folds(spark, root, 2)).collect()
+    assert {r["row_id"]: r["labels"] for r in early} == replay(edits[:300], 0)[0]
+    texts = spark.range(90).select(F.col("id").alias("row_id"), F.lit("t").alias("text"))
+    store = Store(spark, str(tmp_path / "store"), "demo")
+    assert ev.publish_labels(store, "labelled", texts, root) == 1
+    saved = {r["row_id"]: r["labels"] for r in store.get_dataset("labelled").collect()}
+    assert saved == {i: want.get(i, []) for i in range(90)}
+
+
 def test_stateful_fold_on_stream(spark, tmp_path, edits):
     folded = ev.fold_edits(file_stream(spark, tmp_path, edits, 3))
     q = folded.writeStream.outputMode("complete").format("memory").queryName("folded").trigger(availableNow=True).start()

@@ -22,6 +22,11 @@ def test_literal_and_any_labels(col):
     assert out == [["a"], ["b"], ["c", "d"]]
 
 
+def test_strip_equals_python(col):
+    values = [" a b ", "\u00a0x\u3000", "\x1cq\x85", "\u2003", "\n\ty\r\n", "z\n\n", ""]
+    assert col(values, "string", lab.strip("v")) == [v.strip() for v in values]
+
+
 def test_keys_and_names(col):
     assert col(["a::b", "b", "a::b::c"], "string", lab.label_name("v")) == ["b", "b", "c"]
     assert col(["x"], "string", lab.label_key("v", F.lit("y"))) == ["x::y"]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from labelweave.functions import text, vectors
 from labelweave.operators import extraction, inference, learning, search
 from labelweave.operators.scoring import LabelSide
-from labelweave.plans import train_submit
+from labelweave.plans import active_round, train_submit
 from labelweave.sources.store import Store
 
 D = 6
@@ -182,6 +182,46 @@ def test_rethreshold_equals_rescoring(rows, side):
         )
 
 
+def test_fit_summary_and_fallback(rows, side):
+    train = learning.training_pairs(rows, side, "row_id", n_neg=2)
+    model = learning.fit_linear_pairs(train, side, max_iter=20)
+    found = learning.pair_fit_summary(model, train, train)
+    assert found["fitted"] == 1.0 and found["n_pairs"] == found["n_eval_pairs"] == train.count()
+    assert 0 < found["mean_loss"] < 1 and found["mean_loss"] == pytest.approx(found["mean_val_loss"])
+    empty = learning.pair_fit_summary(None, train)
+    assert empty["fitted"] == 0.0 and np.isnan(empty["mean_loss"])
+    assert isinstance(learning.fitted_or_zero_shot(None, side), learning.CosineModel)
+    assert learning.fitted_or_zero_shot(model, side) is model
+
+
+def test_active_rounds(spark, tmp_path, rows, side):
+    store = Store(spark, str(tmp_path), "demo")
+    nothing = rows.withColumn("labels", F.expr("cast(array() as array<string>)"))
+    first = active_round.run_round(store, nothing, rows, side, threshold=0.3)
+    assert first.number == 0 and isinstance(first.model, learning.CosineModel)
+    assert store.get_dataset("queue").count() == 120
+    some = rows.withColumn("labels", F.when(F.col("row_id") < 60, F.col("labels")).otherwise(F.expr("cast(array() as array<string>)")))
+    open_rows = some.filter("size(labels) = 0").count()
+    for number in (1, 2):
+        done = active_round.run_round(store, some, rows, side)
+        assert done.number == number and done.queue_version == number + 1
+    assert store.get_dataset("queue").count() == open_rows
+    table = store.rounds().collect()
+    assert [r["round"] for r in table] == [1, 2]
+    assert table[0]["macro_f1"] == pytest.approx(done.metrics["macro_f1"])
+    assert table[0]["labeled_total"] == 120 - open_rows
+
+
+def test_ad_hoc_texts(spark, side):
+    import pandas as pd
+
+    for texts in (["x", None], pd.Series(["x", None])):
+        rows = inference.as_text_frame(spark, texts).orderBy("row_id").collect()
+        assert [r["text"] for r in rows] == ["x", None]
+    table = spark.createDataFrame([("y",)], "text string")
+    assert inference.as_text_frame(spark, table) is table
+
+
 def test_swarm_decoding():
     specs = [
         {"name": "depth", "kind": "int", "min": 2, "max": 8},

@@ -30,7 +30,7 @@ def rows_of(df):
     return sorted((r["text"], r["labels"]) for r in df.select("text", "labels").collect())
 
 
-@pytest.mark.parametrize("name", ["t.csv", "t.parquet", "t.jsonl"])
+@pytest.mark.parametrize("name", ["t.csv", "t.parquet", "t.jsonl", "t.json"])
 def test_round_trip(spark, tmp_path, table, name):
     path = str(tmp_path / name)
     files.write_table(table, path)
