@@ -96,10 +96,15 @@ def class_array(classes: Sequence[str]) -> Column:
     return F.array(*[F.lit(c) for c in classes])
 
 
+def has_label(labels: Column, key: Column | str) -> Column:
+    """True or false, also for NULL label arrays and NULL items."""
+    return F.coalesce(F.array_contains(labels, key), F.lit(False))
+
+
 def multi_hot(labels: Column | str, classes: Sequence[str]) -> Column:
     """0/1 per class in class order; labels outside the classes are ignored."""
     have = _col(labels)
-    return F.transform(class_array(classes), lambda c: F.array_contains(have, c).cast("int"))
+    return F.transform(class_array(classes), lambda c: has_label(have, c).cast("int"))
 
 
 def decode_multi_hot(hot: Column | str, classes: Sequence[str]) -> Column:

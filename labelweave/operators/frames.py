@@ -37,7 +37,8 @@ def stacked(df: DataFrame, names: Sequence[str], rows: Sequence[Sequence[Column]
 
 
 def is_labelled(labels: str = "labels") -> Column:
-    return F.size(labels) > 0
+    """True for rows with at least one label; NULL labels are no labels."""
+    return F.coalesce(F.size(labels) > 0, F.lit(False))
 
 
 def labelled_rows(df: DataFrame, labels: str = "labels") -> DataFrame:
@@ -87,7 +88,7 @@ def with_parsed_labels(df: DataFrame, labels: str = "labels") -> DataFrame:
 
 
 def one_hot_columns(keys: Sequence[str], labels: str = "labels") -> list[Column]:
-    return [F.array_contains(labels, k).alias(k) for k in keys]
+    return [lab.has_label(F.col(labels), k).alias(k) for k in keys]
 
 
 def as_one_hot(df: DataFrame, keys: Sequence[str], labels: str = "labels") -> DataFrame:

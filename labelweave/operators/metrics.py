@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sets import harmonic, ratio
 from ..functions.vectors import sigmoid
-from .frames import stacked
+from .frames import is_labelled, stacked
 from .scoring import LabelSide, predicted_array
 
 LOG_LOSS_EPS = 2.220446049250313e-16
@@ -372,8 +372,8 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
 def label_progress(rows: DataFrame, labels: str = "labels") -> DataFrame:
     """Labelled and remaining row counts."""
     return rows.agg(
-        _count(F.size(labels) > 0).alias("n_labeled"),
-        _count(F.size(labels) == 0).alias("n_remaining"),
+        _count(is_labelled(labels)).alias("n_labeled"),
+        _count(~is_labelled(labels)).alias("n_remaining"),
     )
 
 

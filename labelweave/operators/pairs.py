@@ -168,7 +168,7 @@ def all_pairs(
     flagged = F.transform(
         lab.class_array(keys),
         lambda k: F.struct(
-            k.alias("label_key"), F.array_contains(have, k).cast("int").alias("label")
+            k.alias("label_key"), lab.has_label(have, k).cast("int").alias("label")
         ),
     )
     return texts.select(row_id, *keep, F.inline(flagged))

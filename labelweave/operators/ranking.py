@@ -186,6 +186,13 @@ def global_rank(
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi join in which NULL keys meet each other, so that no row is lost."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def rank_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -214,8 +221,7 @@ def rank_within(
     )
     local = F.row_number().over(Window.partitionBy(*group).orderBy(order_hash, row_id))
     return (
-        cut.withColumn("_at", local)
-        .join(offsets, group)
+        join_null_safe(cut.withColumn("_at", local), offsets, group)
         .withColumn(out, F.col("_at") + F.col("_before"))
         .drop("_b", "_at", "_before")
     )

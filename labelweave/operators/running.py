@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import join_null_safe
+
 RANGE = "_range"
 QUANTILE_ACCURACY = 10_000
 
@@ -55,8 +57,7 @@ def running_sum(
     )
     carry = _carried(df, keys, F.sum(v), F.sum, 0)
     return (
-        df.withColumn("_local", F.sum(v).over(local))
-        .join(carry, [*keys, RANGE])
+        join_null_safe(df.withColumn("_local", F.sum(v).over(local)), carry, [*keys, RANGE])
         .withColumn(out, F.col("_local") + F.col("_carry"))
         .drop("_local", "_carry")
     )
@@ -73,8 +74,7 @@ def running_max(
     )
     carry = _carried(df, keys, F.max(value), F.max, None)
     return (
-        df.withColumn("_local", F.max(value).over(local))
-        .join(carry, [*keys, RANGE])
+        join_null_safe(df.withColumn("_local", F.max(value).over(local)), carry, [*keys, RANGE])
         .withColumn(out, F.greatest("_local", "_carry"))
         .drop("_local", "_carry")
     )
@@ -91,8 +91,7 @@ def previous_value(
         *keys, RANGE, F.last("_t", ignorenulls=True).over(earlier).alias("_carry")
     )
     return (
-        df.withColumn("_local", F.lag(value).over(local))
-        .join(carry, [*keys, RANGE])
+        join_null_safe(df.withColumn("_local", F.lag(value).over(local)), carry, [*keys, RANGE])
         .withColumn(out, F.coalesce("_local", "_carry"))
         .drop("_local", "_carry")
     )

@@ -88,12 +88,17 @@ def label_transitions(events: DataFrame, ranges: int | None = None) -> DataFrame
     counted = running_sum(steps, ["row_id", "epoch"], "seq", "delta", "n")
     change = (F.col("n") > 0).cast("int") - ((F.col("n") - F.col("delta")) > 0).cast("int")
     toggled = counted.select("seq", "row_id", RANGE, change.alias("change"))
-    ended = steps.groupBy("row_id", (F.col("epoch") + 1).alias("epoch")).agg(
-        F.sum("delta").alias("left")
-    )
+    ended = steps.groupBy(
+        F.col("row_id").alias("ended_row"), (F.col("epoch") + 1).alias("ended_epoch")
+    ).agg(F.sum("delta").alias("left"))
     cleared = (
         epochs.filter(F.col("action") == "clear")
-        .join(ended, ["row_id", "epoch"], "left")
+        .join(
+            ended,
+            F.col("row_id").eqNullSafe(F.col("ended_row"))
+            & (F.col("epoch") == F.col("ended_epoch")),
+            "left",
+        )
         .select(
             "seq",
             "row_id",

@@ -158,3 +158,9 @@ def test_scoring_on_a_stream_equals_the_batch(spark, tmp_path):
     batch = plan(spark.read.parquet(folder))
     assert batch.columns == ["row_id", "sim::s::x", "sim::s::y", "s::x", "s::y", "cat_sim::s", "cat::s"]
     assert sorted(map(tuple, spark.table("scored").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_edits_without_a_row_are_kept(spark):
+    edits = [(0, None, "t::a", "on"), (1, 1, "t::a", "on"), (2, None, None, "clear"), (3, None, "t::b", "on")]
+    got = ev.retrain_rounds(spark.createDataFrame(edits, ev.EVENT_SCHEMA), 10, 2).orderBy("seq").collect()
+    assert [r["labelled_total"] for r in got] == [1, 2, 1, 2]

@@ -133,3 +133,13 @@ def test_alignment_by_id_not_position(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "row_id int, text string")
     b = spark.createDataFrame([(2, 20), (1, 10)], "row_id int, n int")
     assert {(r["text"], r["n"]) for r in frames.aligned(a, b, "row_id").collect()} == {("x", 10), ("y", 20)}
+
+
+def test_missing_labels_count_as_none(spark):
+    df = spark.createDataFrame(
+        [(0, ["a"]), (1, []), (2, None), (3, ["b", None])], "row_id int, labels array<string>"
+    )
+    assert frames.labelled_rows(df).count() == 2 and frames.unlabelled_rows(df).count() == 2
+    assert [r[0] for r in df.orderBy("row_id").select(lab.multi_hot("labels", ["a"])).collect()] == [[1], [0], [0], [0]]
+    hot = frames.as_one_hot(df, ["a"]).orderBy("row_id").collect()
+    assert [r["a"] for r in hot] == [True, False, False, False]

@@ -188,3 +188,10 @@ def test_generated_texts(spark):
     with pytest.raises(KeyError):
         generation.fill_slots("{none}", slots, 1, "id", "b")
 
+
+
+def test_rank_within_keeps_rows_without_a_group(spark):
+    df = spark.createDataFrame([(1, "g"), (2, None), (3, None)], "id bigint, g string")
+    df = df.withColumn("h", ranking.hash_order(1, "id"))
+    got = {r["id"]: (r["rn"], r["n"]) for r in ranking.rank_within(df, ["g"], "h", "id", size="n").collect()}
+    assert got[1] == (1, 1) and sorted([got[2], got[3]]) == [(1, 2), (2, 2)]
