@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import as_column, bound
+
 KEY_SEPARATOR = "::"
 # all characters that count as white space in Python text, beyond ASCII too
 WHITE_SPACE = r"[\s\x1c-\x1f]"
@@ -14,22 +16,18 @@ _ENDS = rf"(?U)^{WHITE_SPACE}+|{WHITE_SPACE}+\z"
 NO_LABELS = "cast(array() as array<string>)"
 
 
-def _col(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
-
-
 def empty_labels() -> Column:
     return F.expr(NO_LABELS)
 
 
 def strip(value: Column | str) -> Column:
     """Strip all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(_col(value), _ENDS, "")
+    return F.regexp_replace(as_column(value), _ENDS, "")
 
 
 def parse_delimited(value: Column | str) -> Column:
     """``"a; b,c"`` -> ``[a, b, c]``; order and repeats are kept, blanks dropped."""
-    parts = F.transform(F.split(_col(value), "[,;]"), strip)
+    parts = F.transform(F.split(as_column(value), "[,;]"), strip)
     return F.coalesce(F.filter(parts, lambda x: x != ""), empty_labels())
 
 
@@ -67,26 +65,26 @@ def parse_any(value: Column | str) -> Column:
 
 
 def label_key(category: Column | str, label: Column | str) -> Column:
-    return F.concat_ws(KEY_SEPARATOR, _col(category), _col(label))
+    return F.concat_ws(KEY_SEPARATOR, as_column(category), as_column(label))
 
 
 def label_name(key: Column | str) -> Column:
     """The part of a key after the last separator."""
-    return F.element_at(F.split(_col(key), KEY_SEPARATOR), -1)
+    return F.element_at(F.split(as_column(key), KEY_SEPARATOR), -1)
 
 
 def label_names(keys: Column | str) -> Column:
-    return F.transform(_col(keys), label_name)
+    return F.transform(as_column(keys), label_name)
 
 
 def label_text(label: Column | str, description: Column | str) -> Column:
     """The text that stands for a label when it is embedded."""
-    return F.concat(_col(label), F.lit(". "), _col(description))
+    return F.concat(as_column(label), F.lit(". "), as_column(description))
 
 
 def normalize_tags(tags: Column | str) -> Column:
     """Strip, drop blanks and NULLs, keep the first of each repeat."""
-    stripped = F.transform(_col(tags), strip)
+    stripped = F.transform(as_column(tags), strip)
     return F.array_distinct(F.filter(stripped, lambda x: x.isNotNull() & (x != "")))
 
 
@@ -101,21 +99,30 @@ def has_label(labels: Column, key: Column | str) -> Column:
     return F.coalesce(F.array_contains(labels, key), F.lit(False))
 
 
+def label_flags(labels: Column | str, classes: Sequence[str]) -> Column:
+    """Boolean per class in class order; labels outside the classes are ignored."""
+    return bound(
+        as_column(labels),
+        lambda have: F.transform(class_array(classes), lambda c: has_label(have, c)),
+    )
+
+
 def multi_hot(labels: Column | str, classes: Sequence[str]) -> Column:
     """0/1 per class in class order; labels outside the classes are ignored."""
-    have = _col(labels)
-    return F.transform(class_array(classes), lambda c: has_label(have, c).cast("int"))
+    return F.transform(label_flags(labels, classes), lambda b: b.cast("int"))
 
 
 def decode_multi_hot(hot: Column | str, classes: Sequence[str]) -> Column:
     """Names of the classes that are set, in class order."""
-    bits = _col(hot)
-    return F.filter(class_array(classes), lambda c, i: F.get(bits, i) == 1)
+    names = F.zip_with(
+        class_array(classes), as_column(hot), lambda c, bit: F.when(bit == 1, c)
+    )
+    return F.filter(names, lambda c: c.isNotNull())
 
 
 def same_set(left: Column | str, right: Column | str) -> Column:
-    return F.array_sort(F.array_distinct(_col(left))) == F.array_sort(
-        F.array_distinct(_col(right))
+    return F.array_sort(F.array_distinct(as_column(left))) == F.array_sort(
+        F.array_distinct(as_column(right))
     )
 
 
@@ -124,7 +131,7 @@ def matches_query(haystack: Column | str, query: str) -> Column:
     terms = query.lower().split()
     if not terms:
         return F.lit(True)
-    text = F.lower(_col(haystack))
+    text = F.lower(as_column(haystack))
     hit = F.contains(text, F.lit(terms[0]))
     for term in terms[1:]:
         hit = hit & F.contains(text, F.lit(term))
@@ -133,5 +140,5 @@ def matches_query(haystack: Column | str, query: str) -> Column:
 
 def is_slug(value: Column | str) -> Column:
     """Lower-case slug without a double underscore and without a trailing newline."""
-    text = _col(value)
+    text = as_column(value)
     return text.rlike(r"^[a-z0-9][a-z0-9_-]*\z") & ~F.contains(text, F.lit("__"))

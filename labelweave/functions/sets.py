@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import as_column
 from .labels import strip
 
 
-def _col(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
-
-
 def ratio(top: Column, bottom: Column) -> Column:
     """Division where an empty denominator counts as zero."""
     return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
@@ -23,8 +20,8 @@ def harmonic(precision: Column, recall: Column) -> Column:
 
 def set_f1(gold: Column | str, got: Column | str) -> Column:
     """F1 of two label sets; two empty sets score 1."""
-    g = F.array_distinct(F.coalesce(_col(gold), F.expr("cast(array() as array<string>)")))
-    p = F.array_distinct(F.coalesce(_col(got), F.expr("cast(array() as array<string>)")))
+    g = F.array_distinct(F.coalesce(as_column(gold), F.expr("cast(array() as array<string>)")))
+    p = F.array_distinct(F.coalesce(as_column(got), F.expr("cast(array() as array<string>)")))
     hits = F.size(F.array_intersect(g, p))
     return F.when((F.size(g) == 0) & (F.size(p) == 0), F.lit(1.0)).otherwise(
         harmonic(ratio(hits, F.size(p)), ratio(hits, F.size(g)))
@@ -33,12 +30,12 @@ def set_f1(gold: Column | str, got: Column | str) -> Column:
 
 def normal_items(values: Column | str) -> Column:
     """``array<string>`` with items stripped and lower-cased."""
-    return F.transform(_col(values), lambda x: F.lower(strip(x)))
+    return F.transform(as_column(values), lambda x: F.lower(strip(x)))
 
 
 def normal_item_lists(values: Column | str) -> Column:
     """``array<array<string>>`` with inner items stripped and lower-cased."""
-    return F.transform(_col(values), normal_items)
+    return F.transform(as_column(values), normal_items)
 
 
 def field_f1(gold: Column, got: Column) -> Column:

@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import as_column
+
 # The wording of the prompts, needed for equal results.
 PAIR_PROMPT = (
     "Product text:\n{text}\n\nCandidate tag:\n{tag}\n\n"
@@ -27,10 +29,6 @@ Document:
 ALLOWED_SUFFIX = "\n\nAllowed labels per field:\n"
 
 
-def _col(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
-
-
 def fill_prompt(template: str, **values: Column) -> Column:
     """Replace ``{name}`` marks of a constant template by columns."""
     parts: list[Column] = []
@@ -50,16 +48,16 @@ def fill_prompt(template: str, **values: Column) -> Column:
 
 def described_tag(tag: Column | str, description: Column | str) -> Column:
     """``tag: description``, or the bare tag when it has no description."""
-    t, d = _col(tag), _col(description)
+    t, d = as_column(tag), as_column(description)
     return F.when(d.isNull() | (d == ""), t).otherwise(F.concat(t, F.lit(": "), d))
 
 
 def pair_prompt(text: Column | str, tag_text: Column | str) -> Column:
-    return fill_prompt(PAIR_PROMPT, text=_col(text), tag=_col(tag_text))
+    return fill_prompt(PAIR_PROMPT, text=as_column(text), tag=as_column(tag_text))
 
 
 def extraction_prompt(text: Column | str, fields: Sequence[str]) -> Column:
-    return fill_prompt(EXTRACTION_PROMPT, fields=F.lit(", ".join(fields)), text=_col(text))
+    return fill_prompt(EXTRACTION_PROMPT, fields=F.lit(", ".join(fields)), text=as_column(text))
 
 
 def with_allowed_labels(instruction: str, allowed: Mapping[str, Sequence[str]]) -> str:
@@ -88,10 +86,10 @@ def target_json(fields: Sequence[str], types: Mapping[str, str]) -> Column:
 
 def extract_json(generated: Column | str) -> Column:
     """Variant read from the first ``{`` to the last ``}``; NULL when it is no JSON."""
-    body = F.regexp_extract(_col(generated), r"(?s)\{.*\}", 0)
+    body = F.regexp_extract(as_column(generated), r"(?s)\{.*\}", 0)
     return F.try_parse_json(F.when(body != "", body))
 
 
 def token_count(text: Column | str) -> Column:
     """Number of white-space separated tokens."""
-    return F.regexp_count(_col(text), F.lit(r"\S+"))
+    return F.regexp_count(as_column(text), F.lit(r"\S+"))

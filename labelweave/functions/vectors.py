@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import as_column, bound
+
 FEATURE_MODES = (
     "concat",
     "diff",
@@ -18,10 +20,6 @@ FEATURE_MODES = (
 )
 
 
-def _col(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
-
-
 def plain_zero(value: Column) -> Column:
     """Turn -0.0 into 0.0."""
     return value + F.lit(0.0)
@@ -30,19 +28,11 @@ def plain_zero(value: Column) -> Column:
 def dot(left: Column | str, right: Column | str) -> Column:
     """Dot product in double precision; the cosine when both sides have unit length."""
     products = F.zip_with(
-        _col(left), _col(right), lambda x, y: x.cast("double") * y.cast("double")
+        as_column(left), as_column(right), lambda x, y: x.cast("double") * y.cast("double")
     )
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def bound(value: Column, body) -> Column:
-    """``body(value)`` with the value evaluated once.
-
-    Inside a lambda an outer expression would be evaluated again per element.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
 def l2_normalize(vector: Column | str) -> Column:
     def scaled(v: Column) -> Column:
         square = F.aggregate(
@@ -53,7 +43,7 @@ def l2_normalize(vector: Column | str) -> Column:
             lambda length: F.transform(v, lambda x: x.cast("double") / length),
         )
 
-    return bound(_col(vector), scaled)
+    return bound(as_column(vector), scaled)
 
 
 def pair_features(text: Column | str, label: Column | str, mode: str) -> Column:
@@ -64,8 +54,8 @@ def pair_features(text: Column | str, label: Column | str, mode: str) -> Column:
     """
     if mode not in FEATURE_MODES:
         raise ValueError(f"unknown feature mode: {mode!r}")
-    t = F.transform(_col(text), lambda x: x.cast("double"))
-    l = F.transform(_col(label), lambda x: x.cast("double"))
+    t = F.transform(as_column(text), lambda x: x.cast("double"))
+    l = F.transform(as_column(label), lambda x: x.cast("double"))
     parts: list[Column] = []
     if "concat" in mode:
         parts += [t, l]
@@ -77,7 +67,7 @@ def pair_features(text: Column | str, label: Column | str, mode: str) -> Column:
 
 
 def sigmoid(value: Column | str) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-_col(value)))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-as_column(value)))
 
 
 def widen(df: DataFrame, vector: str, dims: int, prefix: str = "emb_") -> DataFrame:
@@ -151,8 +141,11 @@ def hash_vectors(
     by_row = counts.groupBy(row_id).agg(
         F.map_from_entries(F.collect_list(F.struct("dim", F.col("n").cast("double")))).alias("_m")
     )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)),
+    dense = bound(
+        F.col("_m"),
+        lambda m: F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)),
+        ),
     )
     return by_row.select(row_id, l2_normalize(dense).alias(vector))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sets
+from ..functions.columns import bound
 from ..functions.labels import strip
 from ..functions.text import extract_json, extraction_prompt, target_json, token_count
-from .frames import extraction_fields
+from .frames import extraction_fields, stacked
 
 SCALAR, LIST, NESTED = "string", "array<string>", "array<array<string>>"
 
@@ -63,13 +64,20 @@ def with_map_f1(df: DataFrame, gold: str, predicted: str, out: str = "f1_macro")
     keys = F.array_union(F.map_keys(gold), F.map_keys(predicted))
     empty = F.expr("cast(array() as array<string>)")
 
-    def one(key: Column) -> Column:
-        g = sets.normal_items(F.coalesce(F.element_at(F.col(gold), key), empty))
-        p = sets.normal_items(F.coalesce(F.element_at(F.col(predicted), key), empty))
-        return sets.field_f1(g, p)
+    def one(g: Column, p: Column, key: Column) -> Column:
+        return sets.field_f1(
+            sets.normal_items(F.coalesce(F.element_at(g, key), empty)),
+            sets.normal_items(F.coalesce(F.element_at(p, key), empty)),
+        )
 
-    total = F.aggregate(F.transform(keys, one), F.lit(0.0), lambda a, x: a + x)
-    return df.withColumn(out, F.when(F.size(keys) == 0, 1.0).otherwise(total / F.size(keys)))
+    per_field = bound(
+        F.col(gold),
+        lambda g: bound(F.col(predicted), lambda p: F.transform(keys, lambda k: one(g, p, k))),
+    )
+    mean = F.aggregate(
+        per_field, F.lit(0.0), lambda a, x: a + x, lambda a: F.try_divide(a, F.size(keys))
+    )
+    return df.withColumn(out, F.coalesce(mean, F.lit(1.0)))
 
 
 def field_accuracy(
@@ -100,8 +108,6 @@ def field_accuracy(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(~is_object, 1)).alias("parse_failures"),
     )
-    from .frames import stacked
-
     rows = [
         (F.lit(f), F.col(f"_h{i}"), sets.ratio(F.col(f"_h{i}"), n), n, fails)
         for i, f in enumerate(fields)

@@ -164,12 +164,10 @@ def all_pairs(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Every label of the vocabulary with its truth flag, one row per (text, label)."""
-    have = F.col(labels)
-    flagged = F.transform(
+    flagged = F.zip_with(
         lab.class_array(keys),
-        lambda k: F.struct(
-            k.alias("label_key"), lab.has_label(have, k).cast("int").alias("label")
-        ),
+        lab.multi_hot(labels, keys),
+        lambda k, y: F.struct(k.alias("label_key"), y.alias("label")),
     )
     return texts.select(row_id, *keep, F.inline(flagged))
 

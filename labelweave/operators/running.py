@@ -3,8 +3,8 @@
 Rows are cut into ranges of the order column. A window covers one range of one
 group, and what the earlier ranges of the group add up to is carried in by a join
 on (group, range). A group with a third of all rows thus uses as many tasks as
-there are ranges it spans. Inputs are used twice and should be checkpointed or
-read from a table.
+there are ranges it spans. Group keys must not be NULL. Inputs are used twice and
+should be checkpointed or read from a table.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import join_null_safe
-
 RANGE = "_range"
 QUANTILE_ACCURACY = 10_000
 
@@ -57,7 +55,8 @@ def running_sum(
     )
     carry = _carried(df, keys, F.sum(v), F.sum, 0)
     return (
-        join_null_safe(df.withColumn("_local", F.sum(v).over(local)), carry, [*keys, RANGE])
+        df.withColumn("_local", F.sum(v).over(local))
+        .join(carry, [*keys, RANGE])
         .withColumn(out, F.col("_local") + F.col("_carry"))
         .drop("_local", "_carry")
     )
@@ -74,7 +73,8 @@ def running_max(
     )
     carry = _carried(df, keys, F.max(value), F.max, None)
     return (
-        join_null_safe(df.withColumn("_local", F.max(value).over(local)), carry, [*keys, RANGE])
+        df.withColumn("_local", F.max(value).over(local))
+        .join(carry, [*keys, RANGE])
         .withColumn(out, F.greatest("_local", "_carry"))
         .drop("_local", "_carry")
     )
@@ -91,7 +91,8 @@ def previous_value(
         *keys, RANGE, F.last("_t", ignorenulls=True).over(earlier).alias("_carry")
     )
     return (
-        join_null_safe(df.withColumn("_local", F.lag(value).over(local)), carry, [*keys, RANGE])
+        df.withColumn("_local", F.lag(value).over(local))
+        .join(carry, [*keys, RANGE])
         .withColumn(out, F.coalesce("_local", "_carry"))
         .drop("_local", "_carry")
     )

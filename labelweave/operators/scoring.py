@@ -199,8 +199,7 @@ def blocked_similarity(
 
 def truth_array(labels: Column | str, side: LabelSide) -> Column:
     """Boolean per label in label order; labels outside the side are ignored."""
-    have = F.col(labels) if isinstance(labels, str) else labels
-    return F.transform(lab.class_array(side.keys), lambda c: lab.has_label(have, c))
+    return lab.label_flags(labels, side.keys)
 
 
 def predicted_array(scores: Column | str, threshold: float) -> Column:

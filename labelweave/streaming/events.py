@@ -1,7 +1,8 @@
 """Label edits ``(seq, row_id, label_key, action)`` in the order of ``seq``.
 
-Actions: ``on`` adds a label, ``off`` removes it, ``clear`` empties the row. The
-same functions run on tables and, where noted, on streams.
+Actions: ``on`` adds a label, ``off`` removes it, ``clear`` empties the row;
+``on`` and ``off`` without a label change nothing. The same functions run on
+tables and, where noted, on streams.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ def fold_edits(events: DataFrame) -> DataFrame:
     One aggregate with map-side combining; runs on a stream as it is. Folds can
     be joined by ``merge_folds``.
     """
-    label = F.when(F.col("action") != "clear", F.col("label_key"))
-    return events.groupBy("row_id", label.alias("label_key")).agg(F.max(_code()).alias("last"))
+    is_clear = F.col("action") == "clear"
+    label = F.when(~is_clear, F.col("label_key"))
+    return events.filter(is_clear | F.col("label_key").isNotNull()).groupBy("row_id", label.alias("label_key")).agg(F.max(_code()).alias("last"))
 
 
 def merge_folds(folds: DataFrame) -> DataFrame:
@@ -71,42 +73,46 @@ def label_transitions(events: DataFrame, ranges: int | None = None) -> DataFrame
     the row becomes labelled or unlabelled when that count leaves or reaches 0.
     """
     ensure_checkpoint_dir(events.sparkSession)
-    base = with_ranges(
-        events.select("seq", "row_id", "label_key", F.col("action")), "seq", ranges
-    ).checkpoint()
-    is_clear = (F.col("action") == "clear").cast("int")
-    epochs = running_sum(base, ["row_id"], "seq", is_clear, "epoch").checkpoint()
-    toggles = epochs.filter(F.col("action") != "clear").withColumn(
-        "on", (F.col("action") == "on").cast("int")
+    # a missing row id is a row of its own: two columns that are never NULL
+    row = ["_row", "_norow"]
+    keyed = events.select(
+        "seq",
+        F.coalesce("row_id", F.lit(0)).cast("bigint").alias("_row"),
+        F.col("row_id").isNull().alias("_norow"),
+        "label_key",
+        "action",
     )
+    base = with_ranges(keyed, "seq", ranges).checkpoint()
+    is_clear = F.col("action") == "clear"
+    is_toggle = ~is_clear & F.col("label_key").isNotNull()
+    epochs = running_sum(base, row, "seq", is_clear.cast("int"), "epoch").checkpoint()
+    toggles = epochs.filter(is_toggle).withColumn("on", (F.col("action") == "on").cast("int"))
     steps = (
-        previous_value(toggles, ["row_id", "epoch", "label_key"], "seq", "on", "was")
+        previous_value(toggles, [*row, "epoch", "label_key"], "seq", "on", "was")
         .withColumn("delta", F.col("on") - F.coalesce("was", F.lit(0)))
-        .select("seq", "row_id", "epoch", RANGE, "delta")
+        .select("seq", *row, "epoch", RANGE, "delta")
         .checkpoint()
     )
-    counted = running_sum(steps, ["row_id", "epoch"], "seq", "delta", "n")
+    counted = running_sum(steps, [*row, "epoch"], "seq", "delta", "n")
     change = (F.col("n") > 0).cast("int") - ((F.col("n") - F.col("delta")) > 0).cast("int")
-    toggled = counted.select("seq", "row_id", RANGE, change.alias("change"))
-    ended = steps.groupBy(
-        F.col("row_id").alias("ended_row"), (F.col("epoch") + 1).alias("ended_epoch")
-    ).agg(F.sum("delta").alias("left"))
+    toggled = counted.select("seq", *row, RANGE, change.alias("change"))
+    ended = steps.groupBy(*row, (F.col("epoch") + 1).alias("epoch")).agg(
+        F.sum("delta").alias("left")
+    )
+    emptied = -(F.coalesce("left", F.lit(0)) > 0).cast("int")
     cleared = (
-        epochs.filter(F.col("action") == "clear")
-        .join(
-            ended,
-            F.col("row_id").eqNullSafe(F.col("ended_row"))
-            & (F.col("epoch") == F.col("ended_epoch")),
-            "left",
-        )
-        .select(
-            "seq",
-            "row_id",
-            RANGE,
-            (-(F.coalesce("left", F.lit(0)) > 0).cast("int")).alias("change"),
-        )
+        epochs.filter(is_clear)
+        .join(ended, [*row, "epoch"], "left")
+        .select("seq", *row, RANGE, emptied.alias("change"))
+    )
+    ignored = epochs.filter(~is_clear & F.col("label_key").isNull()).select(
+        "seq", *row, RANGE, F.lit(0).alias("change")
+    )
+    return (
+        toggled.unionByName(cleared)
+        .unionByName(ignored)
+        .select("seq", F.when(~F.col("_norow"), F.col("_row")).alias("row_id"), RANGE, "change")
     )
-    return toggled.unionByName(cleared)
 
 
 def rounds_of(

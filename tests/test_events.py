@@ -161,6 +161,6 @@ def test_scoring_on_a_stream_equals_the_batch(spark, tmp_path):
 
 
 def test_edits_without_a_row_are_kept(spark):
-    edits = [(0, None, "t::a", "on"), (1, 1, "t::a", "on"), (2, None, None, "clear"), (3, None, "t::b", "on")]
+    edits = [(0, None, "t::a", "on"), (1, 1, "t::a", "on"), (2, None, None, "clear"), (3, None, "t::b", "on"), (4, 5, None, "on")]
     got = ev.retrain_rounds(spark.createDataFrame(edits, ev.EVENT_SCHEMA), 10, 2).orderBy("seq").collect()
-    assert [r["labelled_total"] for r in got] == [1, 2, 1, 2]
+    assert [r["labelled_total"] for r in got] == [1, 2, 1, 2, 2]
