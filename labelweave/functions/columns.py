@@ -1,4 +1,10 @@
-"""Small helpers shared by the column functions."""
+"""Small helpers shared by the column functions.
+
+A lambda evaluates the outer expressions it mentions once per element, and the
+optimizer inlines computed columns into it. The helpers turn a value into a
+lambda variable first. Inner lambdas do not use variables of outer ones: Spark
+4.1 cannot move such an expression below a Python UDF on top of an aggregate.
+"""
 
 from __future__ import annotations
 
@@ -13,10 +19,10 @@ def as_column(value: Column | str) -> Column:
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value evaluated once.
-
-    A lambda evaluates the outer expressions it mentions once per element, and
-    the optimizer inlines computed columns into it. Binding turns the value into
-    a lambda variable first.
-    """
+    """``body(value)`` with the value evaluated once."""
     return F.transform(F.array(value), body)[0]
+
+
+def with_each(items: Column, value: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(item, value)`` per item with the value evaluated once."""
+    return F.zip_with(items, F.array_repeat(value, F.size(items)), body)

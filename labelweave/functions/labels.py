@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import as_column, bound
+from .columns import as_column, with_each
 
 KEY_SEPARATOR = "::"
 # all characters that count as white space in Python text, beyond ASCII too
@@ -101,9 +101,8 @@ def has_label(labels: Column, key: Column | str) -> Column:
 
 def label_flags(labels: Column | str, classes: Sequence[str]) -> Column:
     """Boolean per class in class order; labels outside the classes are ignored."""
-    return bound(
-        as_column(labels),
-        lambda have: F.transform(class_array(classes), lambda c: has_label(have, c)),
+    return with_each(
+        class_array(classes), as_column(labels), lambda c, have: has_label(have, c)
     )
 
 

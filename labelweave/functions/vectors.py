@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import as_column, bound
+from .columns import as_column, bound, with_each
 
 FEATURE_MODES = (
     "concat",
@@ -33,17 +33,18 @@ def dot(left: Column | str, right: Column | str) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def l2_normalize(vector: Column | str) -> Column:
-    def scaled(v: Column) -> Column:
-        square = F.aggregate(
-            v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")
-        )
-        return bound(
-            F.sqrt(square) + F.lit(1e-12),
-            lambda length: F.transform(v, lambda x: x.cast("double") / length),
-        )
+def length(vector: Column) -> Column:
+    square = F.aggregate(
+        vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")
+    )
+    return F.sqrt(square)
+
 
-    return bound(as_column(vector), scaled)
+def l2_normalize(vector: Column | str) -> Column:
+    return bound(
+        as_column(vector),
+        lambda v: with_each(v, length(v) + F.lit(1e-12), lambda x, n: x.cast("double") / n),
+    )
 
 
 def pair_features(text: Column | str, label: Column | str, mode: str) -> Column:
@@ -141,11 +142,9 @@ def hash_vectors(
     by_row = counts.groupBy(row_id).agg(
         F.map_from_entries(F.collect_list(F.struct("dim", F.col("n").cast("double")))).alias("_m")
     )
-    dense = bound(
+    dense = with_each(
+        F.sequence(F.lit(0), F.lit(dims - 1)),
         F.col("_m"),
-        lambda m: F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)),
-            lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)),
-        ),
+        lambda i, m: F.coalesce(F.element_at(m, i), F.lit(0.0)),
     )
     return by_row.select(row_id, l2_normalize(dense).alias(vector))

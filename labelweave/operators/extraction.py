@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sets
-from ..functions.columns import bound
+from ..functions.columns import with_each
 from ..functions.labels import strip
 from ..functions.text import extract_json, extraction_prompt, target_json, token_count
 from .frames import extraction_fields, stacked
@@ -64,16 +64,14 @@ def with_map_f1(df: DataFrame, gold: str, predicted: str, out: str = "f1_macro")
     keys = F.array_union(F.map_keys(gold), F.map_keys(predicted))
     empty = F.expr("cast(array() as array<string>)")
 
-    def one(g: Column, p: Column, key: Column) -> Column:
+    def one(key: Column, both: Column) -> Column:
         return sets.field_f1(
-            sets.normal_items(F.coalesce(F.element_at(g, key), empty)),
-            sets.normal_items(F.coalesce(F.element_at(p, key), empty)),
+            sets.normal_items(F.coalesce(F.element_at(both["g"], key), empty)),
+            sets.normal_items(F.coalesce(F.element_at(both["p"], key), empty)),
         )
 
-    per_field = bound(
-        F.col(gold),
-        lambda g: bound(F.col(predicted), lambda p: F.transform(keys, lambda k: one(g, p, k))),
-    )
+    both = F.struct(F.col(gold).alias("g"), F.col(predicted).alias("p"))
+    per_field = with_each(keys, both, one)
     mean = F.aggregate(
         per_field, F.lit(0.0), lambda a, x: a + x, lambda a: F.try_divide(a, F.size(keys))
     )

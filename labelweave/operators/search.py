@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -61,10 +62,12 @@ def swarm_search(
     iterations: int = 4,
     seed: int = 42,
     threshold: float = 0.5,
+    parallel: int = 4,
 ) -> SearchResult:
     """Smallest fitness found; ``evaluate`` gives (fitness, threshold) of some values.
 
-    An evaluation that fails counts as infinitely bad and is noted.
+    The particles of one step are independent and run ``parallel`` at a time. An
+    evaluation that fails counts as infinitely bad and is noted.
     """
     low, high = np.array([bounds_of(s) for s in specs]).T
     span = high - low
@@ -73,27 +76,29 @@ def swarm_search(
     speed = START_SPREAD * span * (rng.random((particles, len(specs))) - 0.5)
     history: list[dict] = []
 
+    def outcome(values: dict) -> tuple[float, float, str | None]:
+        try:
+            return (*evaluate(values), None)
+        except Exception as failure:  # a bad setting must not end the search
+            return math.inf, threshold, f"{type(failure).__name__}: {failure}"
+
     def look(step: int) -> np.ndarray:
         """(fitness, threshold) per particle."""
-        seen = []
-        for number, place in enumerate(at):
-            values, error = decoded(specs, place), None
-            try:
-                result = evaluate(values)
-            except Exception as failure:  # a bad setting must not end the search
-                result, error = (math.inf, threshold), f"{type(failure).__name__}: {failure}"
-            seen.append(result)
+        settings = [decoded(specs, place) for place in at]
+        with ThreadPoolExecutor(parallel) as pool:
+            outcomes = list(pool.map(outcome, settings))
+        for number, (values, (fitness, thr, error)) in enumerate(zip(settings, outcomes)):
             history.append(
                 {
                     "iteration": step,
                     "particle": number,
                     "values": values,
-                    "fitness": float(result[0]),
-                    "threshold": float(result[1]),
+                    "fitness": float(fitness),
+                    "threshold": float(thr),
                     "error": error,
                 }
             )
-        return np.array(seen, dtype=float)
+        return np.array([o[:2] for o in outcomes], dtype=float)
 
     own_place, own = at.copy(), look(0)
     lead = int(own[:, 0].argmin())

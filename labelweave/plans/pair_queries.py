@@ -162,9 +162,43 @@ def dataset_summary(spark, d):
     )
 
 
-@query("text_pairs")
+_DRAW = "('0x' || substr(md5(concat_ws('|', '42', {parts})), 1, 15))::BIGINT"
+
+
+def _draw_sql(*parts: str) -> str:
+    return _DRAW.format(parts=", ".join(parts))
+
+
+_TEXT_PAIRS_SQL = (
+    views.with_views("vec_labels")
+    + f""", owned AS (SELECT vec_id, list_sort(list_distinct(labels)) AS s, md5(concat_ws('|', '42', vec_id)) AS h
+  FROM vec_labels WHERE len(labels) > 0),
+its AS (SELECT unnest([0, 1]) AS iteration),
+numbered AS (SELECT vec_id, l, row_number() OVER (PARTITION BY l ORDER BY h, vec_id) AS rn, count(*) OVER (PARTITION BY l) AS n
+  FROM (SELECT vec_id, h, unnest(s) AS l FROM owned)),
+own AS (SELECT vec_id, list({{'l': l, 'rn': rn, 'n': n}} ORDER BY l) AS o FROM numbered WHERE n > 1 GROUP BY vec_id),
+chosen AS (SELECT vec_id, iteration, o[({_draw_sql("vec_id", "iteration", "'label'")} % len(o))::INT + 1] AS x FROM own, its),
+same AS (SELECT c.vec_id, p.vec_id AS partner_id, 1 AS label, iteration FROM chosen c JOIN numbered p ON p.l = x.l
+  AND p.rn = (x.rn - 1 + 1 + {_draw_sql("c.vec_id", "iteration", "'same'")} % (x.n - 1)) % x.n + 1),
+line AS (SELECT *, row_number() OVER (ORDER BY h, vec_id) AS pos, count(*) OVER () AS total FROM owned),
+tries AS (SELECT a.vec_id, a.s, a.total, iteration, t, (a.pos - 1 + 1 + {_draw_sql("a.vec_id", "iteration", "t")} % (a.total - 1)) % a.total + 1 AS dest
+  FROM line a, its, (SELECT unnest([0, 1, 2, 3]) AS t)),
+hits AS (SELECT tries.vec_id, iteration, arg_min(b.vec_id, t) AS partner_id FROM tries JOIN line b ON b.pos = dest
+  WHERE NOT list_has_any(tries.s, b.s) GROUP BY ALL),
+rest AS (SELECT vec_id, s, iteration FROM line, its WHERE (vec_id, iteration) NOT IN (SELECT (vec_id, iteration) FROM hits)),
+far AS (SELECT r.vec_id, iteration, b.vec_id AS partner_id,
+    row_number() OVER (PARTITION BY r.vec_id, iteration ORDER BY md5(array_to_string(b.s, chr(1))), b.h, b.vec_id) - 1 AS place,
+    count(*) OVER (PARTITION BY r.vec_id, iteration) AS free FROM rest r JOIN line b ON NOT list_has_any(r.s, b.s)),
+other AS (SELECT vec_id, partner_id, 0 AS label, iteration FROM hits
+  UNION ALL SELECT vec_id, partner_id, 0, iteration FROM far
+  WHERE place = {_draw_sql("vec_id", "iteration", "'far'")} % free)
+SELECT vec_id, partner_id, label, iteration FROM same UNION ALL SELECT vec_id, partner_id, label, iteration FROM other"""
+)
+
+
+@query("text_pairs", _TEXT_PAIRS_SQL)
 def text_pairs(spark, d):
-    """Partners for contrastive tuning; checked against their definition in the tests."""
+    """Same-label and other-label partners for contrastive tuning."""
     return pairs.text_pairs(
         views.vec_labels(spark, d).select("vec_id", "labels"),
         "vec_id",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.labels import label_text
+from ..functions.vectors import hash_vectors
 from ..operators import scoring
 from . import views
 from .catalog import query
@@ -145,3 +147,35 @@ def labelled_subset(spark, d):
         F.size("embedding").alias("dims"),
         F.array_join(truth, "").alias("truth"),
     )
+
+
+_LABEL_WORDS = ", ".join(
+    f"('{c}::{l}', '{l}. {t}')" for c, ls in views.DOC_TAXONOMY.items() for l, t in ls.items()
+)
+
+
+@query(
+    "text_scores",
+    f"""WITH words(k, t) AS (VALUES {_LABEL_WORDS}),
+tokens AS (SELECT doc_id::VARCHAR AS id, 'doc' AS kind,
+    unnest(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS token FROM documents
+  UNION ALL SELECT k, 'label', unnest(regexp_extract_all(t, '[^ \\t\\n\\x0B\\f\\r]+')) FROM words),
+counts AS (SELECT id, kind, (('0x' || substr(md5(token), 1, 8))::BIGINT % 64) AS dim, count(*) AS n FROM tokens GROUP BY ALL),
+unit AS (SELECT id, kind, dim, n / (sqrt(sum(n * n) OVER (PARTITION BY id, kind)) + 1e-12) AS v FROM counts),
+ids AS (SELECT DISTINCT id FROM unit WHERE kind = 'doc'),
+dots AS (SELECT a.id, b.id AS k, sum(a.v * b.v) AS score FROM unit a JOIN unit b USING (dim)
+  WHERE a.kind = 'doc' AND b.kind = 'label' GROUP BY ALL)
+SELECT ids.id::BIGINT AS doc_id, words.k AS label_key, round(coalesce(score, 0), 6) AS score,
+  round(coalesce(score, 0), 6) >= 0.1 AS predicted FROM ids CROSS JOIN words LEFT JOIN dots ON dots.id = ids.id AND dots.k = words.k""",
+)
+def text_scores(spark, d):
+    """Texts and label descriptions embedded alike, every text scored with every label."""
+    flat = scoring.taxonomy_frame(spark, views.DOC_TAXONOMY)
+    words = flat.withColumn("words", label_text("label", "description"))
+    embedded = hash_vectors(words, "label_key", "words").withColumnRenamed("vector", "vector_label")
+    side = scoring.LabelSide.from_frame(embedded.join(flat, "label_key"))
+    docs = hash_vectors(views.table(spark, d, "documents"), "doc_id", "text")
+    scored = scoring.similarity_rows(docs, side, digits=views.SCORE_DIGITS)
+    return scoring.long_scores(scored, side, ["doc_id"]).select(
+        "doc_id", "label_key", "score", (F.col("score") >= views.THRESHOLD).alias("predicted")
+    )

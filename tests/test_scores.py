@@ -269,3 +269,17 @@ def test_last_losses(spark):
     schema = "step int, metrics map<string,double>"
     assert tuple(metrics.last_losses(spark.createDataFrame(hist, schema)).first()) == (0.2, 0.4)
     assert tuple(metrics.last_losses(spark.createDataFrame([], schema)).first()) == (None, None)
+
+
+def test_scoring_on_top_of_an_aggregate(spark):
+    """A Python UDF right above an aggregate, with the vector itself dropped."""
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 2.0])], "g int, v array<double>")
+    side = LabelSide(("a::0", "a::1"), ("a", "a"), ((1.0, 0.0), (0.0, 1.0)))
+    unit = df.groupBy("g").agg(F.max("v").alias("v")).select("g", vectors.l2_normalize("v").alias("vector"))
+    got = scoring.long_scores(scoring.similarity_rows(unit, side, digits=6), side, ["g"]).collect()
+    assert {(r["g"], r["label_key"]): r["score"] for r in got} == {
+        (1, "a::0"): 0.6, (1, "a::1"): 0.8, (2, "a::0"): 0.0, (2, "a::1"): 1.0
+    }
+    texts = spark.createDataFrame([(1, "a b"), (2, "c")], "i int, text string")
+    hashed = vectors.hash_vectors(texts, "i", "text", dims=2)
+    assert scoring.similarity_rows(hashed, side).select("i", "scores").count() == 2
