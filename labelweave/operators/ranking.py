@@ -186,13 +186,6 @@ def global_rank(
     )
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner equi join in which NULL keys meet each other, so that no row is lost."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(renamed, same).drop(*[f"_r_{k}" for k in keys])
-
-
 def rank_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -208,22 +201,27 @@ def rank_within(
     and shifted by the counts before them, so a hot group uses many tasks. ``size``
     names a column for the number of rows of the group.
     """
-    cut = df.withColumn("_b", F.substring(order_hash, 1, digits))
-    group = [*keys, "_b"]
+    # one struct as the key: rows without a key stay, and window and join share a layout
+    cut = df.withColumn("_g", F.struct(*keys, F.substring(order_hash, 1, digits).alias("_b")))
+    parts = [F.col(f"_g.{k}") for k in keys]
     before = (
-        Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*parts).orderBy("_g._b").rowsBetween(Window.unboundedPreceding, -1)
     )
-    all_of = [F.sum("_n").over(Window.partitionBy(*keys)).alias(size)] if size else []
+    all_of = [F.sum("_n").over(Window.partitionBy(*parts)).alias(size)] if size else []
     offsets = (
-        cut.groupBy(*group)
+        cut.groupBy("_g")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *all_of)
+        .select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *all_of)
     )
-    local = F.row_number().over(Window.partitionBy(*group).orderBy(order_hash, row_id))
+    if not keys:
+        # at most 16**digits rows
+        offsets = F.broadcast(offsets)
+    local = F.row_number().over(Window.partitionBy("_g").orderBy(order_hash, row_id))
     return (
-        join_null_safe(cut.withColumn("_at", local), offsets, group)
+        cut.withColumn("_at", local)
+        .join(offsets, "_g")
         .withColumn(out, F.col("_at") + F.col("_before"))
-        .drop("_b", "_at", "_before")
+        .drop("_g", "_at", "_before")
     )
 
 

@@ -19,7 +19,7 @@ _SCORES = views.with_views("scores")
 )
 def zero_shot_scores(spark, d):
     side = views.label_side(spark, d)
-    return scoring.long_scores(views.scored(spark, d, side), side, ["vec_id"])
+    return scoring.long_scores(views.similarities(spark, d, side), side, ["vec_id"])
 
 
 @query(
@@ -46,7 +46,7 @@ def blocked_scores(spark, d):
 )
 def top_labels_per_category(spark, d):
     side = views.label_side(spark, d)
-    return scoring.rank_in_category(views.scored(spark, d, side), side, "vec_id", top_k=2)
+    return scoring.rank_in_category(views.similarities(spark, d, side), side, "vec_id", top_k=2)
 
 
 def _keys():
@@ -66,7 +66,7 @@ def _keys():
 )
 def wide_scores(spark, d):
     side = views.label_side(spark, d)
-    return views.scored(spark, d, side).select(
+    return views.similarities(spark, d, side).select(
         "vec_id", *scoring.wide_columns(side, views.THRESHOLD)
     )
 
@@ -84,7 +84,7 @@ def wide_scores(spark, d):
 )
 def category_rollup(spark, d):
     side = views.label_side(spark, d)
-    return views.scored(spark, d, side).select(
+    return views.similarities(spark, d, side).select(
         "vec_id", *scoring.category_columns(side, views.THRESHOLD)
     )
 
@@ -97,7 +97,7 @@ def category_rollup(spark, d):
 )
 def score_tags(spark, d):
     side = views.label_side(spark, d)
-    return scoring.scored_tags(views.scored(spark, d, side), side, "vec_id")
+    return scoring.scored_tags(views.similarities(spark, d, side), side, "vec_id")
 
 
 @query(
@@ -110,7 +110,7 @@ def score_tags(spark, d):
 def predict_tags(spark, d):
     side = views.label_side(spark, d)
     return scoring.scored_tags(
-        views.scored(spark, d, side), side, "vec_id", threshold=views.THRESHOLD, top_k=3
+        views.similarities(spark, d, side), side, "vec_id", threshold=views.THRESHOLD, top_k=3
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as lab
-from ..operators.scoring import LabelSide, similarity_rows, truth_array
+from ..operators.scoring import MAX_LABELS, LabelSide, similarity_rows, truth_array
 
 SEED = 42
 THRESHOLD = 0.1
@@ -78,11 +78,18 @@ def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One exemplar vector per label: that of the smallest vec_id."""
+    """One exemplar vector per label: that of the smallest vec_id.
+
+    The ids are found first, so that the vectors are neither sorted nor shuffled.
+    """
     emb = table(spark, sf_dir, "embeddings")
-    # ids first: the vectors themselves are neither sorted nor shuffled
     first = emb.groupBy("label").agg(F.min("vec_id").alias("vec_id")).select("vec_id")
-    return emb.join(first, "vec_id", "left_semi").select(
+    ids = [r["vec_id"] for r in first.limit(MAX_LABELS + 1).collect()]
+    if len(ids) <= MAX_LABELS:
+        exemplars = emb.filter(F.col("vec_id").isin(ids))
+    else:
+        exemplars = emb.join(first, "vec_id", "left_semi")
+    return exemplars.select(
         F.col("label").alias("label_idx"),
         F.concat(F.lit("c"), F.col("label") % 3, F.lit("::l"), F.col("label")).alias("label_key"),
         F.col("embedding").alias("vector_label"),
@@ -93,8 +100,8 @@ def label_side(spark: SparkSession, sf_dir: str) -> LabelSide:
     return LabelSide.from_frame(label_vectors(spark, sf_dir))
 
 
-def vec_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``vec_id, embedding, labels``: own key, a second key for good quality, none if unjudged."""
+def with_vec_labels(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Replace ``label`` by ``labels``: own key, a second one for good quality, none if unjudged."""
     judged = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("vec_id"), "quality", F.lit(True).alias("_j")
     )
@@ -104,28 +111,33 @@ def vec_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     own = key(F.col("label"))
     other = key((F.col("label") + 3) % 10)
-    return (
-        table(spark, sf_dir, "embeddings")
-        .join(judged, "vec_id", "left")
-        .select(
-            "vec_id",
-            "embedding",
-            F.when(F.col("_j").isNull(), lab.empty_labels())
-            .when(F.col("quality") == 1, F.array(own, other))
-            .otherwise(F.array(own))
-            .alias("labels"),
-        )
+    labels = (
+        F.when(F.col("_j").isNull(), lab.empty_labels())
+        .when(F.col("quality") == 1, F.array(own, other))
+        .otherwise(F.array(own))
     )
+    joined = rows.join(judged, "vec_id", "left")
+    return joined.select(*[c for c in rows.columns if c != "label"], labels.alias("labels"))
 
 
-def scored(spark: SparkSession, sf_dir: str, side: LabelSide) -> DataFrame:
-    """``vec_id, labels, scores, truth`` with scores rounded to six digits."""
-    base = similarity_rows(
-        vec_labels(spark, sf_dir), side, vector="embedding", digits=SCORE_DIGITS
-    )
-    return base.select(
-        "vec_id", "labels", "scores", truth_array("labels", side).alias("truth")
+def vec_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, embedding, labels``"""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return with_vec_labels(spark, sf_dir, emb)
+
+
+def similarities(spark: SparkSession, sf_dir: str, side: LabelSide) -> DataFrame:
+    """``vec_id, label, scores`` with scores rounded to six digits; row-wise."""
+    rows = similarity_rows(
+        table(spark, sf_dir, "embeddings"), side, vector="embedding", digits=SCORE_DIGITS
     )
+    return rows.select("vec_id", "label", "scores")
+
+
+def scored(spark: SparkSession, sf_dir: str, side: LabelSide) -> DataFrame:
+    """``vec_id, scores, labels, truth``; scored before the join, so no vector is shuffled."""
+    rows = with_vec_labels(spark, sf_dir, similarities(spark, sf_dir, side))
+    return rows.withColumn("truth", truth_array("labels", side))
 
 
 CTES = {
