@@ -26,3 +26,18 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 def with_each(items: Column, value: Column, body: Callable[[Column, Column], Column]) -> Column:
     """``body(item, value)`` per item with the value evaluated once."""
     return F.zip_with(items, F.array_repeat(value, F.size(items)), body)
+
+
+def strict_json(text: Column) -> Column:
+    """Variant of a text that is one JSON value and nothing else, NULL otherwise.
+
+    The parser stops after the first value and ignores what follows. Here the
+    text is put into a list in front of its own digest; only when the text is
+    exactly one value is the digest the second item.
+    """
+    mark = F.md5(text)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    return F.when(
+        F.try_variant_get(wrapped, "$[1]", "string") == mark,
+        F.try_variant_get(wrapped, "$[0]", "variant"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import as_column, with_each
+from .columns import as_column, strict_json, with_each
 
 KEY_SEPARATOR = "::"
 # all characters that count as white space in Python text, beyond ASCII too
@@ -37,11 +37,13 @@ def parse_json_list(value: Column | str) -> Column:
     Text that starts with ``[`` but is no valid JSON list stays one label.
     """
     text = strip(value)
-    parsed = F.from_json(text, "array<string>", {"allowSingleQuotes": "false"})
+    is_list = text.startswith("[")
+    valid = strict_json(F.when(is_list, text)).isNotNull()
+    parsed = F.from_json(F.when(valid, text), "array<string>", {"allowSingleQuotes": "false"})
     return (
         F.when(text.isNull() | (text == ""), empty_labels())
         .when(
-            text.startswith("["),
+            is_list,
             F.coalesce(F.filter(parsed, lambda x: x.isNotNull()), F.array(text)),
         )
         .otherwise(F.array(text))

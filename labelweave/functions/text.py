@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import as_column
+from .columns import as_column, strict_json
 
 # The wording of the prompts, needed for equal results.
 PAIR_PROMPT = (
@@ -87,7 +87,7 @@ def target_json(fields: Sequence[str], types: Mapping[str, str]) -> Column:
 def extract_json(generated: Column | str) -> Column:
     """Variant read from the first ``{`` to the last ``}``; NULL when it is no JSON."""
     body = F.regexp_extract(as_column(generated), r"(?s)\{.*\}", 0)
-    return F.try_parse_json(F.when(body != "", body))
+    return strict_json(F.when(body != "", body))
 
 
 def token_count(text: Column | str) -> Column:

@@ -87,7 +87,7 @@ def field_accuracy(
     are equal; an answer that cannot be read misses every field and is counted.
     """
     parsed = df.select(
-        extract_json(generated).alias("_p"), F.try_parse_json(gold_json).alias("_g")
+        extract_json(generated).alias("_p"), F.try_parse_json(F.col(gold_json)).alias("_g")
     )
 
     def value(side: str, field: str) -> Column:

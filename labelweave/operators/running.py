@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 RANGE = "_range"
 QUANTILE_ACCURACY = 10_000
 
@@ -33,16 +35,6 @@ def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFra
     return marked.withColumn(RANGE, F.col("_b").cast("int")).drop("_order", "_b")
 
 
-def _carried(df: DataFrame, keys: Sequence[str], aggregate: Column, over, fill) -> DataFrame:
-    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, RANGE).agg(aggregate.alias("_t"))
-    carry = totals.select(*keys, RANGE, over(F.col("_t")).over(earlier).alias("_carry"))
-    if fill is not None:
-        carry = carry.withColumn("_carry", F.coalesce("_carry", F.lit(fill)))
-    # without keys the carry has one row per range, a number fixed by with_ranges
-    return carry if keys else F.broadcast(carry)
-
-
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: Column | str, out: str
 ) -> DataFrame:
@@ -53,7 +45,12 @@ def running_sum(
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    carry = _carried(df, keys, F.sum(v), F.sum, 0)
+    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        df.groupBy(*keys, RANGE)
+        .agg(F.sum(v).alias("_t"))
+        .select(*keys, RANGE, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_carry"))
+    )
     return (
         df.withColumn("_local", F.sum(v).over(local))
         .join(carry, [*keys, RANGE])
@@ -62,21 +59,39 @@ def running_sum(
     )
 
 
-def running_max(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, out: str
+def running_total_and_peak(
+    df: DataFrame, order: str, value: str, total: str, peak: str
 ) -> DataFrame:
-    """Largest value of a group up to and including the row."""
-    local = (
-        Window.partitionBy(*keys, RANGE)
+    """Sum of the value over all rows so far and the largest such sum so far.
+
+    Inside a range both start at zero; the ranges before shift them. Only one row
+    per range is combined across ranges.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    so_far = (
+        Window.partitionBy(RANGE)
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    carry = _carried(df, keys, F.max(value), F.max, None)
+    local = (
+        df.withColumn("_sum", F.sum(value).over(so_far))
+        .withColumn("_top", F.max("_sum").over(so_far))
+        .checkpoint()
+    )
+    earlier = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        local.groupBy(RANGE)
+        .agg(F.sum(value).alias("_s"), F.max("_sum").alias("_m"))
+        .withColumn("_start", F.coalesce(F.sum("_s").over(earlier), F.lit(0)))
+        .withColumn("_high", F.max(F.col("_start") + F.col("_m")).over(earlier))
+        .select(RANGE, "_start", "_high")
+    )
+    # one row per range, a number fixed by with_ranges
     return (
-        df.withColumn("_local", F.max(value).over(local))
-        .join(carry, [*keys, RANGE])
-        .withColumn(out, F.greatest("_local", "_carry"))
-        .drop("_local", "_carry")
+        local.join(F.broadcast(carry), RANGE)
+        .withColumn(total, F.col("_start") + F.col("_sum"))
+        .withColumn(peak, F.greatest("_high", F.col("_start") + F.col("_top")))
+        .drop("_sum", "_top", "_start", "_high")
     )
 
 

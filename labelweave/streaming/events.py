@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.labels import empty_labels
-from ..operators.running import RANGE, previous_value, running_max, running_sum, with_ranges
+from ..operators.running import (
+    RANGE,
+    previous_value,
+    running_sum,
+    running_total_and_peak,
+    with_ranges,
+)
 from ..session import ensure_checkpoint_dir
 
 EVENT_SCHEMA = "seq bigint, row_id bigint, label_key string, action string"
@@ -85,7 +91,11 @@ def label_transitions(events: DataFrame, ranges: int | None = None) -> DataFrame
     base = with_ranges(keyed, "seq", ranges).checkpoint()
     is_clear = F.col("action") == "clear"
     is_toggle = ~is_clear & F.col("label_key").isNotNull()
-    epochs = running_sum(base, row, "seq", is_clear.cast("int"), "epoch").checkpoint()
+    epochs = (
+        running_sum(base, row, "seq", is_clear.cast("int"), "epoch")
+        .select("seq", *row, RANGE, "epoch", "label_key", "action")
+        .checkpoint()
+    )
     toggles = epochs.filter(is_toggle).withColumn("on", (F.col("action") == "on").cast("int"))
     steps = (
         previous_value(toggles, [*row, "epoch", "label_key"], "seq", "on", "was")
@@ -124,12 +134,12 @@ def rounds_of(
     one. An event moves the count by one at most and the mark only goes up, so the
     round follows from the running maximum. ``every <= 0`` never retrains.
     """
-    ensure_checkpoint_dir(transitions.sparkSession)
-    moved = transitions.checkpoint()
-    total = running_sum(moved, [], "seq", "change", "_sum").withColumn(
-        "labelled_total", F.lit(labelled) + F.col("_sum")
-    ).drop("_sum").checkpoint()
-    peak = running_max(total, [], "seq", "labelled_total", "_peak")
+    peak = running_total_and_peak(transitions, "seq", "change", "_total", "_peak").select(
+        "seq",
+        "row_id",
+        (F.lit(labelled) + F.col("_total")).alias("labelled_total"),
+        (F.lit(labelled) + F.col("_peak")).alias("_peak"),
+    )
     if every <= 0:
         return peak.select(
             "seq",
