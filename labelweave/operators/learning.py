@@ -31,6 +31,7 @@ from .ranking import contiguous_folds
 from .scoring import LabelSide, long_scores, similarity_rows, truth_array
 
 PARALLEL_FITS = 8
+PARALLEL_FOLDS = 3
 SIDE_BY_SIDE_LABELS = 32
 
 
@@ -144,18 +145,21 @@ def grid_search(
     Returns the model refitted on all rows, its C, its score and all scores.
     """
     folded = contiguous_folds(df, row_id, cv).persist()
-    scores = []
+
+    def score(task: tuple[float, int]) -> float:
+        C, held = task
+        train, test = folded.filter(F.col("fold") != held), folded.filter(F.col("fold") == held)
+        model = fit_labelwise(train, side, vector, labels, C, max_iter, balanced)
+        return evaluate(model, test, labels=labels, vector=vector)["micro_f1"]
+
     try:
-        for C in grid:
-            per_fold = []
-            for k in range(cv):
-                train = folded.filter(F.col("fold") != k)
-                test = folded.filter(F.col("fold") == k)
-                model = fit_labelwise(train, side, vector, labels, C, max_iter, balanced)
-                per_fold.append(evaluate(model, test, labels=labels, vector=vector)["micro_f1"])
-            scores.append((float(C), float(np.mean(per_fold))))
+        with ThreadPoolExecutor(PARALLEL_FOLDS) as pool:
+            found = list(pool.map(score, [(C, k) for C in grid for k in range(cv)]))
     finally:
         folded.unpersist()
+    scores = [
+        (float(C), float(np.mean(found[i * cv : (i + 1) * cv]))) for i, C in enumerate(grid)
+    ]
     best_c, best = max(scores, key=lambda s: s[1])
     model = fit_labelwise(df, side, vector, labels, best_c, max_iter, balanced)
     return model, best_c, best, scores
