@@ -62,7 +62,7 @@ def kth_smallest(
         width = 1 if inside <= HISTOGRAM_BINS else (high - low) // HISTOGRAM_BINS + 1
         bins = (
             df.filter(F.col(column).between(low, high))
-            .groupBy(F.expr(f"({column} - {low}L) div {width}L").alias("bin"))
+            .groupBy(F.expr(f"(`{column}` - {low}L) div {width}L").alias("bin"))
             .count()
             .collect()
         )

@@ -235,14 +235,23 @@ def publish_labels(store, name: str, texts: DataFrame, root: str, row_id: str =
     return store.submit_dataset(with_current_labels(texts, folds, row_id), name)
 
 
-def start_labelling(stream: DataFrame, root: str) -> StreamingQuery:
-    """Keep folding arriving edits under ``root``; read them with ``read_folds``."""
-    return (
-        stream.writeStream.foreachBatch(write_fold(root))
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
+def _start(stream: DataFrame, root: str, sink, every: str | None) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(sink).option(
+        "checkpointLocation", f"{root}/checkpoint"
     )
+    if every is None:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=every).start()
+
+
+def start_labelling(
+    stream: DataFrame, root: str, processing_time: str | None = None
+) -> StreamingQuery:
+    """Fold arriving edits under ``root``; read them with ``read_folds``.
+
+    Takes what is there and ends, or goes on with a batch per ``processing_time``.
+    """
+    return _start(stream, root, write_fold(root), processing_time)
 
 
 def _state_before(spark: SparkSession, root: str, batch_id: int) -> tuple[int, int, int]:
@@ -262,6 +271,14 @@ def retrain_sink(root: str, every: int):
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        # read several times below
+        batch = batch.persist()
+        try:
+            count_batch(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def count_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         labelled, trained_at, rounds = _state_before(spark, root, batch_id)
         edits = batch.select("seq", "row_id", "label_key", "action")
@@ -301,10 +318,8 @@ def retrain_sink(root: str, every: int):
     return sink
 
 
-def start_retrain_counter(stream: DataFrame, root: str, every: int) -> StreamingQuery:
-    return (
-        stream.writeStream.foreachBatch(retrain_sink(root, every))
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+def start_retrain_counter(
+    stream: DataFrame, root: str, every: int, processing_time: str | None = None
+) -> StreamingQuery:
+    """Number retrain rounds of arriving edits under ``root``."""
+    return _start(stream, root, retrain_sink(root, every), processing_time)
