@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
+from . import mixing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_query("op1_mix_sources")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(mixing.sized(table(spark, sf_dir, "documents")))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 @_query("op10_token_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(
