@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 #: Odd multipliers, one row per lane.
@@ -23,13 +24,21 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; a null counts as an empty text."""
+def flat(
+    column: pa.ChunkedArray | pa.Array, end: bytes = b""
+) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string column; a null counts as an empty text.
+
+    ``end`` is put after each text; with a line break no word spans two texts.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):  # no chunk at all
         column = pa.array([], pa.large_string())
-    column = pc.fill_null(column, "").cast(pa.large_binary())
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    if end:
+        end, none = pa.scalar(end, pa.large_binary()), pa.scalar(b"", pa.large_binary())
+        column = pc.binary_join_element_wise(column, end, none)
     n = len(column)
     offsets = np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8)
     data = column.buffers()[2]
@@ -103,20 +112,39 @@ def window_min(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the number of words before each text."""
-    solid = ~_SPACE[raw]
-    before = np.empty_like(solid)
-    before[1:] = solid[:-1]
-    after = np.empty_like(solid)
-    after[:-1] = solid[1:]
-    edges = offsets[:-1][offsets[:-1] < offsets[1:]]
-    if len(raw):
-        before[edges] = False
-        after[edges - 1] = False  # edges[0] is 0, which marks the last byte
-    starts = np.flatnonzero(solid & ~before)
-    ends = np.flatnonzero(solid & ~after) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words of texts that each end in white space."""
+    if not len(raw):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    space = _SPACE[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate([[0], edges])
+    return edges[::2], edges[1::2]
+
+
+#: Words longer than this are hashed one by one.
+_LONG_WORD = 256
+
+
+def word_names(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time."""
+    size = ends - starts
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+
+    def chunk(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return eight[at] << (U64(8) * (U64(8) - np.minimum(left, 8).astype(U64)))
+
+    h = pair(size.astype(U64), chunk(starts, size))
+    some, done = np.flatnonzero((size > 8) & (size <= _LONG_WORD)), 8
+    while len(some):
+        h[some] = pair(h[some], chunk(starts[some] + done, size[some] - done))
+        done += 8
+        some = some[size[some] > done]
+    for i in np.flatnonzero(size > _LONG_WORD):
+        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return mix(h)
 
 
 class _Powers:
@@ -137,24 +165,29 @@ class _Powers:
 
 
 _POWERS = tuple(_Powers(lane[0]) for lane in _LANES)
-_BYTES = tuple(np.random.default_rng(7 + i).integers(0, 1 << 64, 256, U64) for i in range(2))
-
-
-def spans(
-    values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0
-) -> np.ndarray:
-    """Hashes of the stretches [start, end) of a sequence of values."""
-    up, down = _POWERS[lane].upto(len(values) + 1)
-    sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h += (ends - starts).astype(U64) * U64(_LANES[lane][1])
-    return mix(h)
 
 
-def byte_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """Hashes of stretches of bytes."""
-    return spans(_BYTES[lane][raw], starts, ends, lane)
+class Sequence:
+    """Hashes of stretches of one sequence of 64-bit values."""
+
+    def __init__(self, values: np.ndarray, lane: int = 0) -> None:
+        up, self.down = _POWERS[lane].upto(len(values) + 2)
+        self.sums = np.zeros(len(values) + 1, U64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+        self.per_unit = U64(_LANES[lane][1])
+
+    def stretch(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of [start, end)."""
+        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        h += (ends - starts).astype(U64) * self.per_unit
+        return mix(h)
+
+    def without(self, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of [start, end) with the unit at ``at`` left out."""
+        h = (self.sums[at] - self.sums[starts]) * self.down[starts]
+        h += (self.sums[ends] - self.sums[at + 1]) * self.down[starts + 1]
+        h += (ends - starts - 1).astype(U64) * self.per_unit
+        return mix(h)
 
 
 def runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

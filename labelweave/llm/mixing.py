@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..operators.ranking import global_rank, rank_within
 from .kernels import flat, slices, words
 from .ranges import before_each, ranged
-from .rounds import each, packed, partitions, stored, told
+from .rounds import each, packed, partitions, stored
 
 WEIGHTS = (1, 2, 3)
 PASSES = 3
@@ -41,10 +41,11 @@ SHARD_SEATS = 1 << 10
 
 
 def word_counts(text: pa.Array) -> np.ndarray:
-    raw, offsets = flat(text)
+    raw, offsets = flat(text, b"\n")
     out = [np.empty(0, np.int64)]
     for i, j in slices(offsets):
-        out.append(np.diff(words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[2]))
+        starts, _ = words(raw[offsets[i] : offsets[j]])
+        out.append(np.diff(np.searchsorted(starts, offsets[i : j + 1] - offsets[i])))
     return np.concatenate(out)
 
 
@@ -236,12 +237,12 @@ def mixed(
 
 def cut(t: pa.Table, wanted: list[dict]) -> pa.Table:
     """Rows of a batch with the word ranges that are taken of them."""
-    raw, offsets = flat(t.column("text"))
+    raw, offsets = flat(t.column("text"), b"\n")
     rows, texts = [], []
     for doc in sorted(wanted, key=lambda d: d["at"]):
         i, spans = doc["at"], doc["spans"]
         text = raw[offsets[i] : offsets[i + 1]]
-        starts, ends, _ = words(text, np.array([0, len(text)]))
+        starts, ends = words(text)
         for time in range(1, max(s["times"] for s in spans) + 1):
             pieces: list[list[int]] = []
             for s in spans:
@@ -252,7 +253,7 @@ def cut(t: pa.Table, wanted: list[dict]) -> pa.Table:
                         pieces.append([s["first"], s["end"]])
             whole = pieces == [[0, len(starts)]]
             found = [text[starts[a] : ends[z - 1]].tobytes() for a, z in pieces]
-            texts.append(text.tobytes() if whole else b"\n".join(found))
+            texts.append(text[:-1].tobytes() if whole else b"\n".join(found))
             rows.append(i)
     out = t.take(pa.array(rows, pa.int64()))
     new = pa.array(texts, pa.binary()).cast(pa.string())

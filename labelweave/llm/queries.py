@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, token_files
+from . import linededup, mixing, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@_query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.line_report(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", "n_equal", "n_near", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 @_query("op10_token_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(
