@@ -98,20 +98,37 @@ def opened(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(payload)).read_all()
 
 
+_SHORT = {"b1": np.dtype("<u1"), "b2": np.dtype("<u2"), "b4": np.dtype("<u4")}
+
+
 def dump(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other, each with its type and length."""
+    """Arrays one after the other, each with its type and length.
+
+    Signed 64-bit integers are kept as distances from the smallest, in as few bytes
+    as hold them."""
     parts = [len(arrays).to_bytes(2, "little")]
     for a in arrays:
-        parts += [a.dtype.str.encode().ljust(4), len(a).to_bytes(6, "little"), a.tobytes()]
+        kind, base = a.dtype.str, 0
+        if kind == "<i8" and len(a):
+            base, top = int(a.min()), int(a.max())
+            short = next((k for k, d in _SHORT.items() if top - base <= np.iinfo(d).max), None)
+            if short:
+                kind, a = short, (a - base).astype(_SHORT[short])
+            else:
+                base = 0
+        parts += [kind.encode().ljust(4), len(a).to_bytes(6, "little"), base.to_bytes(8, "little", signed=True), a.tobytes()]
     return b"".join(parts)
 
 
 def load(data: bytes) -> list[np.ndarray]:
     out, at = [], 2
     for _ in range(int.from_bytes(data[:2], "little")):
-        kind, n = np.dtype(data[at : at + 4].decode().strip()), int.from_bytes(data[at + 4 : at + 10], "little")
-        out.append(np.frombuffer(data, kind, n, at + 10))
-        at += 10 + n * kind.itemsize
+        name, n = data[at : at + 4].decode().strip(), int.from_bytes(data[at + 4 : at + 10], "little")
+        base = int.from_bytes(data[at + 10 : at + 18], "little", signed=True)
+        kind = _SHORT.get(name) or np.dtype(name)
+        a = np.frombuffer(data, kind, n, at + 18)
+        out.append(a.astype(np.int64) + base if name in _SHORT else a)
+        at += 18 + n * kind.itemsize
     return out
 
 
