@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, simhash, suffixes, superkmer, token_files
+from . import cotraining, linededup, mixing, simhash, suffixes, superkmer, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = cotraining.quality_scores(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "p_text", "p_page", "p_quality", "keep")
+
+
 @_query("op9_suffix_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.without_repeats(table(spark, sf_dir, "documents"))

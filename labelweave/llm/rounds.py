@@ -45,6 +45,11 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows with columns named by their place, for any names the columns have."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
 def packed(
     df: DataFrame, limit: int = BATCH_BYTES, rows: int = 1 << 30, keep: bool = True
 ) -> DataFrame:
@@ -54,6 +59,8 @@ def packed(
     on it move nothing.
     """
 
+    columns = df.columns
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         held, size, count = [], 0, 0
@@ -63,7 +70,7 @@ def packed(
             return pa.record_batch([pa.array([number]), pa.array([pack_table(table)])], ["batch", "payload"])
 
         for b in batches:
-            at = 0
+            b, at = b.rename_columns(columns), 0
             while at < b.num_rows:
                 row = max(1, b.nbytes // b.num_rows)
                 n = min(b.num_rows - at, rows - count, max(1, (limit - size) // row))
@@ -77,7 +84,7 @@ def packed(
         if held:
             yield emit()
 
-    out = df.mapInArrow(run, "batch long, payload binary")
+    out = numbered(df).mapInArrow(run, "batch long, payload binary")
     if not keep:
         return out
     name = f"llm_{uuid.uuid4().hex}"
