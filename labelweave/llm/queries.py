@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, linededup, mixing, simhash, suffixes, superkmer, token_files, winnowing
+from . import cotraining, dimscan, linededup, mixing, simhash, suffixes, superkmer, token_files, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.report(table(spark, sf_dir, "documents"))
 
 
+@_query("op3_nearest")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimscan.search(table(spark, sf_dir, "embeddings"))
+
+
 @_query("op4_substring_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = superkmer.without_repeats(table(spark, sf_dir, "documents"))

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,25 +32,13 @@ from .ranges import ranged
 from .rounds import partitions, shared_path, stored
 
 #: Words a worker remembers the ids of.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 1_000_000
 BLOCK_IDS = 1 << 20
 #: Number of bytes of each of the four ids of a control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _SPECIAL = b"<|"
 
 
-class _Known(dict):
-    """Word to index; a new word gets the next index and waits to be encoded."""
-
-    def __init__(self) -> None:
-        self.waiting: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        self.waiting.append(word)
-        return at
-
-
 class WordEncoder:
     """Encodes texts word by word, each distinct word once.
 
@@ -66,7 +55,7 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = _Known()
+        self.known: dict[bytes, int] = {}
         self.ids, self.size = np.empty(1 << 16, np.uint32), 0
         self.starts, self.counts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
         self.filled = 0
@@ -81,8 +70,7 @@ class WordEncoder:
         while self.filled + n > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.counts = np.concatenate([self.counts, np.empty_like(self.counts)])
-        if total:
-            self.ids[self.size : self.size + total] = np.concatenate([np.asarray(x, np.uint32) for x in found])
+        self.ids[self.size : self.size + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.starts[self.filled : self.filled + n] = self.size + np.cumsum(counts) - counts
         self.counts[self.filled : self.filled + n] = counts
         self.size, self.filled = self.size + total, self.filled + n
@@ -91,21 +79,23 @@ class WordEncoder:
         """All ids, each text followed by the end id, and the number of ids per text."""
         if len(self.known) > KNOWN_WORDS:
             self.forget()
-        known, at, words_of = self.known, [], []
-        whole: dict[bytes, int] = {}
+        known, words, words_of = self.known, [], []
+        whole = set()
         for text in texts:
             if _SPECIAL in text:
-                words = [text]
-                whole[text] = 1
+                own = [text]
+                whole.add(text)
             else:
-                words = text.lower().split()
-            at += map(known.__getitem__, words)
-            at.append(0)
-            words_of.append(len(words) + 1)
-        new, known.waiting = known.waiting, []
+                own = text.lower().split()
+            words += own
+            words.append(b" ")
+            words_of.append(len(own) + 1)
+        new = list(set(words).difference(known))
+        known.update(zip(new, range(self.filled, self.filled + len(new))))
         for i in range(0, len(new), 20_000):
             part = [w.decode("utf-8", "replace") for w in new[i : i + 20_000]]
             self._add([e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
+        at = list(map(known.__getitem__, words))
         for text in whole:  # not worth remembering, and long
             known.pop(text, None)
         index = np.array(at, np.int64)
