@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, dimscan, linededup, mixing, simhash, suffixes, superkmer, token_files, winnowing
+from . import (
+    cotraining,
+    dimscan,
+    linededup,
+    mixing,
+    segmentations,
+    simhash,
+    suffixes,
+    superkmer,
+    token_files,
+    winnowing,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +69,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op5_segmentations")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segmentations.segmentations(
+        table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")
+    )
+    return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @_query("op6_simhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
