@@ -42,6 +42,9 @@ _CUT = ""
 _BASE = U64(0x9E3779B97F4A7C15)
 _SLOT = U64(0xD6E8FEB86659FD93)
 _TABLE_BITS = 18
+#: Sums over many rows at once are taken in integers, so that they don't depend on the
+#: rows before.
+_FIXED = 2.0**32
 
 
 class _Grown:
@@ -189,8 +192,9 @@ class Lattice:
                 follow[a:z] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, sizes[a:z])), cuts))
         log = weight + follow[to] - follow[source]
         p = np.exp(log)
-        sums = np.cumsum(p)
-        cum = sums - np.repeat(sums[first] - p[first], sizes) if total else p
+        exact = np.rint(p * _FIXED).astype(np.int64)
+        sums = np.cumsum(exact)
+        cum = (sums - np.repeat(sums[first] - exact[first], sizes)) / _FIXED
         cum[ends - 1] = 2.0  # the last edge takes what rounding leaves
         base, edges = self.at.size, self.cum.size
         self.mass.add(follow[node[np.cumsum(size) - size]])
@@ -229,6 +233,11 @@ class Lattice:
         data = self.bytes[np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], size)]
         return data, ends[bounds]
 
+    def sums(self, edges: np.ndarray) -> np.ndarray:
+        """Sums of the logarithms before each step, as integers."""
+        logs = np.rint(self.log.data[edges].astype(np.float64) * _FIXED).astype(np.int64)
+        return np.concatenate([[0], np.cumsum(logs)])
+
     def piece_ids(self, edges: np.ndarray) -> np.ndarray:
         """Ids of a row of edges, spelled ones included."""
         ids = self.id.data[edges]
@@ -283,7 +292,8 @@ class Sampler:
         self.word = lattice.numbers([w for own in split for w in own])
         self.first_word = np.concatenate([[0], np.cumsum(self.n_words)])
         chars = np.cumsum(lattice.chars.data[self.word])
-        self.before = chars - lattice.chars.data[self.word]  # characters before each word
+        self.before = chars - lattice.chars.data[self.word]  # characters of the text before each word
+        self.before -= np.repeat(self.before[self.first_word[:-1][self.n_words > 0]], self.n_words[self.n_words > 0])
 
     def walk(self, words: np.ndarray, nodes: np.ndarray, keys: np.ndarray, draw: int) -> tuple[np.ndarray, ...]:
         """(edges, nodes, word index, steps per row) of walks from nodes to the words' ends."""
@@ -319,7 +329,7 @@ class Sampler:
         edges, nodes, at, counts = self.walk(np.arange(len(self.word)), x.start.data[self.word].astype(np.int64), self.keys[docs][of], 0)
         per_doc = np.add.reduceat(counts, self.first_word[docs]) if len(docs) else counts
         path = _Paths(edges, nodes, at, np.concatenate([[0], np.cumsum(per_doc)]))
-        value = -np.log(-np.log(_uniform(self.keys[docs], 1, 0)))
+        value = -np.log(-np.log(_uniform(self.keys[docs], 1, 0, 9)))
         n = len(docs)
         # sets that are left: value, path and step where they leave, edges of that node that are taken
         width = k * (k + 1)
@@ -330,8 +340,8 @@ class Sampler:
         rows = np.arange(n)
         for draw in range(k):
             paths.append((rows, path))
-            sums = np.concatenate([[0.0], np.cumsum(x.log.data[path.edges], dtype=np.float64)])
-            log_prob = sums[path.bounds[1:]] - sums[path.bounds[:-1]]
+            sums = x.sums(path.edges)
+            log_prob = (sums[path.bounds[1:]] - sums[path.bounds[:-1]]) / _FIXED
             out.append({"rows": docs[rows], "path": path, "log_prob": log_prob, "value": value})
             self._leave(draw, rows, path, sums, value, left, where, taken)
             if draw == k - 1 or not n:
@@ -355,7 +365,7 @@ class Sampler:
         p = np.exp(x.log.data[path.edges].astype(np.float64))
         only = x.first.data[path.nodes + 1] - x.first.data[path.nodes] == 1
         rest = np.where(only, -np.inf, np.log(np.maximum(1 - p, 1e-12)))
-        before = sums[:-1] - sums[path.bounds[:-1]][of]
+        before = (sums[:-1] - sums[path.bounds[:-1]][of]) / _FIXED
         place = self.before[path.at] + x.at.data[path.nodes]
         u = _uniform(self.keys_of(rows)[of], 2 * draw + 1, place)
         score = before + rest - np.log(-np.log(u))
@@ -396,8 +406,8 @@ class Sampler:
             begin[mine] = path.bounds[own]
             at = begin[mine] + step[mine]
             node[mine], word[mine] = path.nodes[at], path.at[at]
-            sums = np.concatenate([[0.0], np.cumsum(x.log.data[path.edges], dtype=np.float64)])
-            base[mine] = sums[at] - sums[begin[mine]]
+            sums = x.sums(path.edges)
+            base[mine] = (sums[at] - sums[begin[mine]]) / _FIXED
             for m, a, z in zip(mine.tolist(), begin[mine].tolist(), at.tolist()):
                 heads[m] = slice(a, z)
         gone = taken[rows, slot]
