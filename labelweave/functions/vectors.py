@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,40 +114,41 @@ def score_against(matrix: np.ndarray):
     return F.arrow_udf(score, "array<double>")
 
 
-def hashed_tokens(
-    df: DataFrame, row_id: str, text: str, dims: int = 64
-) -> DataFrame:
-    """Token counts per hashed dimension: ``row_id, dim, n``.
+def token_dims(text: Column | str, dims: int = 64) -> Column:
+    """The hashed dimension of each token of a text, in order; tokens are runs of
+    non-space characters."""
+    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    return F.transform(
+        tokens,
+        lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % F.lit(dims)).cast("int"),
+    )
+
+
+def counted(dims: int) -> Callable[[Column], Column]:
+    """Unit-length counts of an array of dimensions, a whole Arrow batch at a time.
 
-    Tokens are runs of non-space characters. Counting starts before the shuffle,
-    so at most ``dims`` small rows per text are moved, never the text itself.
+    An empty or NULL array gives a vector of zeros.
     """
-    token_hash = F.conv(F.substring(F.md5(F.col("token")), 1, 8), 16, 10).cast("bigint")
-    tokens = df.select(
-        F.col(row_id), F.explode(F.split(F.col(text), r"\s+")).alias("token")
-    ).filter(F.col("token") != "")
-    return (
-        tokens.select(row_id, (token_hash % F.lit(dims)).cast("int").alias("dim"))
-        .groupBy(row_id, "dim")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+
+    def count(places: pa.Array) -> pa.Array:
+        n = len(places)
+        if isinstance(places, pa.ChunkedArray):
+            places = places.combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False)
+        cells = np.repeat(np.arange(n), sizes) * dims + places.flatten().to_numpy(zero_copy_only=False)
+        seen = np.bincount(cells, minlength=n * dims).reshape(n, dims).astype(float)
+        seen /= np.sqrt((seen * seen).sum(1, keepdims=True)) + 1e-12
+        offsets = np.arange(0, n * dims + 1, dims, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(seen.ravel()))
+
+    return F.arrow_udf(count, "array<double>")
 
 
 def hash_vectors(
     df: DataFrame, row_id: str, text: str, dims: int = 64, vector: str = "vector"
 ) -> DataFrame:
-    """Deterministic unit-length vectors from text, without a model.
+    """Deterministic unit-length vectors from text, without a model or a shuffle.
 
-    A text without tokens gets no row here; join left to keep it.
+    A text without tokens keeps its row, with a vector of zeros.
     """
-    counts = hashed_tokens(df, row_id, text, dims)
-    # one text has at most ``dims`` entries, so the per-text map is bounded
-    by_row = counts.groupBy(row_id).agg(
-        F.map_from_entries(F.collect_list(F.struct("dim", F.col("n").cast("double")))).alias("_m")
-    )
-    dense = with_each(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        F.col("_m"),
-        lambda i, m: F.coalesce(F.element_at(m, i), F.lit(0.0)),
-    )
-    return by_row.select(row_id, l2_normalize(dense).alias(vector))
+    return df.select(row_id, counted(dims)(token_dims(F.col(text), dims)).alias(vector))

@@ -35,15 +35,14 @@ def encoder_column(
         encoder = make_encoder()
         for texts in batches:
             have = texts.dropna()
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            place, found = np.flatnonzero(texts.notna().to_numpy()), np.empty(len(texts), object)
             for at in range(0, len(have), batch_size):
                 part = have.iloc[at : at + batch_size]
                 vectors = np.asarray(encoder(part.tolist()), dtype=np.float64)
                 if normalize:
                     vectors = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-12)
-                for index, vector in zip(part.index, vectors.astype(np.float32)):
-                    out[index] = vector
-            yield out
+                found[place[at : at + len(part)]] = list(vectors.astype(np.float32))
+            yield pd.Series(found, index=texts.index)
 
     return F.pandas_udf(encode, "array<float>")(text)
 

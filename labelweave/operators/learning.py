@@ -8,7 +8,7 @@ labels of a text are one small matrix product.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -227,35 +227,37 @@ class BoostedPairModel:
     threshold: float = 0.5
     loss_curve: list[float] = field(default_factory=list)
 
-    def score_pairs(self, df: DataFrame, keep: Sequence[str], vector: str = "vector") -> DataFrame:
-        """One row per (row, label) with the match probability as ``score``."""
+    def score_pairs(
+        self, df: DataFrame, keep: Sequence[str], vector: str = "vector", whole: bool = False
+    ) -> DataFrame:
+        """One row per (row, label) with the match probability as ``score``; ``whole``
+        also keeps the vector."""
         indexed = df.select(*keep, vector, F.posexplode(label_literal(self.side)).alias("label_idx", "vector_label"))
         features = indexed.withColumn(
             "features", array_to_vector(pair_features(vector, "vector_label", self.mode))
         )
         scored = self.fitted.transform(features.drop("vector_label"))
-        return scored.select(*keep, "label_idx", vector_to_array("probability")[1].alias("score"))
+        kept = [*keep, vector] if whole else keep
+        return scored.select(*kept, "label_idx", vector_to_array("probability")[1].alias("score"))
 
-    def score_rows(
-        self, df: DataFrame, vector: str = "vector", out: str = "scores", row_id: str | None = None
-    ) -> DataFrame:
+    def score_rows(self, df: DataFrame, vector: str = "vector", out: str = "scores") -> DataFrame:
         """Arrays of scores.
 
         A few labels are scored side by side in one projection, without a
-        shuffle. Many labels are scored as pairs, gathered by the unique
-        ``row_id`` and joined to the rows.
+        shuffle. Many labels are scored as pairs, which carry their row and are
+        gathered again by its number.
         """
         if len(self.side) <= SIDE_BY_SIDE_LABELS:
             return self._side_by_side(df, vector, out)
-        if row_id is None:
-            raise ValueError(f"more than {SIDE_BY_SIDE_LABELS} labels need a unique row_id")
-        gathered = (
-            self.score_pairs(df, [row_id], vector)
-            .groupBy(row_id)
-            .agg(F.array_sort(F.collect_list(F.struct("label_idx", "score"))).alias("_s"))
-            .select(row_id, F.transform("_s", lambda x: x["score"]).alias(out))
+        columns = df.columns
+        numbered = df.withColumn("_row", F.monotonically_increasing_id())
+        scored = self.score_pairs(numbered, ["_row", *(c for c in columns if c != vector)], vector, whole=True)
+        score = F.array_sort(F.collect_list(F.struct("label_idx", "score")))
+        return (
+            scored.groupBy("_row")
+            .agg(score.alias("_s"), *[F.first(c).alias(c) for c in columns])
+            .select(*columns, F.transform("_s", lambda x: x["score"]).alias(out))
         )
-        return df.join(gathered, row_id)
 
     def _side_by_side(self, df: DataFrame, vector: str, out: str) -> DataFrame:
         rows = df
@@ -338,22 +340,32 @@ def centred_pca(train: DataFrame, k: int, out: str = "projected", features: str
     return PipelineModel([centred, pca])
 
 
+def boosting_rounds(epochs: int, trees_per_epoch: int) -> int:
+    """Boosting rounds of so many epochs, of which there is at least one."""
+    return max(epochs, 1) * trees_per_epoch
+
+
 def fit_boosted_pairs(
     train: DataFrame,
     side: LabelSide,
     mode: str = "concat+diff+prod",
-    rounds: int = 20,
+    rounds: int = 200,
     max_depth: int = 6,
     learning_rate: float = 0.1,
     seed: int = 42,
     pca_components: int | None = None,
     validation: DataFrame | None = None,
+    early_stopping: bool = False,
+    extra: Mapping[str, object] | None = None,
 ) -> BoostedPairModel | None:
     """Gradient-boosted trees on pairs; None when there is nothing to learn from.
 
-    ``rounds`` is epochs times trees per epoch. With a validation table the
-    number of rounds is cut where its loss stops falling.
+    ``rounds`` may come from ``boosting_rounds``; ``extra`` names further settings of
+    Spark's classifier. With ``early_stopping`` the rounds are cut where the loss of the
+    validation table stops falling; without it that table changes nothing.
     """
+    if early_stopping and validation is None:
+        raise ValueError("early stopping needs a validation table")
     train = train.persist()
     try:
         if not enough_pairs(train):
@@ -373,8 +385,9 @@ def fit_boosted_pairs(
             maxDepth=max_depth,
             stepSize=learning_rate,
             seed=seed,
+            **dict(extra or {}),
         )
-        if validation is not None:
+        if early_stopping:
             held = validation
             for stage in stages:
                 held = stage.transform(held)

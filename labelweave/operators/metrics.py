@@ -36,8 +36,11 @@ def _count(condition: Column) -> Column:
 def confusion_counts(
     long: DataFrame, threshold: float, keys: Sequence[str] = tuple(LABEL_COLS)
 ) -> DataFrame:
-    """tp, fp, tn, fn per label from the long scores; the counts sum to the row count."""
-    pred = F.col("score") >= F.lit(float(threshold))
+    """tp, fp, tn, fn per label from the long scores; the counts sum to the row count.
+
+    A row without score predicts nothing.
+    """
+    pred = F.coalesce(F.col("score") >= F.lit(float(threshold)), F.lit(False))
     truth = F.col("truth")
     return long.groupBy(*keys).agg(
         _count(pred & truth).alias("tp"),
@@ -99,7 +102,8 @@ def row_outcomes(
     scored: DataFrame, threshold: float, scores: str = "scores", truth: str = "truth"
 ) -> DataFrame:
     """Per-row counts ``n_tp, n_fp, n_true, n_neg`` and ``all_right``."""
-    pred = predicted_array(scores, threshold)
+    empty = F.transform(F.col(truth), lambda t: F.lit(False))
+    pred = F.coalesce(predicted_array(scores, threshold), empty)
     both = F.zip_with(
         pred,
         F.col(truth),
@@ -362,11 +366,10 @@ def best_threshold(sweep: DataFrame, metric: str = "macro_f1") -> DataFrame:
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weight ``n / (classes * n_class)`` per class."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    both = counts.agg(F.sum("n_class").alias("n"), F.count(F.lit(1)).alias("classes"))
-    total = both.first()
-    return counts.withColumn(
-        "weight", F.lit(float(total["n"] or 0)) / (F.lit(total["classes"]) * F.col("n_class"))
-    )
+    # one row per class
+    every = Window.partitionBy(F.lit(0))
+    n, classes = F.sum("n_class").over(every), F.count(F.lit(1)).over(every)
+    return counts.withColumn("weight", n.cast("double") / (classes * F.col("n_class")))
 
 
 def label_progress(rows: DataFrame, labels: str = "labels") -> DataFrame:

@@ -212,9 +212,7 @@ def same_label_pairs(
         .groupBy(row_id)
         .agg(F.array_sort(F.collect_list(F.struct("_l", "_rn", "_n"))).alias("_own"))
     )
-    drawn = own.withColumn(
-        "iteration", F.explode(F.sequence(F.lit(0), F.lit(num_iterations - 1)))
-    ).withColumn(
+    drawn = own.withColumn("iteration", _each_of(num_iterations)).withColumn(
         "_x",
         F.get("_own", F.pmod(_draw(seed, row_id, "iteration", F.lit("label")), F.size("_own")).cast("int")),
     )
@@ -231,6 +229,11 @@ def same_label_pairs(
     )
 
 
+def _each_of(n: int) -> Column:
+    """Explodes to 0 .. n - 1; to nothing for 0, where a sequence would count down."""
+    return F.explode(F.slice(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), 1, max(n, 0)))
+
+
 def other_label_pairs(
     texts: DataFrame,
     row_id: str,
@@ -260,11 +263,9 @@ def other_label_pairs(
     line = rank_within(
         owned.withColumn("_h", hash_order(seed, row_id)), [], "_h", row_id, out="_pos"
     ).drop("_h").checkpoint()
-    asked = line.withColumn(
-        "iteration", F.explode(F.sequence(F.lit(0), F.lit(num_iterations - 1)))
-    )
+    asked = line.withColumn("iteration", _each_of(num_iterations))
     step = F.pmod(_draw(seed, row_id, "iteration", "_try"), F.lit(total - 1)) + 1
-    drawn = asked.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn(
+    drawn = asked.withColumn("_try", _each_of(tries)).withColumn(
         "_to", F.pmod(F.col("_pos") - 1 + step, F.lit(total)) + 1
     )
     partner = line.select(

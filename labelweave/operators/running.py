@@ -24,7 +24,7 @@ QUANTILE_ACCURACY = 10_000
 def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
     """Add ``_range``: equally filled, ordered ranges of a numeric column."""
     spark = df.sparkSession
-    ranges = ranges or min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = [i / ranges for i in range(1, ranges)]
     found = df.agg(F.percentile_approx(order, cuts, QUANTILE_ACCURACY)).first()[0] if cuts else []
     splits = [float("-inf"), *sorted({float(x) for x in found or []}), float("inf")]

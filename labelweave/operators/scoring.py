@@ -122,6 +122,9 @@ def long_scores(
     scored: DataFrame, side: LabelSide, keep: Sequence[str], scores: str = "scores", truth: str | None = None
 ) -> DataFrame:
     """One row per (row, label): ``label_idx, label_key, category, score[, truth]``."""
+    # a row without vector has no scores, but keeps its place under every label
+    none = F.array_repeat(F.lit(None).cast("double"), len(side))
+    scored = scored.withColumn(scores, F.coalesce(scores, none))
     zipped = F.arrays_zip(scores, truth) if truth else F.arrays_zip(scores)
     exploded = scored.select(*keep, F.posexplode(zipped).alias("label_idx", "_s"))
     cols = [
@@ -205,7 +208,7 @@ def truth_array(labels: Column | str, side: LabelSide) -> Column:
 def predicted_array(scores: Column | str, threshold: float) -> Column:
     """Boolean per label; the threshold itself counts as predicted."""
     s = F.col(scores) if isinstance(scores, str) else scores
-    return F.transform(s, lambda x: x >= F.lit(float(threshold)))
+    return F.transform(s, lambda x: F.coalesce(x >= F.lit(float(threshold)), F.lit(False)))
 
 
 def wide_columns(side: LabelSide, threshold: float, scores: str = "scores") -> list[Column]:

@@ -64,7 +64,7 @@ def run_round(
             int(n_pairs),
             1,
             labelled.count(),
-            fitted.loss_curve[-1],
+            learning.pair_fit_summary(fitted, train)["mean_loss"],
             scores["macro_f1"],
             scores["micro_f1"],
         )

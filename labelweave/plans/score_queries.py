@@ -162,7 +162,7 @@ tokens AS (SELECT doc_id::VARCHAR AS id, 'doc' AS kind,
   UNION ALL SELECT k, 'label', unnest(regexp_extract_all(t, '[^ \\t\\n\\x0B\\f\\r]+')) FROM words),
 counts AS (SELECT id, kind, (('0x' || substr(md5(token), 1, 8))::BIGINT % 64) AS dim, count(*) AS n FROM tokens GROUP BY ALL),
 unit AS (SELECT id, kind, dim, n / (sqrt(sum(n * n) OVER (PARTITION BY id, kind)) + 1e-12) AS v FROM counts),
-ids AS (SELECT DISTINCT id FROM unit WHERE kind = 'doc'),
+ids AS (SELECT DISTINCT doc_id::VARCHAR AS id FROM documents),
 dots AS (SELECT a.id, b.id AS k, sum(a.v * b.v) AS score FROM unit a JOIN unit b USING (dim)
   WHERE a.kind = 'doc' AND b.kind = 'label' GROUP BY ALL)
 SELECT ids.id::BIGINT AS doc_id, words.k AS label_key, round(coalesce(score, 0), 6) AS score,

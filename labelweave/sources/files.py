@@ -6,16 +6,16 @@ Give large inputs as parquet, JSON lines, or many files in a folder.
 
 from __future__ import annotations
 
-
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import labels as lab
 from ..operators import frames
+from . import folders
 
 # quotes are doubled inside a cell, and cells may hold line breaks
 CSV_READ = {"header": True, "escape": '"', "multiLine": True}
@@ -80,22 +80,31 @@ def load_extraction(spark: SparkSession, path: str, text: str = "text") -> tuple
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write by extension. Arrays become JSON text in CSV; JSON is written as lines."""
+    """Write by extension. Arrays become JSON text in CSV; JSON is written as lines.
+
+    The rows may come from the path itself. A frame that was read from it before has
+    to be read again, since its files are gone then.
+    """
     kind = extension(path)
-    if kind == ".parquet":
-        df.write.mode(mode).parquet(path)
-    elif kind == ".csv":
-        flat = [
-            F.to_json(f"`{f.name}`").alias(f.name)
-            if isinstance(f.dataType, ArrayType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-        df.select(*flat).write.mode(mode).options(**CSV_WRITE).csv(path)
-    elif kind in (".json", ".jsonl"):
-        df.write.mode(mode).option("ignoreNullFields", False).json(path)
-    else:
+    if kind == ".csv":
+        df = df.select(*[_csv_cell(f) for f in df.schema.fields])
+    writers = {
+        ".parquet": lambda to, how: df.write.mode(how).parquet(to),
+        ".csv": lambda to, how: df.write.mode(how).options(**CSV_WRITE).csv(to),
+        ".json": lambda to, how: df.write.mode(how).option("ignoreNullFields", False).json(to),
+    }
+    write = writers.get(".json" if kind == ".jsonl" else kind)
+    if write is None:
         raise ValueError(f"unsupported extension {kind!r}")
+    if mode == "overwrite":
+        folders.replaced(df.sparkSession, path, lambda to: write(to, "error"))
+    else:
+        write(path, mode)
+
+
+def _csv_cell(field: StructField) -> Column:
+    cell = F.col(f"`{field.name}`")
+    return F.to_json(cell).alias(field.name) if isinstance(field.dataType, ArrayType) else cell
 
 
 def write_labelled(df: DataFrame, path: str, labels: str = "labels") -> None:
@@ -104,20 +113,23 @@ def write_labelled(df: DataFrame, path: str, labels: str = "labels") -> None:
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    predictions.select("text", "true", "predicted").write.mode("overwrite").options(
-        **CSV_WRITE
-    ).csv(path)
+    write = predictions.select("text", "true", "predicted").write.options(**CSV_WRITE)
+    folders.replaced(predictions.sparkSession, path, write.csv)
 
 
 def write_vocabulary(df: DataFrame, path: str, labels: str = "labels") -> None:
     """Sorted distinct labels as JSON lines."""
-    frames.vocabulary(df, labels).orderBy("label_key").write.mode("overwrite").json(path)
+    write = frames.vocabulary(df, labels).orderBy("label_key").write
+    folders.replaced(df.sparkSession, path, write.json)
 
 
 def _saved(spark: SparkSession, path: str) -> DataFrame | None:
+    folders.mended(spark, path)
     try:
         return read_table(spark, path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -137,6 +149,3 @@ def with_label_column(df: DataFrame, labels: str = "labels") -> DataFrame:
     if isinstance(df.schema[labels].dataType, ArrayType):
         return df.withColumn(labels, F.coalesce(labels, lab.empty_labels()))
     return df.withColumn(labels, lab.parse_json_list(labels))
-
-
-

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelweave.functions import text, vectors
-from labelweave.operators import extraction, inference, learning, search
+from labelweave.operators import extraction, inference, learning, metrics, model_files, scoring, search
 from labelweave.operators.scoring import LabelSide
 from labelweave.plans import active_round, train_submit
 from labelweave.sources.store import Store
@@ -113,17 +113,13 @@ def test_boosted_pairs(spark, tmp_path, rows, side, monkeypatch):
     assert [c[1] for c in curve] == [1, 2, 3, 4] and curve[-1][2] < curve[0][2]
     near = {r["row_id"]: r["scores"] for r in model.score_rows(rows).select("row_id", "scores").collect()}
     monkeypatch.setattr(learning, "SIDE_BY_SIDE_LABELS", 1)
-    with pytest.raises(ValueError):
-        model.score_rows(rows)
-    far = {
-        r["row_id"]: r["scores"]
-        for r in model.score_rows(rows, row_id="row_id").select("row_id", "scores").collect()
-    }
+    assert model.score_rows(rows).columns == [*rows.columns, "scores"]
+    far = {r["row_id"]: r["scores"] for r in model.score_rows(rows).select("row_id", "scores").collect()}
     assert near.keys() == far.keys() and all(np.allclose(near[i], far[i]) for i in near)
     monkeypatch.undo()
     path = str(tmp_path / "boosted")
-    train_submit.save_pair_model(model, path, spark)
-    again = train_submit.load_pair_model(path, spark)
+    model_files.save_model(spark, model, path)
+    again = model_files.load_model(spark, path)
     back = {r["row_id"]: r["scores"] for r in again.score_rows(rows).select("row_id", "scores").collect()}
     assert all(np.allclose(near[i], back[i]) for i in near)
 
@@ -131,9 +127,10 @@ def test_boosted_pairs(spark, tmp_path, rows, side, monkeypatch):
 def test_saved_linear_model(spark, tmp_path, rows, side):
     model = learning.fit_linear_pairs(learning.training_pairs(rows, side, "row_id"), side, max_iter=20)
     model.threshold = 0.4
-    train_submit.save_pair_model(model, str(tmp_path / "m"), spark)
-    again = train_submit.load_pair_model(str(tmp_path / "m"), spark)
-    assert again.threshold == 0.4
+    store = Store(spark, str(tmp_path), "models")
+    store.submit_model(model, "pairs")
+    again = store.get_model("pairs")
+    assert again.threshold == 0.4 and again.loss_curve == pytest.approx(model.loss_curve)
     a = model.score_rows(rows).agg(F.sum(F.col("scores")[0])).first()[0]
     assert abs(a - again.score_rows(rows).agg(F.sum(F.col("scores")[0])).first()[0]) < 1e-6
 
@@ -230,8 +227,9 @@ def test_swarm_decoding():
         {"name": "mode", "kind": "choice", "choices": ["x", "y", "z"]},
         {"name": "f", "kind": "float", "min": 0, "max": 1},
     ]
-    assert [search.bounds_of(s) for s in specs] == [(2, 8), (-2, 0), (0, 1), (0, 2), (0, 1)]
-    got = search.decoded(specs, [3.6, -1.0, 0.7, 5.0, 0.25])
+    space = search.Space(specs)
+    assert list(zip(space.low, space.high)) == [(2, 8), (-2, 0), (0, 1), (0, 2), (0, 1)]
+    got = space.values([3.6, -1.0, 0.7, 5.0, 0.25])
     assert got == {"depth": 4, "rate": pytest.approx(0.1), "pca": True, "mode": "z", "f": 0.25}
 
 
@@ -338,8 +336,47 @@ def test_hash_vectors_match_python(spark):
     want = np.zeros(8)
     for t in ["a", "b", "a", "c"]:
         want[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 8] += 1
-    assert [r["row_id"] for r in got] == [0]
-    assert np.allclose(got[0]["vector"], want / np.linalg.norm(want))
+    got = {r["row_id"]: r["vector"] for r in got}
+    assert np.allclose(got[0], want / np.linalg.norm(want)) and got[1] == [0.0] * 8
+
+
+def test_hash_vectors_move_nothing(spark):
+    df = spark.createDataFrame([(0, None), (1, ""), (2, "x " * 50)], "row_id int, text string")
+    out = vectors.hash_vectors(df.repartition(2), "row_id", "text", dims=8)
+    assert [sum(v * v for v in r["vector"]) for r in out.orderBy("row_id").collect()] == pytest.approx([0, 0, 1])
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cosine_and_labelwise_through_the_store(spark, tmp_path, rows, side):
+    store = Store(spark, str(tmp_path), "models")
+    for model in (learning.CosineModel(side, 0.3), learning.fit_labelwise(rows, side, max_iter=10)):
+        kind = type(model).__name__.lower()
+        store.submit_model(model, kind)
+        again = store.get_model(kind)
+        assert type(again) is type(model) and again.threshold == model.threshold
+        both = [m.score_rows(rows).agg(F.sum(F.col("scores")[1])).first()[0] for m in (model, again)]
+        assert both[0] == pytest.approx(both[1])
+
+
+def test_rows_without_vector_stay_in_every_count(spark, side):
+    width = len(side.vectors[0])
+    frame = spark.createDataFrame(
+        [(0, [1.0] * width, [side.keys[0]]), (1, None, [side.keys[0]]), (2, None, [])],
+        "row_id int, vector array<float>, labels array<string>",
+    )
+    scored = learning.CosineModel(side).score_rows(frame).withColumn("truth", scoring.truth_array("labels", side))
+    counts = metrics.confusion_counts(scoring.long_scores(scored, side, [], truth="truth"), 0.5).collect()
+    assert all(r["tp"] + r["fp"] + r["tn"] + r["fn"] == 3 for r in counts)
+    assert metrics.row_outcomes(scored, 0.5).filter("all_right is null").count() == 0
+
+
+def test_early_stopping_is_asked_for(rows, side):
+    assert learning.boosting_rounds(0, 7) == 7 and learning.boosting_rounds(3, 7) == 21
+    train = learning.training_pairs(rows, side, "row_id", n_neg=1)
+    with pytest.raises(ValueError, match="validation"):
+        learning.fit_boosted_pairs(train, side, rounds=2, early_stopping=True)
+    plain = learning.fit_boosted_pairs(train, side, rounds=3, max_depth=2, validation=train, extra={"subsamplingRate": 0.9})
+    assert plain.fitted.stages[-1].getNumTrees == 3
 
 
 def test_train_and_submit(spark, tmp_path):
@@ -350,15 +387,15 @@ def test_train_and_submit(spark, tmp_path):
     store.submit_dataset(spark.createDataFrame(rows, schema).coalesce(1), "train")
     store.submit_dataset(spark.createDataFrame(rows[1:5], schema).coalesce(1), "test")
     version, scores = train_submit.train_and_submit(
-        store, "train", "test", encoder_factory(), C=100.0, predictions_root=str(tmp_path / "pred")
+        store, "train", "test", encoder_factory(), C=100.0
     )
     assert version == 1 and scores["train_f1_micro"] == 1.0 and scores["val_loss"] >= 0
     params = store.model_run_params("classifier")
-    assert params["classes"] == "bad,good,other" and params["train_dataset"] == "train:v1"
-    assert params["base_model"] == "embedder" and params["train_size"] == "6"
-    model = store.get_model("classifier", loader=train_submit.load_labelwise(spark))
+    assert params["labels"] == '["bad", "good", "other"]' and params["train.version"] == "1"
+    assert params["base_model"] == "embedder" and params["train.rows"] == "6"
+    model = store.get_model("classifier")
     df = inference.encode_texts(spark.createDataFrame(rows, schema), encoder_factory())
     wide = {r["row_id"]: r for r in inference.predict(df, model, keep=["row_id"]).collect()}
     assert wide[0]["good"] and not wide[0]["bad"] and wide[5]["other"]
-    csv = spark.read.csv(str(tmp_path / "pred" / "train_predictions.csv"), header=True)
-    assert csv.columns == ["text", "true", "predicted"] and csv.filter(F.col("true") == F.col("predicted")).count() == 6
+    kept = store.get_predictions("classifier", "train")
+    assert kept.columns == ["text", "true", "predicted"] and kept.filter(F.col("true") == F.col("predicted")).count() == 6

@@ -6,6 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from labelweave.plans import catalog
 from tools import check_oracles
 
 SF = "/root/testdata/sf0.001"
@@ -18,12 +19,12 @@ def con():
     return check_oracles.duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_equals_sql(spark, con, name):
     assert check_oracles.compare(spark, con, name, SF) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     df = entry.queries()[name](spark, SF)
     assert df.columns and df.count() > 0
@@ -61,7 +62,7 @@ def test_plans_move_no_score_rows(spark, name):
     assert "CartesianProduct" not in final and "BroadcastNestedLoopJoin" not in final
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_no_nested_loops(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -1,12 +1,11 @@
 import pandas as pd
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from labelweave.operators import runs as run_ops
-from labelweave.sources import files
+from labelweave.sources import files, folders
 from labelweave.sources.store import Store
 
 LABELLED = [
@@ -23,7 +22,7 @@ def table(spark):
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return Store(spark, str(tmp_path), "forecasting")
+    return Store(spark, str(tmp_path), "reviews")
 
 
 def rows_of(df):
@@ -92,64 +91,111 @@ def test_resume(spark, tmp_path, table):
         assert files.resume_or_start(spark, longer, path).filter(F.size("labels") > 0).count() == 0
 
 
+@pytest.mark.parametrize("name", ["s.parquet", "s.json", "s.csv"])
+def test_resume_edit_save(spark, tmp_path, table, name):
+    """The edited rows come from the very files that are replaced."""
+    path = str(tmp_path / name)
+    fresh = table.drop("labels")
+    files.write_table(files.resume_or_start(spark, fresh, path), path)
+    for round_no in (1, 2):
+        saved = files.resume_or_start(spark, fresh, path)
+        edited = saved.withColumn("labels", F.array_append("labels", F.lit(f"r::{round_no}")))
+        files.write_table(edited, path)
+    got = files.resume_or_start(spark, fresh, path)
+    assert [r["labels"] for r in got.collect()] == [["r::1", "r::2"]] * 3
+
+
+def test_resume_after_a_cut_replacement(spark, tmp_path, table):
+    path = str(tmp_path / "s.parquet")
+    files.write_table(table, path)
+    folders.move(spark, path, path + folders.KEPT)
+    assert rows_of(files.resume_or_start(spark, table.drop("labels"), path)) == sorted(LABELLED)
+
+
+def test_unreadable_table_is_not_taken_for_a_missing_one(spark, tmp_path, table):
+    (tmp_path / "s.parquet").mkdir()
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
+        files.resume_or_start(spark, table.drop("labels"), str(tmp_path / "s.parquet"))
+
+
 def test_dataset_versions(spark, store):
-    assert store.list_dataset_versions("sales") == []
+    assert store.list_dataset_versions("comments") == []
     with pytest.raises(KeyError):
-        store.get_dataset("sales")
+        store.get_dataset("comments")
     a = spark.createDataFrame([(1,), (2,)], "x bigint")
     b = spark.createDataFrame([(1,), (2,), (3,)], "x bigint")
-    assert store.submit_dataset(a, "sales") == 1
-    assert store.submit_dataset(b, "sales", tags={"note": "n"}) == 2
-    assert store.list_dataset_versions("sales") == [1, 2]
-    assert store.get_dataset("sales").count() == 3
-    assert store.get_dataset("sales", 1).count() == 2
+    assert store.submit_dataset(a, "comments") == 1
+    assert store.submit_dataset(b, "comments", tags={"note": "n"}) == 2
+    assert store.list_dataset_versions("comments") == [1, 2]
+    assert store.get_dataset("comments").count() == 3
+    assert store.get_dataset("comments", 1).count() == 2
     with pytest.raises(KeyError):
-        store.get_dataset("sales", 9)
+        store.get_dataset("comments", 9)
     with pytest.raises(ValueError):
-        store.submit_dataset(a, "sales", tags={"version": "7"})
+        store.submit_dataset(a, "comments", tags={"version": "7"})
     with pytest.raises(TypeError):
-        store.submit_dataset([1], "sales")
-    assert store.find_runs("sales", "dataset", {"note": "n"}).count() == 1
+        store.submit_dataset([1], "comments")
+    assert store.find_runs("comments", "dataset", {"note": "n"}).count() == 1
 
 
-def test_lost_race_fails(spark, store):
+def test_submit_after_a_crash(spark, store):
+    """A writer that died after its claim, or after writing, blocks nobody."""
     df = spark.range(2)
-    store.submit_dataset(df, "sales")
-    df.write.parquet(f"{store.base}/datasets/name=sales/version=2")
-    with pytest.raises(AnalysisException):
-        store.submit_dataset(df, "sales")
+    assert store.submit_dataset(df, "comments") == 1
+    df.write.parquet(f"{store.base}/datasets/comments/half-written")
+    assert folders.claim(spark, f"{store.base}/claims/dataset/comments/2")
+    assert store.submit_dataset(spark.range(5), "comments") == 3
+    assert store.list_dataset_versions("comments") == [1, 3]
+    assert store.get_dataset("comments").count() == 5
+    with pytest.raises(KeyError):
+        store.get_dataset("comments", 0)
+
+
+def test_failed_write_registers_nothing(spark, store):
+    broken = spark.range(3).select(F.expr("raise_error('no')").alias("x"))
+    with pytest.raises(Exception, match="no"):
+        store.submit_dataset(broken.withColumn("x", F.col("x").cast("string")), "comments")
+    assert store.list_dataset_versions("comments") == []
+
+
+def test_compacted_registry(store):
+    for i in range(3):
+        store.submit_run("trial", {"i": i})
+    before = sorted(r["run_id"] for r in store.runs().collect())
+    store.compact()
+    assert sorted(r["run_id"] for r in store.runs().collect()) == before
 
 
 def test_runs(store):
-    assert store.get_run("exp") is None
+    assert store.get_run("trial") is None
     assert store.list_runs().count() == 0
-    run_id = store.submit_run("exp", {"lr": 0.1}, {"rmse": 2.5}, {"who": "me"})
-    second = store.submit_run("exp", {"lr": 0.2}, {"mae": 1})
-    assert store.get_run("exp")["run_id"] == second
+    run_id = store.submit_run("trial", {"width": 0.1}, {"loss": 2.5}, {"who": "me"})
+    second = store.submit_run("trial", {"width": 0.2}, {"gap": 1})
+    assert store.get_run("trial")["run_id"] == second
     rows = {r["run_id"]: r.asDict() for r in store.list_runs().collect()}
-    assert rows[run_id]["params.lr"] == "0.1" and rows[run_id]["metrics.rmse"] == 2.5
-    assert rows[run_id]["metrics.mae"] is None and rows[run_id]["tags.who"] == "me"
+    assert rows[run_id]["params.width"] == "0.1" and rows[run_id]["metrics.loss"] == 2.5
+    assert rows[run_id]["metrics.gap"] is None and rows[run_id]["tags.who"] == "me"
 
 
 def test_model_versions_and_lineage(spark, store):
     model = Pipeline(stages=[SQLTransformer(statement="SELECT *, x + 1 AS y FROM __THIS__")]).fit(spark.range(1).toDF("x"))
     with pytest.raises(KeyError):
-        store.latest_model_version("clf")
-    assert store.submit_model(model, "clf", params={"k": 3}) == 1
-    assert store.submit_model(model, "clf", base_model="ranker", base_version=2, metrics={"f1": 1}) == 2
-    assert store.latest_model_version("clf") == 2
-    params = store.model_run_params("clf")
-    assert params["base_model"] == "ranker" and params["base_version"] == "2"
-    assert store.model_run_params("clf", 1) == {"k": "3"}
-    loaded = store.get_model("clf")
+        store.latest_model_version("tagger")
+    assert store.submit_model(model, "tagger", params={"k": 3}) == 1
+    assert store.submit_model(model, "tagger", base_model="sorter", base_version=2, metrics={"f1": 1}) == 2
+    assert store.latest_model_version("tagger") == 2
+    params = store.model_run_params("tagger")
+    assert params["base_model"] == "sorter" and params["base_version"] == "2"
+    assert store.model_run_params("tagger", 1) == {"k": "3"}
+    loaded = store.get_model("tagger")
     assert loaded.transform(spark.range(3).toDF("x")).agg(F.max("y")).first()[0] == 3
     linked = run_ops.lineage(
-        store.find_runs("clf", "model").select("name", "version", "run_id"), store.runs()
+        store.find_runs("tagger", "model").select("name", "version", "run_id"), store.runs()
     ).first()
-    assert linked["version"] == 2 and linked["params"]["base_model"] == "ranker"
+    assert linked["version"] == 2 and linked["params"]["base_model"] == "sorter"
 
 
-@pytest.mark.parametrize("bad", ["Bad Name", "a__b", "", "-x", "Bad Case", "abc\n"])
+@pytest.mark.parametrize("bad", ["Two Words", "left__right", "", "_front", "UPPER", "line\n", 3])
 def test_bad_names(spark, tmp_path, store, bad):
     with pytest.raises(ValueError):
         Store(spark, str(tmp_path), bad)
