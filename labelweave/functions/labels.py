@@ -93,7 +93,7 @@ def normalize_tags(tags: Column | str) -> Column:
 def class_array(classes: Sequence[str]) -> Column:
     if not classes:
         return empty_labels()
-    return F.array(*[F.lit(c) for c in classes])
+    return F.lit(list(classes))
 
 
 def has_label(labels: Column, key: Column | str) -> Column:

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lab
 
-# a vocabulary that is kept as an array literal must stay small
-MAX_VOCABULARY = 2048
-
 
 def require_labelled(df: DataFrame, text: str = "text", labels: str = "labels") -> DataFrame:
     missing = [c for c in (text, labels) if c not in df.columns]
@@ -55,11 +52,8 @@ def vocabulary(df: DataFrame, labels: str = "labels") -> DataFrame:
 
 
 def fit_classes(df: DataFrame, labels: str = "labels") -> list[str]:
-    """Sorted vocabulary as a driver-side list; refused beyond the bound."""
-    rows = vocabulary(df, labels).limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError(f"more than {MAX_VOCABULARY} classes; pass the classes or use long form")
-    return sorted(r[0] for r in rows)
+    """Sorted vocabulary, as the list of a model's classes."""
+    return sorted(r[0] for r in vocabulary(df, labels).collect())
 
 
 def encode(df: DataFrame, classes: Sequence[str], labels: str = "labels") -> DataFrame:

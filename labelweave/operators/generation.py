@@ -12,17 +12,12 @@ from ..session import ensure_checkpoint_dir
 from .frames import without_seen
 from .ranking import hash_cut, hash_number, hash_order
 
-MAX_SLOT_VALUES = 10_000
 _SLOT = re.compile(r"\{([^{}]+)\}")
 
 
 def slot_values(df: DataFrame, column: str) -> list[str]:
     """Sorted distinct values of a column as choices for a slot."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(
-        MAX_SLOT_VALUES + 1
-    ).collect()
-    if len(rows) > MAX_SLOT_VALUES:
-        raise ValueError(f"more than {MAX_SLOT_VALUES} values in {column}")
+    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().collect()
     return sorted(r[0] for r in rows)
 
 

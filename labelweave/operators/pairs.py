@@ -16,7 +16,7 @@ from ..functions import labels as lab
 from ..functions.vectors import pair_features
 from ..session import ensure_checkpoint_dir
 from .ranking import hash_number, hash_order, rank_within
-from .scoring import BLOCK_LABELS, MAX_LABELS, LabelSide
+from .scoring import BLOCK_LABELS, LabelSide
 
 
 def known_label_filter(labels: str, keys: Sequence[str]) -> Column:
@@ -78,29 +78,9 @@ def contrastive_pairs_from_table(
 ) -> DataFrame:
     """``contrastive_pairs`` for a label table (``label_idx, label_key``) of any size.
 
-    Beyond ``MAX_LABELS`` the labels are cut into blocks. Every block gives at
-    most ``n_neg`` candidates per text, and the best ``n_neg`` of those are the
-    same as the best of all labels.
+    The labels are cut into blocks. Every block gives at most ``n_neg`` candidates per
+    text, and the best ``n_neg`` of those are the same as the best of all labels.
     """
-    found = label_table.select("label_idx", "label_key").limit(MAX_LABELS + 1).collect()
-    if len(found) <= MAX_LABELS:
-        keys = [r["label_key"] for r in sorted(found, key=lambda r: r["label_idx"])]
-        return contrastive_pairs(texts, keys, row_id, labels, n_neg, seed)
-    return blocked_contrastive_pairs(
-        texts, label_table, row_id, labels, n_neg, seed, block_labels
-    )
-
-
-def blocked_contrastive_pairs(
-    texts: DataFrame,
-    label_table: DataFrame,
-    row_id: str,
-    labels: str = "labels",
-    n_neg: int = 3,
-    seed: int = 42,
-    block_labels: int = BLOCK_LABELS,
-) -> DataFrame:
-    """The equi-join form of ``contrastive_pairs_from_table``."""
     salts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     owned = texts.select(row_id, F.explode(F.array_distinct(labels)).alias("label_key"))
     positives = owned.join(label_table.select("label_key"), "label_key").select(
@@ -173,9 +153,9 @@ def all_pairs(
 
 
 def with_label_vectors(pairs: DataFrame, side: LabelSide) -> DataFrame:
-    """Attach ``vector_label`` by key; the label side is bounded, so it is broadcast."""
-    small = side.frame(pairs.sparkSession).select("label_key", "vector_label")
-    return pairs.join(F.broadcast(small), "label_key")
+    """Attach ``vector_label`` by key; Spark broadcasts the label side where it is small."""
+    vectors = side.frame(pairs.sparkSession).select("label_key", "vector_label")
+    return pairs.join(vectors, "label_key")
 
 
 def featured_pairs(

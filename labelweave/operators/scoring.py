@@ -17,26 +17,20 @@ from pyspark.sql import functions as F
 from ..functions import labels as lab
 from ..functions.vectors import dot, plain_zero, score_against
 
-MAX_LABELS = 2048
 BLOCK_LABELS = 64
 
 
-class TooManyLabels(ValueError):
-    """The label side is larger than the bound for keeping it in every task."""
-
-
 @dataclass(frozen=True)
 class LabelSide:
-    """Ordered labels of bounded number, known on the driver."""
+    """Ordered labels, known on the driver and in every task, as a model's weights are.
+
+    Label tables that should not be held there go through ``similarity_join``.
+    """
 
     keys: tuple[str, ...]
     categories: tuple[str, ...]
     vectors: tuple[tuple[float, ...], ...] = ()
 
-    def __post_init__(self):
-        if len(self.keys) > MAX_LABELS:
-            raise TooManyLabels(f"{len(self.keys)} labels, at most {MAX_LABELS}")
-
     @classmethod
     def from_taxonomy(cls, taxonomy: Mapping[str, Mapping[str, str]]) -> LabelSide:
         pairs = [(c, l) for c, labs in taxonomy.items() for l in labs]
@@ -50,14 +44,8 @@ class LabelSide:
 
     @classmethod
     def from_frame(cls, label_vectors: DataFrame) -> LabelSide:
-        """Read ``label_idx, label_key, vector_label``; fails beyond the bound."""
-        rows = (
-            label_vectors.select("label_idx", "label_key", "vector_label")
-            .limit(MAX_LABELS + 1)
-            .collect()
-        )
-        if len(rows) > MAX_LABELS:
-            raise TooManyLabels(f"more than {MAX_LABELS} labels")
+        """Read ``label_idx, label_key, vector_label``."""
+        rows = label_vectors.select("label_idx", "label_key", "vector_label").collect()
         rows.sort(key=lambda r: r["label_idx"])
         side = cls.from_keys([r["label_key"] for r in rows])
         return cls(side.keys, side.categories, tuple(tuple(r["vector_label"]) for r in rows))
@@ -145,29 +133,15 @@ def similarity_join(
     row_id: str,
     vector: str = "vector",
     salts: int | None = None,
+    block_labels: int = BLOCK_LABELS,
 ) -> DataFrame:
     """Scores of every text with every label, for a label table of any size.
 
-    Up to ``MAX_LABELS`` labels the matrix travels with the task. Beyond that the
-    labels are cut into blocks, the texts are repeated once per block, and both
-    meet in an equi join on (block, salt); the salt spreads a block over tasks.
+    The labels are cut into blocks, the texts are repeated once per block, and both
+    meet in an equi join on (block, salt); the salt spreads a block over tasks. Where
+    the blocks are small, Spark's own size check sends them along instead. A text
+    without vector has NULL scores.
     """
-    try:
-        side = LabelSide.from_frame(label_vectors)
-    except TooManyLabels:
-        return blocked_similarity(texts, label_vectors, row_id, vector, salts)
-    return long_scores(similarity_rows(texts, side, vector), side, [row_id])
-
-
-def blocked_similarity(
-    texts: DataFrame,
-    label_vectors: DataFrame,
-    row_id: str,
-    vector: str = "vector",
-    salts: int | None = None,
-    block_labels: int = BLOCK_LABELS,
-) -> DataFrame:
-    """The equi-join form of ``similarity_join``."""
     spark = texts.sparkSession
     salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     item = F.struct("label_idx", "label_key", "vector_label")

@@ -35,8 +35,8 @@ def contrastive_pairs(spark, d):
 
 @query("blocked_pairs", _PAIRS_SQL + "SELECT vec_id, label_key, label FROM pairs")
 def blocked_pairs(spark, d):
-    """The join form for label tables beyond the bound, here on a small table."""
-    return pairs.blocked_contrastive_pairs(
+    """The join form for label tables of any size, here on a small one."""
+    return pairs.contrastive_pairs_from_table(
         views.vec_labels(spark, d),
         views.label_vectors(spark, d),
         "vec_id",

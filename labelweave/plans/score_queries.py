@@ -27,8 +27,8 @@ def zero_shot_scores(spark, d):
     _SCORES + "SELECT vec_id, label_idx, label_key, category, score FROM scores",
 )
 def blocked_scores(spark, d):
-    """The join form for label tables beyond the bound, here on a small table."""
-    long = scoring.blocked_similarity(
+    """The join form for label tables of any size, here on a small one."""
+    long = scoring.similarity_join(
         views.table(spark, d, "embeddings"),
         views.label_vectors(spark, d),
         "vec_id",

@@ -33,7 +33,7 @@ def test_contrastive_pairs(texts, spark):
         )[:2]
         assert sorted(k for k, y in items if not y) == sorted(want)
     table = spark.createDataFrame(list(enumerate(KEYS)), "label_idx int, label_key string")
-    same = pairs.blocked_contrastive_pairs(texts, table, "row_id", n_neg=2, block_labels=2)
+    same = pairs.contrastive_pairs_from_table(texts, table, "row_id", n_neg=2, block_labels=2)
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, got))
 
 

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from labelweave.functions import labels as lab
 from labelweave.functions import sets, vectors
-from labelweave.operators import extraction, metrics, scoring
-from labelweave.operators.scoring import LabelSide, TooManyLabels
+from labelweave.operators import extraction, metrics, pairs, scoring
+from labelweave.operators.scoring import LabelSide
 
 KEYS = ["a::0", "a::1", "b::0", "b::1", "b::2"]
 
@@ -168,22 +169,39 @@ def test_similarity_rows_and_blocks_agree(spark, side):
     assert np.allclose([rows[i] for i in range(20)], want)
     held = df.filter("vector is not null")
     labels = side.frame(spark)
-    blocked = scoring.blocked_similarity(held, labels, "row_id", block_labels=2).collect()
+    blocked = scoring.similarity_join(held, labels, "row_id", block_labels=2).collect()
     assert len(blocked) == 100
     assert all(math.isclose(r["score"], want[r["row_id"], r["label_idx"]], abs_tol=1e-5) for r in blocked)
 
 
-def test_label_bound(spark, monkeypatch):
-    monkeypatch.setattr(scoring, "MAX_LABELS", 3)
-    labels = spark.createDataFrame(
-        [(i, f"c::{i}", [float(i), 1.0]) for i in range(5)],
+def test_thousands_of_labels(spark):
+    """No operator switches or stops at a number of labels."""
+    n = 5000
+    rng = np.random.default_rng(2)
+    matrix = rng.normal(size=(n, 4)).astype(np.float32)
+    keys = [f"c{i % 7}::{i}" for i in range(n)]
+    table = spark.createDataFrame(
+        [(i, k, v.tolist()) for i, (k, v) in enumerate(zip(keys, matrix))],
         "label_idx int, label_key string, vector_label array<float>",
     )
-    with pytest.raises(TooManyLabels):
-        LabelSide.from_frame(labels)
-    texts = spark.createDataFrame([(7, [1.0, 2.0])], "row_id int, vector array<float>")
-    out = scoring.similarity_join(texts, labels, "row_id").collect()
-    assert sorted((r["label_idx"], r["score"]) for r in out) == [(i, i + 2.0) for i in range(5)]
+    side = LabelSide.from_frame(table)
+    x = rng.normal(size=(3, 4)).astype(np.float32)
+    texts = spark.createDataFrame(
+        [(i, v.tolist(), [keys[i], keys[n - 1 - i]]) for i, v in enumerate(x)],
+        "row_id int, vector array<float>, labels array<string>",
+    )
+    want = x.astype(float) @ matrix.astype(float).T
+    wide = {r["row_id"]: r["scores"] for r in scoring.similarity_rows(texts, side).collect()}
+    assert all(np.allclose(wide[i], want[i]) for i in range(3))
+    joined = scoring.similarity_join(texts, table, "row_id").collect()
+    assert len(joined) == 3 * n
+    assert all(math.isclose(r["score"], want[r["row_id"], r["label_idx"]], abs_tol=1e-6) for r in joined)
+    hot = texts.select("row_id", F.size(F.filter(lab.multi_hot("labels", keys), lambda v: v == 1)).alias("n"))
+    assert [r["n"] for r in hot.collect()] == [2, 2, 2]
+    by_rows = pairs.contrastive_pairs(texts, keys, "row_id", n_neg=3).collect()
+    by_table = pairs.contrastive_pairs_from_table(texts, table, "row_id", n_neg=3).collect()
+    assert sorted(map(tuple, by_rows)) == sorted((r["row_id"], r["label_key"], r["label"]) for r in by_table)
+    assert pairs.ratio_pairs(texts, keys, "row_id", "labels", 1).count() == 12
 
 
 def test_rank_and_tags(spark, side):
