@@ -301,7 +301,9 @@ def wide_vectors(spark, d):
 
 @query(
     "vector_lengths",
-    "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm_before, 1.0::DOUBLE AS norm_after FROM embeddings",
+    """WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS len FROM embeddings),
+u AS (SELECT vec_id, len, list_transform(embedding, lambda x: x::DOUBLE / (len + 1e-12)) AS unit FROM n)
+SELECT vec_id, round(len, 6) AS norm_before, round(sqrt(list_sum(list_transform(unit, lambda x: x * x))), 6) AS norm_after FROM u""",
 )
 def vector_lengths(spark, d):
     unit = vectors.l2_normalize("embedding")

@@ -119,6 +119,55 @@ def model_scores(spark, d):
     return scoring.long_scores(model.score_rows(rows(spark, d)), side, ["vec_id"])
 
 
+# a model with given weights: three times the label's own vector, less a fixed offset
+_GIVEN = (
+    views.with_views("label_vectors", "vec_labels")
+    + """, given AS (
+  SELECT v.vec_id, k.label_idx, k.label_key, k.category, list_contains(v.labels, k.label_key) AS truth,
+    1 / (1 + exp(-(3 * list_dot_product(v.embedding::DOUBLE[], k.vector_label::DOUBLE[]) - 0.5))) AS p
+  FROM vec_labels v CROSS JOIN label_vectors k),
+c AS (SELECT label_idx, count(*) FILTER (p >= 0.5 AND truth) AS tp, count(*) FILTER (p >= 0.5 AND NOT truth) AS fp,
+    count(*) FILTER (p < 0.5 AND truth) AS fn,
+    avg(-ln(CASE WHEN truth THEN p ELSE 1 - p END)) AS loss FROM given GROUP BY 1),
+prf AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS re,
+    coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c),
+s AS (SELECT avg(pr) AS macro_p, avg(re) AS macro_r, avg(f1) AS macro_f1,
+    coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0) AS micro_p,
+    coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0) AS micro_r,
+    coalesce(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 0) AS micro_f1,
+    avg(loss) AS mean_log_loss FROM prf),
+r AS (SELECT avg(ok::INT) AS row_accuracy FROM (SELECT vec_id, bool_and((p >= 0.5) = truth) AS ok FROM given GROUP BY 1))
+"""
+)
+
+
+def given_model(side):
+    return learning.LabelwiseModel(side, 3 * side.matrix, [-0.5] * len(side))
+
+
+@query("given_model_scores", _GIVEN + "SELECT vec_id, label_idx, label_key, category, round(p, 6) AS score FROM given")
+def given_model_scores(spark, d):
+    """Probabilities of every (row, label) from a model with given weights."""
+    side = views.label_side(spark, d)
+    long = scoring.long_scores(given_model(side).score_rows(rows(spark, d)), side, ["vec_id"])
+    return long.withColumn("score", F.round("score", 6))
+
+
+_METRICS = ("macro_p", "macro_r", "macro_f1", "micro_p", "micro_r", "micro_f1", "mean_log_loss")
+
+
+@query(
+    "evaluate_given_model",
+    _GIVEN
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, round({m}, 6) AS value FROM s" for m in _METRICS)
+    + " UNION ALL SELECT 'row_accuracy', round(row_accuracy, 6) FROM r",
+)
+def evaluate_given_model(spark, d):
+    """All summary numbers of a model with given weights, on its own classes."""
+    found = learning.evaluate(given_model(views.label_side(spark, d)), rows(spark, d))
+    return metric_rows(spark, {k: round(v, 6) for k, v in found.items()})
+
+
 @query("evaluate_model")
 def evaluate_model(spark, d):
     """Zero-shot and fitted model on the same test part."""
