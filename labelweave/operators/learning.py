@@ -1,6 +1,7 @@
 """Models on tables: label-wise and pair-wise classifiers, PCA, grids, evaluation.
 
-Every fit is a Spark ML job. Scoring with a linear model never builds the pair
+Fits of one model per label share their passes over the rows (``shared_fit``); pair
+models are Spark ML jobs. Scoring with a linear model never builds the pair
 table: for a fixed label the pair logit is linear in the text vector, so all
 labels of a text are one small matrix product.
 """
@@ -9,7 +10,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,13 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import pair_features, score_against, sigmoid
-from . import metrics, pairs
+from . import metrics, pairs, shared_fit
 from .frames import stacked
 from .ranking import contiguous_folds
 from .scoring import LabelSide, long_scores, similarity_rows, truth_array
 
-PARALLEL_FITS = 8
-PARALLEL_FOLDS = 3
 SIDE_BY_SIDE_LABELS = 32
 
 
@@ -84,6 +82,20 @@ class LabelwiseModel:
         return df.withColumn(out, linear_scores(self.weights, self.offsets, vector))
 
 
+def fold_rows(df: DataFrame, side: LabelSide, vector: str, labels: str, fold: Column | None = None) -> DataFrame:
+    """What ``shared_fit`` reads; rows without vector teach nothing."""
+    return df.filter(F.col(vector).isNotNull()).select(
+        F.col(vector).cast("array<double>").alias("vector"),
+        truth_array(labels, side).alias("truth"),
+        (F.lit(0) if fold is None else fold).cast("int").alias("fold"),
+    )
+
+
+def _width(rows: DataFrame) -> int:
+    first = rows.first()
+    return 0 if first is None else len(first["vector"])
+
+
 def fit_labelwise(
     df: DataFrame,
     side: LabelSide,
@@ -93,40 +105,14 @@ def fit_labelwise(
     max_iter: int = 1000,
     balanced: bool = False,
 ) -> LabelwiseModel:
-    """Independent L2 models, fitted some at a time on one cached feature table."""
-    base = with_vector(df, vector).select("features", truth_array(labels, side).alias("_t"))
-    base = base.persist()
+    """Independent L2 models of all labels, fitted in the same passes over the rows."""
+    rows = fold_rows(df, side, vector, labels).persist()
     try:
-        shares = base.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.count(F.when(F.col("_t")[i], 1)).alias(f"p{i}") for i in range(len(side))],
-        ).first()
-        n = shares["n"]
-
-        def one(i: int) -> tuple[np.ndarray, float]:
-            positive = shares[f"p{i}"]
-            if positive in (0, n):
-                # a class that is always or never set is predicted as such
-                width = len(base.first()["features"])
-                return np.zeros(width), math.inf if positive else -math.inf
-            rows = base.withColumn("_y", F.col("_t")[i].cast("double"))
-            weight = None
-            if balanced:
-                weight = "_w"
-                rows = rows.withColumn(
-                    "_w",
-                    F.when(F.col("_y") == 1.0, n / (2.0 * positive)).otherwise(
-                        n / (2.0 * (n - positive))
-                    ),
-                )
-            model = logistic(C, float(n), max_iter, "_y", weight).fit(rows)
-            return model.coefficients.toArray(), model.intercept
-
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            fitted = list(pool.map(one, range(len(side))))
+        setting = [shared_fit.Setting(C)]
+        weights, offsets = shared_fit.fit(rows, _width(rows), len(side), setting, balanced, max_iter)
     finally:
-        base.unpersist()
-    return LabelwiseModel(side, np.stack([w for w, _ in fitted]), [b for _, b in fitted])
+        rows.unpersist()
+    return LabelwiseModel(side, weights[0], offsets[0].tolist())
 
 
 def grid_search(
@@ -142,27 +128,25 @@ def grid_search(
 ) -> tuple[LabelwiseModel, float, float, list[tuple[float, float]]]:
     """C with the best mean micro F1 over contiguous folds; the first wins a tie.
 
-    Returns the model refitted on all rows, its C, its score and all scores.
+    Every C is fitted without each fold and on all rows, all in the same passes. Returns
+    the model of all rows with the best C, that C, its score and all scores.
     """
-    folded = contiguous_folds(df, row_id, cv).persist()
-
-    def score(task: tuple[float, int]) -> float:
-        C, held = task
-        train, test = folded.filter(F.col("fold") != held), folded.filter(F.col("fold") == held)
-        model = fit_labelwise(train, side, vector, labels, C, max_iter, balanced)
-        return evaluate(model, test, labels=labels, vector=vector)["micro_f1"]
-
+    folded = contiguous_folds(df, row_id, cv)
+    rows = fold_rows(folded, side, vector, labels, F.col("fold")).persist()
+    settings = [shared_fit.Setting(C, k) for C in grid for k in (*range(cv), shared_fit.NEVER)]
     try:
-        with ThreadPoolExecutor(PARALLEL_FOLDS) as pool:
-            found = list(pool.map(score, [(C, k) for C in grid for k in range(cv)]))
+        weights, offsets = shared_fit.fit(rows, _width(rows), len(side), settings, balanced, max_iter)
+        threshold = LabelwiseModel(side, weights[0], []).threshold
+        counts = shared_fit.held_out_counts(rows, weights, offsets, settings, threshold)
     finally:
-        folded.unpersist()
-    scores = [
-        (float(C), float(np.mean(found[i * cv : (i + 1) * cv]))) for i, C in enumerate(grid)
-    ]
-    best_c, best = max(scores, key=lambda s: s[1])
-    model = fit_labelwise(df, side, vector, labels, best_c, max_iter, balanced)
-    return model, best_c, best, scores
+        rows.unpersist()
+    tp, fp, fn = counts.reshape(len(grid), cv + 1, 3)[:, :cv].transpose(2, 0, 1)
+    f1 = np.divide(2 * tp, 2 * tp + fp + fn, out=np.zeros_like(tp), where=2 * tp + fp + fn > 0).mean(1)
+    scores = [(float(C), float(s)) for C, s in zip(grid, f1)]
+    best = int(f1.argmax())
+    place = best * (cv + 1) + cv
+    model = LabelwiseModel(side, weights[place], offsets[place].tolist())
+    return model, scores[best][0], scores[best][1], scores
 
 
 # -- one model for all pairs -----------------------------------------------------

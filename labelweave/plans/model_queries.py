@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import plain_zero
 from ..operators import learning, metrics, scoring, search
 from ..operators.ranking import mark_hash_split, test_size
 from ..session import ensure_checkpoint_dir
@@ -35,7 +34,7 @@ def metric_rows(spark, values: dict, **extra):
 def logreg_ovr(spark, d):
     """Weights of one regression per label."""
     side = views.label_side(spark, d)
-    model = learning.fit_labelwise(rows(spark, d), side, max_iter=100)
+    model = learning.fit_labelwise(rows(spark, d), side)
     data = [
         (k, float(b), [float(x) for x in w])
         for k, w, b in zip(side.keys, model.weights, model.offsets)
@@ -103,7 +102,7 @@ def grid_search(spark, d):
     """Mean micro F1 per C over three contiguous folds."""
     side = views.label_side(spark, d)
     _, best, _, scores = learning.grid_search(
-        rows(spark, d), side, "vec_id", [0.1, 10.0], cv=3, max_iter=50
+        rows(spark, d), side, "vec_id", [0.01, 0.1, 1.0, 10.0], cv=3
     )
     data = [(c, s, c == best) for c, s in scores]
     return spark.createDataFrame(data, "C double, micro_f1 double, is_best boolean")
@@ -173,7 +172,7 @@ def evaluate_model(spark, d):
     """Zero-shot and fitted model on the same test part."""
     side = views.label_side(spark, d)
     train, test = split_rows(spark, d)
-    fitted = learning.fit_labelwise(train, side, max_iter=50)
+    fitted = learning.fit_labelwise(train, side)
     zero = learning.CosineModel(side, threshold=views.THRESHOLD)
     return metric_rows(spark, learning.evaluate(zero, test), model="zero_shot").unionByName(
         metric_rows(spark, learning.evaluate(fitted, test), model="fitted")
