@@ -21,6 +21,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(place)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none where there is no such folder."""
+    fs, place = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+
+
 def claim(spark: SparkSession, path: str) -> bool:
     """Create an empty file; False when somebody has created it before."""
     fs, place = _at(spark, path)

@@ -7,10 +7,12 @@ tables and, where noted, on streams.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.labels import empty_labels
 from ..operators.running import (
@@ -21,7 +23,11 @@ from ..operators.running import (
     with_ranges,
 )
 from ..session import ensure_checkpoint_dir
+from ..sources import folders
 
+#: Parts of the folds, by a hash of the row; a batch reads only the parts of its rows.
+PARTS = 64
+COMPACT_EVERY = 16
 EVENT_SCHEMA = "seq bigint, row_id bigint, label_key string, action string"
 # last edit as one number, so that the aggregate keeps a fixed-width buffer
 _CODES = {"off": 0, "on": 1, "clear": 2}
@@ -176,49 +182,81 @@ def fold_path(root: str, batch_id: int) -> str:
 def write_fold(root: str):
     """``foreachBatch`` sink: the fold of a batch in its own folder.
 
-    A repeated batch writes the same folder again, so nothing is counted twice.
+    A repeated batch writes the same folder again, so nothing is counted twice. Every
+    ``COMPACT_EVERY`` batches the folds so far become one, so a batch reads a bounded
+    number of folders however many came before it.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        fold_edits(batch).write.mode("overwrite").parquet(fold_path(root, batch_id))
+        _write_parts(fold_edits(batch), fold_path(root, batch_id))
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            compact_folds(batch.sparkSession, root, batch_id)
 
     return sink
 
 
-def _compacted(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{root}/compacted")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def part_of(row_id: str = "row_id") -> Column:
+    """The part of the folds that holds a row."""
+    return F.pmod(F.xxhash64(row_id), F.lit(PARTS)).cast("int")
+
+
+def _write_parts(fold: DataFrame, path: str) -> None:
+    parts = fold.withColumn("part", part_of()).repartition("part")
+    parts.write.mode("overwrite").partitionBy("part").parquet(path)
+
 
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    return sorted(int(n.partition("=")[2]) for n in folders.names(spark, folder) if "=" in n)
 
-def read_folds(spark: SparkSession, root: str, before_batch: int | None = None) -> DataFrame:
+
+def read_folds(
+    spark: SparkSession,
+    root: str,
+    before_batch: int | None = None,
+    parts: Sequence[int] | None = None,
+) -> DataFrame:
     """The merged fold of all written batches, or of those before a batch.
 
     Starts from the newest compacted fold that fits and adds the later batches.
+    ``parts`` names the parts to read, all by default. Folds before the compacted one
+    before the last are gone, so an earlier state can't be asked for.
+    """
+    batches = [n for n in _numbers(spark, f"{root}/folds") if before_batch is None or n < before_batch]
+    merged = _numbers(spark, f"{root}/compacted")
+    fits = [n for n in merged if before_batch is None or n < before_batch]
+    if merged and not fits and before_batch and (not batches or batches[0] > 0):
+        raise ValueError(f"the folds before batch {before_batch} are no longer kept")
+    upto = max(fits, default=-1)
+    schema = fold_edits(spark.createDataFrame([], EVENT_SCHEMA)).schema
+    found = spark.createDataFrame([], schema)
+    later = [fold_path(root, n) for n in batches if n > upto]
+    paths = {f"{root}/folds": later, f"{root}/compacted": [f"{root}/compacted/upto={upto}"] if fits else []}
+    for base, some in paths.items():
+        if some:
+            read = spark.read.schema(StructType([*schema.fields, StructField("part", IntegerType())]))
+            rows = read.option("basePath", base).parquet(*some)
+            if parts is not None:
+                rows = rows.filter(F.col("part").isin(list(parts)))
+            found = found.unionByName(rows.select(*schema.names))
+    return merge_folds(found)
+
+
+def compact_folds(spark: SparkSession, root: str, upto: int | None = None) -> int:
+    """Write the merged fold of all batches so far; returns the last batch in it.
+
+    What the compacted fold before this one had replaced is removed.
     """
-    folds = spark.read.option("basePath", f"{root}/folds").parquet(f"{root}/folds/batch=*")
-    if before_batch is not None:
-        folds = folds.filter(F.col("batch") < before_batch)
-    compacted = _compacted(spark, root)
-    if compacted is not None:
-        if before_batch is not None:
-            compacted = compacted.filter(F.col("upto") < before_batch)
-        upto = compacted.agg(F.max("upto")).first()[0]
-        if upto is not None:
-            folds = folds.filter(F.col("batch") > upto).drop("batch")
-            folds = folds.unionByName(compacted.filter(F.col("upto") == upto).drop("upto"))
-    return merge_folds(folds)
-
-
-def compact_folds(spark: SparkSession, root: str) -> int:
-    """Write the merged fold of all batches so far; returns the last batch in it."""
-    written = spark.read.option("basePath", f"{root}/folds").parquet(f"{root}/folds/batch=*")
-    upto = written.agg(F.max("batch")).first()[0]
-    merged = read_folds(spark, root, upto + 1)
-    merged.write.mode("overwrite").parquet(f"{root}/compacted/upto={upto}")
+    if upto is None:
+        upto = max(_numbers(spark, f"{root}/folds"))
+    merged = _numbers(spark, f"{root}/compacted")
+    _write_parts(read_folds(spark, root, upto + 1), f"{root}/compacted/upto={upto}")
+    last = max((n for n in merged if n < upto), default=-1)
+    for n in merged:
+        if n < last:
+            folders.drop(spark, f"{root}/compacted/upto={n}")
+    for n in _numbers(spark, f"{root}/folds"):
+        if n <= last:
+            folders.drop(spark, fold_path(root, n))
     return upto
 
 
@@ -284,8 +322,10 @@ def retrain_sink(root: str, every: int):
         edits = batch.select("seq", "row_id", "label_key", "action")
         if batch_id > 0:
             touched = edits.select("row_id").distinct()
+            # at most PARTS numbers
+            parts = [r["part"] for r in touched.select(part_of().alias("part")).distinct().collect()]
             before = current_edits(
-                read_folds(spark, root, batch_id).join(touched, "row_id", "left_semi")
+                read_folds(spark, root, batch_id, parts).join(touched, "row_id", "left_semi")
             )
             lowest = edits.agg(F.min("seq")).first()[0] or 0
             # their labels re-entered ahead of the batch, one number per label

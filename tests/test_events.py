@@ -113,6 +113,25 @@ def test_compacted_folds_and_published_labels(spark, tmp_path, edits):
     assert saved == {i: want.get(i, []) for i in range(90)}
 
 
+def test_folds_stay_few(spark, tmp_path, edits, monkeypatch):
+    """However many batches came, a batch reads the folds since the last compaction."""
+    monkeypatch.setattr(ev, "COMPACT_EVERY", 2)
+    root = str(tmp_path / "fold")
+    for batch in range(7):
+        part = spark.createDataFrame(edits[batch * 60 : (batch + 1) * 60], ev.EVENT_SCHEMA)
+        ev.write_fold(root)(part, batch)
+        kept = ev._numbers(spark, f"{root}/folds")
+        assert len(kept) <= 4 and len(ev._numbers(spark, f"{root}/compacted")) <= 2
+    got = {r["row_id"]: r["labels"] for r in ev.current_edits(ev.read_folds(spark, root)).collect()}
+    assert got == replay(edits[:420], 0)[0]
+    one = spark.createDataFrame([(3,)], "row_id bigint").select(ev.part_of().alias("p")).first()["p"]
+    some = ev.read_folds(spark, root, parts=[one])
+    assert {r["row_id"] for r in some.collect()} < set(got)
+    assert "PartitionFilters: [isnotnull(part" in some._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="no longer kept"):
+        ev.read_folds(spark, root, 1)
+
+
 def test_stateful_fold_on_stream(spark, tmp_path, edits):
     folded = ev.fold_edits(file_stream(spark, tmp_path, edits, 3))
     q = folded.writeStream.outputMode("complete").format("memory").queryName("folded").trigger(availableNow=True).start()
