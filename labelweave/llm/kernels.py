@@ -127,7 +127,9 @@ def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _LONG_WORD = 256
 
 
-def word_names(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_names(
+    raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0
+) -> np.ndarray:
     """A 64-bit hash of each word, eight bytes at a time."""
     size = ends - starts
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
@@ -136,17 +138,54 @@ def word_names(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     def chunk(at: np.ndarray, left: np.ndarray) -> np.ndarray:
         return eight[at] << (U64(8) * (U64(8) - np.minimum(left, 8).astype(U64)))
 
-    h = pair(size.astype(U64), chunk(starts, size))
+    h = pair(size.astype(U64), chunk(starts, size), lane)
     some, done = np.flatnonzero((size > 8) & (size <= _LONG_WORD)), 8
     while len(some):
-        h[some] = pair(h[some], chunk(starts[some] + done, size[some] - done))
+        h[some] = pair(h[some], chunk(starts[some] + done, size[some] - done), lane)
         done += 8
         some = some[size[some] > done]
     for i in np.flatnonzero(size > _LONG_WORD):
-        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes())
+        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), lane)
     return mix(h)
 
 
+class Numbering:
+    """Numbers of 128-bit names, in an open table of fixed size."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.count = bits, 0
+        self.first, self.second = np.zeros(1 << bits, U64), np.zeros(1 << bits, U64)
+        self.number = np.zeros(1 << bits, np.int32)
+
+    def _slots(self, first: np.ndarray) -> np.ndarray:
+        return (first >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Numbers of the names, -1 for new ones."""
+        out, slot = np.full(len(first), -1, np.int64), self._slots(first)
+        open_ = np.arange(len(first))
+        while len(open_):
+            at = slot[open_]
+            key = self.first[at]
+            hit = (key == first[open_]) & (self.second[at] == second[open_])
+            out[open_[hit]] = self.number[at[hit]]
+            open_ = open_[~hit & (key != 0)]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, first: np.ndarray, second: np.ndarray) -> None:
+        """Number distinct new names in their order."""
+        slot, open_ = self._slots(first), np.arange(len(first))
+        while len(open_):
+            free = open_[self.first[slot[open_]] == 0]
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.first[slot[free]], self.second[slot[free]] = first[free], second[free]
+            self.number[slot[free]] = self.count + free
+            open_ = np.setdiff1d(open_, free, assume_unique=True)
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+        self.count += len(first)
+
+
 class _Powers:
     """Powers of an odd base modulo 2**64 and their inverses, as far as needed."""
 

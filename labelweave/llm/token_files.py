@@ -18,6 +18,7 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -27,24 +28,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kernels import flat, slices
+from .kernels import Numbering, flat, runs, slices, word_names, words
 from .ranges import ranged
 from .rounds import partitions, shared_path, stored
 
 #: Words a worker remembers the ids of.
 KNOWN_WORDS = 1_000_000
+KNOWN_BITS = 22
 BLOCK_IDS = 1 << 20
 #: Number of bytes of each of the four ids of a control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _SPECIAL = b"<|"
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: Letters of Latin-1, then marks but for the apostrophe, which may begin a word.
+_PLAIN = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?")
+#: Words that the tokenizer makes of them, without and with marks.
+_ENDS = {False: 1, True: 2}
 
 
 class WordEncoder:
     """Encodes texts word by word, each distinct word once.
 
-    This equals encoding whole texts when the tokenizer splits at white space,
-    drops it and lower-cases, as a word-level vocabulary does. Texts that may hold a
-    special token go to the tokenizer whole.
+    This equals encoding whole texts when the tokenizer splits at white space, drops it
+    and lower-cases, and marks the last token of each of its own words, as a vocabulary
+    with word ends does. Texts that may hold a special token go to the tokenizer whole.
+    Words are known by 128-bit names.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -52,59 +61,111 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], np.uint32)
+        names = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbering(KNOWN_BITS)
         self.ids, self.size = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.counts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+        self.starts, self.counts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.filled = 0
-        self._add([self.end])
-        self.known[b" "] = 0  # the end of a text
 
-    def _add(self, found: list) -> None:
-        counts = np.fromiter(map(len, found), np.int32, len(found))
-        total, n = int(counts.sum()), len(found)
+    def _add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        total, n = len(ids), len(counts)
         while self.size + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while self.filled + n > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.counts = np.concatenate([self.counts, np.empty_like(self.counts)])
-        self.ids[self.size : self.size + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.ids[self.size : self.size + total] = ids
         self.starts[self.filled : self.filled + n] = self.size + np.cumsum(counts) - counts
         self.counts[self.filled : self.filled + n] = counts
         self.size, self.filled = self.size + total, self.filled + n
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text followed by the end id, and the number of ids per text."""
-        if len(self.known) > KNOWN_WORDS:
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and how many each has.
+
+        Plain words (letters, then marks) go in long rows and are told apart by the tokens
+        that end a word; others go one by one.
+        """
+        ends = np.array([_ENDS.get(bool(m[2])) if (m := _PLAIN.fullmatch(w)) else 0 for w in words], np.int64)
+        counts = np.zeros(len(words), np.int64)
+        plain, parts = np.flatnonzero(ends), []
+        for i in range(0, len(plain), 500):
+            some = plain[i : i + 500]
+            row = self.tokenizer.encode_batch_fast([" ".join(words[k] for k in some)], add_special_tokens=False)[0]
+            ids = np.array(row.ids, np.uint32)
+            last = np.flatnonzero(self.ends_word[ids])
+            upto = np.cumsum(ends[some])
+            if len(last) != upto[-1]:  # not plain to this tokenizer
+                ends[some] = 0
+                continue
+            counts[some] = np.diff(last[upto - 1] + 1, prepend=0)
+            parts.append(ids)
+        other = np.flatnonzero(ends == 0)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in other], add_special_tokens=False)]
+        counts[other] = list(map(len, found))
+        starts = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.uint32)
+        for some, ids in ((np.flatnonzero(ends), np.concatenate([np.empty(0, np.uint32), *parts])),
+                          (other, np.fromiter(chain.from_iterable(found), np.uint32))):
+            _, place = runs(counts[some])
+            out[np.repeat(starts[some], counts[some]) + place] = ids
+        return out, counts
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text followed by the end id, and the number of ids per text.
+
+        Texts end in white space.
+        """
+        text = raw.tobytes()
+        if _SPECIAL in text:
+            return self._by_text(text, offsets)
+        if self.known.count > KNOWN_WORDS:
             self.forget()
-        known, words, words_of = self.known, [], []
-        whole = set()
-        for text in texts:
-            if _SPECIAL in text:
-                own = [text]
-                whole.add(text)
-            else:
-                own = text.lower().split()
-            words += own
-            words.append(b" ")
-            words_of.append(len(own) + 1)
-        new = list(set(words).difference(known))
-        known.update(zip(new, range(self.filled, self.filled + len(new))))
-        for i in range(0, len(new), 20_000):
-            part = [w.decode("utf-8", "replace") for w in new[i : i + 20_000]]
-            self._add([e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
-        at = list(map(known.__getitem__, words))
-        for text in whole:  # not worth remembering, and long
-            known.pop(text, None)
-        index = np.array(at, np.int64)
-        counts = self.counts[index]
-        ends = np.cumsum(counts, dtype=np.int64)
-        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[index] - ends + counts, counts)]
-        per_text = np.add.reduceat(counts, np.cumsum(words_of) - words_of) if texts else counts
+        low = _LOWER[raw]
+        starts, ends = words(low)
+        first, second = (word_names(low, starts, ends, lane) for lane in (0, 1))
+        first[first == 0] = 1  # an empty slot
+        number = self.known.find(first, second)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            new = new[np.unique(first[new], return_index=True)[1]]
+            small = low.tobytes()
+            found = [small[a:z].decode("utf-8", "replace") for a, z in zip(starts[new].tolist(), ends[new].tolist())]
+            for i in range(0, len(new), 50_000):
+                some = new[i : i + 50_000]
+                self._add(*self._encode_words(found[i : i + 50_000]))
+                self.known.add(first[some], second[some])
+            number = self.known.find(first, second)
+        counts = self.counts[number]
+        bounds = np.searchsorted(starts, offsets)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        per_text = upto[bounds[1:]] - upto[bounds[:-1]] + 1
+        of, place = runs(counts)
+        ids = np.empty(int(per_text.sum()), np.uint32)
+        text_of = np.repeat(np.arange(len(per_text)), np.diff(bounds))
+        ids[np.arange(len(of)) + text_of[of]] = self.ids[self.starts[number][of] + place]
+        ids[np.cumsum(per_text) - 1] = self.end
         return ids, per_text
 
+    def _by_text(self, text: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, text by text."""
+        parts, counts = [], []
+        for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            own = text[a:z]
+            if _SPECIAL in own:
+                whole = own.decode("utf-8", "replace")
+                ids = np.array([*self.tokenizer.encode(whole, add_special_tokens=False).ids, self.end[0]], np.uint32)
+                counts.append(np.array([len(ids)]))
+            else:
+                ids, n = self.encode(np.frombuffer(own, np.uint8), np.array([0, z - a]))
+                counts.append(n)
+            parts.append(ids)
+        return np.concatenate(parts), np.concatenate(counts)
+
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, *keep: str) -> DataFrame:
     """(doc_id, keep.., ids): the ids of whole texts as little-endian 32-bit integers."""
@@ -112,10 +173,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, *keep: str) -> DataFra
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer, end_id)
         for b in batches:
-            raw, offsets = flat(b.column("text"))
+            raw, offsets = flat(b.column("text"), b"\n")
             for i, j in slices(offsets):
-                texts = [raw[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
-                ids, counts = encoder.encode(texts)
+                ids, counts = encoder.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 rows = pa.Array.from_buffers(
                     pa.binary(), j - i,
                     [None, pa.py_buffer(np.concatenate([[0], np.cumsum(counts) * 4]).astype(np.int32)), pa.py_buffer(ids)],
@@ -174,7 +234,8 @@ def code(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     control = np.left_shift(size.reshape(-1, 4) - 1, np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
     planes = padded.astype("<u4").view(np.uint8).reshape(-1, 4)
     data = planes[np.arange(4) < size[:, None]]
-    data_of = np.add.reduceat(size, starts, dtype=np.int64) if len(counts) else quads
+    upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    data_of = upto[starts + quads * 4] - upto[starts]
     return control, data, quads, data_of
 
 
