@@ -91,7 +91,10 @@ def packed(
     out.write.option("path", shared_path(df)).option("compression", "none").bucketBy(
         partitions(df), "batch"
     ).saveAsTable(name)
-    return df.sparkSession.table(name)
+    # the frame knows the files and their buckets; the catalog need not
+    table = df.sparkSession.table(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")
+    return table
 
 
 def pack_table(table: pa.Table) -> bytes:

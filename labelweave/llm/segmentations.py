@@ -26,6 +26,7 @@ samples.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ from .kernels import U64, mix, runs
 KEPT_WORDS = 300_000
 SLICE_BYTES = 2 << 20
 BLANK = "▁"
-_CUT = ""
+#: A private character that parts words; a text that holds it is cut one by one.
+_CUT = "\ue000"
 _BASE = U64(0x9E3779B97F4A7C15)
 _SLOT = U64(0xD6E8FEB86659FD93)
 _TABLE_BITS = 18
@@ -275,11 +277,16 @@ def _uniform(key: np.ndarray, *counters: np.ndarray | int) -> np.ndarray:
     return ((h >> U64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+@dataclass
 class _Paths:
     """One path per document: edges, nodes and words of all its steps, document by document."""
 
-    def __init__(self, edges: np.ndarray, nodes: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> None:
-        self.edges, self.nodes, self.at, self.bounds = edges, nodes, at, bounds
+    edges: np.ndarray
+    nodes: np.ndarray
+    at: np.ndarray
+    bounds: np.ndarray
+    #: Step of the branch of each path; the steps up to it belong to older sets.
+    branch: np.ndarray | None = None
 
 
 class Sampler:
@@ -369,8 +376,8 @@ class Sampler:
         place = self.before[path.at] + x.at.data[path.nodes]
         u = _uniform(self.keys_of(rows)[of], 2 * draw + 1, place)
         score = before + rest - np.log(-np.log(u))
-        if hasattr(path, "fixed"):  # the steps before and at the branch belong to older sets
-            score[step <= path.fixed[of]] = -np.inf
+        if path.branch is not None:
+            score[step <= path.branch[of]] = -np.inf
         full = n > 0
         starts = path.bounds[:-1][full]
         for i in range(self.k):
@@ -432,9 +439,7 @@ class Sampler:
                 to += [was[head], mid[m : m + 1], new[a:z]]
         sizes = step + 1 + tails
         joined = [np.concatenate(p) if p else np.empty(0, np.int64) for p in parts]
-        made = _Paths(*joined, np.concatenate([[0], np.cumsum(sizes)]))
-        made.fixed = step
-        return made
+        return _Paths(*joined, np.concatenate([[0], np.cumsum(sizes)]), step)
 
     def _sibling(self, rows, node, word, gone, draw) -> tuple[np.ndarray, np.ndarray]:
         """One of a node's edges that are not taken, and the logarithm of what is left then."""

@@ -49,7 +49,7 @@ RADIUS = 4
 BATCH = 2048
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """Hashes of the shingles of a text, in order, repeats included."""
     words = text.lower().split()
     if not words:
@@ -81,14 +81,14 @@ def fold(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Adds nothing but ``fp`` (a signed 64-bit integer) to (doc_id)."""
+    """(doc_id, fp): the fingerprint of each text, as a signed 64-bit integer."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = flat(b.column("text"))
             for i, j in slices(offsets):
                 found = [
-                    fingerprint(raw[offsets[k] : offsets[k + 1]].tobytes(), shingle, seed)
+                    shingle_hashes(raw[offsets[k] : offsets[k + 1]].tobytes(), shingle, seed)
                     for k in range(i, j)
                 ]
                 counts = np.fromiter(map(len, found), np.int64, j - i)
