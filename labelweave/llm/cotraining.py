@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import flat, slices, word_names, words
-from .rounds import numbered
+from .rounds import mapped, numbered
 
 LABELLED = 12_288
 POOL = 12_288
@@ -220,7 +220,7 @@ def fit(
                 ["doc_id", "y", "x"],
             )
 
-    rows = sample.mapInArrow(measure, "doc_id long, y int, x binary").toPandas()
+    rows = mapped(sample, measure, "doc_id long, y int, x binary").toPandas()
     rows = rows.sort_values(["y", "doc_id", "x"], ignore_index=True)
     # labelled rows in an order that has nothing to do with their id
     order = np.argsort([zlib.crc32(str(i).encode()) for i in rows["doc_id"]], kind="stable")
@@ -257,7 +257,7 @@ def scored(docs: DataFrame, model: CoTrained | None, threshold: float = THRESHOL
                 p = [pa.array(x) for x in p]
             yield pa.record_batch([*b.columns, *p, keep], [*b.schema.names, *names])
 
-    return numbered(docs).mapInArrow(run, schema)
+    return mapped(numbered(docs), run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:

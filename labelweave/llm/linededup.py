@@ -41,6 +41,7 @@ from .rounds import (
     each,
     flags_of,
     load,
+    mapped,
     packed,
     repeated,
     told,
@@ -252,7 +253,7 @@ def _applied(docs: DataFrame, make, schema) -> DataFrame:
         equal, near = doomed(x, size, said)
         yield from make(t, x, equal, near).to_batches()
 
-    return answered.mapInArrow(each(last), schema)
+    return mapped(answered, each(last), schema)
 
 
 def kept_texts(t: pa.Table, x: Lines, gone: np.ndarray) -> pa.Array:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..operators.ranking import global_rank, rank_within
 from .kernels import flat, slices, words
 from .ranges import before_each, ranged
-from .rounds import each, packed, partitions, stored
+from .rounds import each, mapped, opened, packed, partitions, stored
 
 WEIGHTS = (1, 2, 3)
 PASSES = 3
@@ -64,8 +64,10 @@ def sized(docs: DataFrame) -> DataFrame:
             )
 
     return stored(
-        docs.select("doc_id", "source", "text").mapInArrow(
-            run, "row long, doc_id long, source string, size long"
+        mapped(
+            docs.select("doc_id", "source", "text"),
+            run,
+            "row long, doc_id long, source string, size long",
         )
     )
 
@@ -218,21 +220,21 @@ def mixed(
         yield pa.record_batch(list(columns.values()), list(columns))
 
     sizes = stored(
-        batches.mapInArrow(
-            each(measure), "row long, batch long, at long, doc_id long, source string, size long"
+        mapped(
+            batches,
+            each(measure),
+            "row long, batch long, at long, doc_id long, source string, size long",
         )
     )
     plan = mix_plan(sizes, weights, passes, seed).filter("taken > 0")
     taken = plan.groupBy("batch").agg(F.collect_list(F.struct("at", "spans")).alias("taken"))
 
     def emit(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .rounds import opened
-
         for b in rows:
             for payload, wanted in zip(b.column("payload"), b.column("taken")):
                 yield from cut(opened(payload.as_buffer()), wanted.as_py()).to_batches()
 
-    return batches.join(taken, "batch").select("payload", "taken").mapInArrow(emit, docs.schema)
+    return mapped(batches.join(taken, "batch").select("payload", "taken"), emit, docs.schema)
 
 
 def cut(t: pa.Table, wanted: list[dict]) -> pa.Table:

@@ -13,6 +13,7 @@ Batches are written once, bucketed by their number, so no later round moves a te
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -26,10 +27,40 @@ from ..session import ensure_checkpoint_dir
 from .kernels import U64
 
 BATCH_BYTES = 4 << 20
+ARROW_BYTES = 8 << 20
 ASKED = "bucket long, batch long, payload binary"
 _ASKED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("payload", pa.binary())])
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """Give memory back when a task ends, since workers live on."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with batches of some megabytes, whatever the texts' length.
+
+    This sets the session's size of Arrow batches, which later jobs keep.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.mapInArrow(lean(run), schema)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -84,7 +115,7 @@ def packed(
         if held:
             yield emit()
 
-    out = numbered(df).mapInArrow(run, "batch long, payload binary")
+    out = mapped(numbered(df), run, "batch long, payload binary")
     if not keep:
         return out
     name = f"llm_{uuid.uuid4().hex}"
@@ -213,7 +244,7 @@ def ask(batches: DataFrame, fn: Callable, answer: Callable) -> DataFrame:
         rows = [(bucket, n, p) for n, p in answer(bucket, asked)]
         return pa.Table.from_batches([question(rows)], _ASKED)
 
-    asked = batches.mapInArrow(each(fn), ASKED)
+    asked = mapped(batches, each(fn), ASKED)
     return stored(asked.groupBy("bucket").applyInArrow(reply, ASKED))
 
 

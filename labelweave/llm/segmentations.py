@@ -34,10 +34,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .kernels import U64, mix, runs
+from .rounds import mapped
 
 #: Words whose lattices a worker keeps.
-KEPT_WORDS = 300_000
-SLICE_BYTES = 2 << 20
+KEPT_WORDS = 150_000
+SLICE_BYTES = 1 << 20
 BLANK = "▁"
 #: A private character that parts words; a text that holds it is cut one by one.
 _CUT = "\ue000"
@@ -505,7 +506,7 @@ def segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 42) -> Da
                 if z > a:
                     yield _rows(lattice, b.column("doc_id").slice(a, z - a), texts[a:z], k, seed)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _ROWS)
+    return mapped(docs.select("doc_id", "text"), run, _ROWS)
 
 
 def _id_kind(lattice: Lattice) -> str:

@@ -35,6 +35,7 @@ from .rounds import (
     each,
     flags_of,
     load,
+    mapped,
     packed,
     partitions,
     repeated,
@@ -98,7 +99,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
                     ["doc_id", "fp"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
 def ball(radius: int) -> np.ndarray:
@@ -158,7 +159,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         a, b = _stars(value, who)
         return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    asked = told(batches, met=met).mapInArrow(each(second), "bucket long, batch long, payload binary")
+    asked = mapped(told(batches, met=met), each(second), "bucket long, batch long, payload binary")
     return asked.groupBy("bucket").applyInArrow(join, "a long, b long")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .kernels import Numbering, flat, runs, slices, word_names, words
 from .ranges import ranged
-from .rounds import partitions, shared_path, stored
+from .rounds import mapped, partitions, shared_path, stored
 
 #: Words a worker remembers the ids of.
 KNOWN_WORDS = 1_000_000
@@ -186,7 +186,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, *keep: str) -> DataFra
     source = docs.select("doc_id", *keep, "text")
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *keep))
-    return source.mapInArrow(run, f"{schema}, ids binary")
+    return mapped(source, run, f"{schema}, ids binary")
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
