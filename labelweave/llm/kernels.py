@@ -236,9 +236,10 @@ def runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - first[group]
 
 
-def covered(starts: np.ndarray, width: int, size: int) -> np.ndarray:
-    """Which of ``size`` positions lie in a stretch of ``width`` from one of the starts."""
+def covered(size: int, *stretches: tuple[np.ndarray, np.ndarray | int]) -> np.ndarray:
+    """Which of ``size`` positions lie in a stretch, given as starts and widths."""
     change = np.zeros(size + 1, np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + width, size), -1)
-    return np.cumsum(change[:-1]) > 0
+    for starts, widths in stretches:
+        change += np.bincount(starts, minlength=size + 1).astype(np.int32)
+        change -= np.bincount(np.minimum(starts + widths, size), minlength=size + 1).astype(np.int32)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0

@@ -46,6 +46,7 @@ from .rounds import (
     each,
     flags_of,
     load,
+    mapped,
     packed,
     repeated,
     told,
@@ -68,7 +69,7 @@ class Blocks:
         self.length = length
         none = np.empty(0, np.int64)
         found = [(none.view(U64), none.view(U64), none, none, none)]
-        for i, j in slices(self.offsets):
+        for i, j in slices(self.offsets, 1 << 19):
             found.append(self._slice(i, j, gram, digests))
         # rank of the stretch, digest, document, first byte, number of strings
         columns = [np.concatenate(x) for x in zip(*found)]
@@ -122,7 +123,7 @@ class _Plan:
     def __init__(self, size: int) -> None:
         keys = size / SAMPLE_BYTES
         self.cell, self.low = cell_bits(keys), bucket_bits(keys)
-        self.some, self.pair = bucket_bits(keys / 4, 1e6), bucket_bits(size / 16, 1e6)
+        self.some, self.pair = bucket_bits(keys / 4, 5e5), bucket_bits(size / 16, 5e5)
 
     def shared(self, x: Blocks, met: dict) -> np.ndarray:
         """Leads whose stretch stands elsewhere, in another batch or block."""
@@ -235,14 +236,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         x = Blocks(t, length, gram)
         gone, open_ = _judged(x, plan, said)
         whole = np.concatenate([gone, x.again])
-        of, place = runs(x.n[whole])
         key, _, _, at, again = _open(x, open_)
         hit = flags_of(said["seen"], buckets(key, 64 - plan.pair), len(key))
-        starts = np.concatenate([x.at[whole][of] + place, again, at[hit]])
-        yield _report(t, x, covered(starts, length, len(x.raw)))
+        blocks = x.at[whole], x.n[whole] + length - 1
+        yield _report(t, x, covered(len(x.raw), blocks, (np.concatenate([again, at[hit]]), length)))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return batches.mapInArrow(each(last), schema)
+    return mapped(batches, each(last), schema)
 
 
 def _report(t: pa.Table, x: Blocks, gone: np.ndarray) -> pa.RecordBatch:

@@ -58,6 +58,7 @@ from .rounds import (
     each,
     flags_of,
     load,
+    mapped,
     packed,
     repeated,
     told,
@@ -288,7 +289,7 @@ def _applied(docs: DataFrame, make, schema, window: int, gram: int, many: int) -
         x = Kmers(t, window, gram)
         yield from make(t, x, _removed(x, plan, said)).to_batches()
 
-    return batches.mapInArrow(each(last), schema)
+    return mapped(batches, each(last), schema)
 
 
 def _removed(x: Kmers, plan: _Plan, said: dict) -> np.ndarray:
@@ -297,15 +298,15 @@ def _removed(x: Kmers, plan: _Plan, said: dict) -> np.ndarray:
     gone = np.zeros(len(x.lead), bool)
     gone[shared] = earlier
     whole = np.flatnonzero(gone[x.string] | ~x.own_first) if len(x.key) else shared
-    of, place = runs(x.n[whole])
-    starts = [x.at[whole][of] + place]
+    starts = [np.empty(0, np.int64)]
     key, at, n, _ = _open(x, plan, said)
     for bucket, a, z in buckets(key, 64 - plan.open):
         if bucket in said["seen"]:
             of, place = runs(n[a:z])
             hit = np.unpackbits(np.frombuffer(said["seen"][bucket], np.uint8), count=len(of))
             starts.append((at[a:z][of] + place)[hit.astype(bool)])
-    return covered(np.concatenate(starts), x.window, len(x.begin))
+    runs_of_windows = x.at[whole], x.n[whole] + x.window - 1
+    return covered(len(x.begin), runs_of_windows, (np.concatenate(starts), x.window))
 
 
 def without_repeats(
