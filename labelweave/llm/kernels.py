@@ -149,6 +149,32 @@ def word_names(
     return mix(h)
 
 
+def character_names(
+    raw: np.ndarray, starts: np.ndarray, ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value of each UTF-8 character of stretches, and their number in each.
+
+    A stretch has a word and ends in white space. Each run of white space inside counts
+    as one blank, at its ends as nothing.
+    """
+    of, place = runs(ends - starts)
+    at = starts[of] + place
+    byte = raw[at]
+    space = _SPACE[byte]
+    after = np.zeros(len(at), bool)  # a blank after a character of the same stretch
+    after[1:] = space[1:] & ~space[:-1] & (place[1:] > 0)
+    some = np.flatnonzero(np.where(space, after, (byte & 0xC0) != 0x80))
+    # the last of a stretch is the blank that ends it
+    some = some[np.concatenate([of[some][1:] == of[some][:-1], np.zeros(min(1, len(some)), bool)])]
+    lead = byte[some]
+    value = np.where(space[some], 0x20, lead).astype(U64)
+    padded = np.concatenate([raw, np.zeros(3, np.uint8)])
+    for k, least in enumerate((0xC0, 0xE0, 0xF0), 1):
+        more = np.flatnonzero(lead >= least)
+        value[more] |= padded[at[some[more]] + k].astype(U64) << U64(8 * k)
+    return mix((value + U64(1)) * U64(_LANES[0][2])), np.bincount(of[some], minlength=len(starts))
+
+
 class Numbering:
     """Numbers of 128-bit names, in an open table of fixed size."""
 

@@ -1,14 +1,17 @@
 """Line dedup with an edit bound, by a deletion-neighbourhood join.
 
-Lines are compared as sequences of words. A line of at least ``LEAST_WORDS`` words
-goes if an earlier line (smaller doc_id, or above it in the same document) has the
-same words, and, where the longer of the two has ``LEAST_NEAR`` words, also if an
-earlier line is one edit away: one word put in, left out or replaced. Lines are judged
-on the input, not on what is left. Shorter lines stay; so do empty ones.
-
-Two lines are one edit apart exactly if leaving one word out of one of them, or of
-each at the same place, gives the same words. So every line emits itself and all
-variants with one word left out, as hashes. Nearly all meet nobody, so they travel
+Lines are compared as sequences of words. A line that has any goes if an earlier line
+(smaller doc_id, or above it in the same document) has the same words, and, where the
+longer of the two has ``LEAST_NEAR`` words, also if an earlier line is one edit away:
+one word put in, left out or replaced. Two lines of fewer words, as are lines in
+scripts without blanks and long addresses, are compared by characters instead, with
+one blank between words: the later goes if they are one character apart and the longer
+has ``LEAST_NEAR`` characters. Lines are judged on the input, not on what is left.
+Lines without words stay.
+
+Two lines are one edit apart exactly if leaving one unit out of one of them, or of
+each at the same place, gives the same units. So every line emits itself and all
+variants with one unit left out, as hashes. Nearly all meet nobody, so they travel
 twice: first as gap-coded cells of about three bytes, then, where cells met, in full
 (128 bits) with the place that was left out. What meets there is verified on the
 place, and every line that meets an earlier one goes. No pairs are made; a hash that
@@ -28,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .kernels import U64, Sequence, flat, runs, slices, word_names, words
+from .kernels import U64, Sequence, character_names, flat, runs, slices, word_names, words
 from .rounds import (
     BATCH_BYTES,
     ask,
@@ -47,7 +50,8 @@ from .rounds import (
     told,
 )
 
-LEAST_WORDS = 4
+LEAST_WORDS = 1
+#: Words of a line that may differ in one word; characters, in lines of fewer words.
 LEAST_NEAR = 8
 #: Bytes of a word with its blank, for sizing buckets and cells only.
 WORD_BYTES = 5
@@ -58,7 +62,7 @@ LAST = np.iinfo(np.int64).max
 
 
 class Lines:
-    """Lines of a batch of documents, with the names of their words."""
+    """Lines of a batch of documents, with the names of their words and characters."""
 
     def __init__(self, t: pa.Table) -> None:
         self.raw, offsets = flat(t.column("text"), b"\n")
@@ -81,6 +85,13 @@ class Lines:
         self.lanes = [Sequence(values, lane) for lane in (0, 1)]
         a, z = self.first[:-1], self.first[1:]
         self.h1, self.h2 = (lane.stretch(a, z) for lane in self.lanes)
+        # characters of lines of few words; other lines have none here
+        few = (self.n_words >= LEAST_WORDS) & (self.n_words < LEAST_NEAR)
+        values, n_chars = character_names(self.raw, self.starts[few], self.breaks[few])
+        self.n_chars = np.zeros(len(few), np.int64)
+        self.n_chars[few] = n_chars
+        self.first_char = np.concatenate([[0], np.cumsum(self.n_chars)])
+        self.char_lanes = [Sequence(values, lane) for lane in (0, 1)]
         # place of a line among the batch's lines, earliest first
         order = np.lexsort((np.arange(len(a)), self.doc, self.doc_ids[self.doc]))
         self.place = np.empty(len(a), np.int64)
@@ -93,18 +104,27 @@ class Lines:
         self.again = judged[~new]
 
     def variants(self, lines: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, lines and places of the lines (place -1) and of what is left without a word."""
-        lines = lines[self.n_words[lines] >= LEAST_NEAR - 1]  # a shorter one may be what is left
-        whole = (self.h1, self.h2)[lane][lines]
-        long = lines[self.n_words[lines] >= LEAST_NEAR]
-        of, place = runs(self.n_words[long])
-        a, z = self.first[long][of], self.first[long + 1][of]
-        left = self.lanes[lane].without(a, z, a + place)
-        return (
-            np.concatenate([whole, left]),
-            np.concatenate([lines, long[of]]),
-            np.concatenate([np.full(len(lines), -1), place]),
-        )
+        """Hashes, lines and places of the lines (place -1) and of what is left without a unit."""
+        found = [
+            _variants(self.lanes[lane], self.first, lines[self.n_words[lines] >= LEAST_NEAR - 1]),
+            _variants(self.char_lanes[lane], self.first_char, lines[self.n_chars[lines] >= LEAST_NEAR - 1]),
+        ]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _variants(units: Sequence, first: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The variants of lines whose units begin at ``first``; the shortest may be what is left."""
+    whole = units.stretch(first[lines], first[lines + 1])
+    n = first[lines + 1] - first[lines]
+    long, n = lines[n >= LEAST_NEAR], n[n >= LEAST_NEAR]
+    of, place = runs(n)
+    a, z = first[long][of], first[long + 1][of]
+    left = units.without(a, z, a + place)
+    return (
+        np.concatenate([whole, left]),
+        np.concatenate([lines, long[of]]),
+        np.concatenate([np.full(len(lines), -1), place]),
+    )
 
 
 class _Plan:
@@ -161,7 +181,7 @@ def _first_answer(bucket: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple
 
 
 def _near_answer(bucket: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """Which entries meet an earlier line: at the same place, or with one word more or less."""
+    """Which entries meet an earlier line: at the same place, or with one unit more or less."""
     v1, v2, at, doc, place = (list(x) for x in zip(*(load(p) for _, p in asked)))
     sizes = [len(x) for x in v1]
     rank = _ranks(doc, place)

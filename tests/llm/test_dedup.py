@@ -93,6 +93,21 @@ def test_lines(spark, docs, rows):
     assert [expected[i][3] for i, _ in more] == [0, 1, 1, 0, 1, 0]
 
 
+def test_short_lines(spark):
+    url, chinese = "https://example.org/a/long/path?id=1", "今天天气很好我们去公园散步吧"
+    lines = [
+        "Les.", "All rights reserved.", url, chinese, "日", "seven", "one two", "a b c d e f g",
+        "Les.", "All  rights reserved. ", url, chinese, "日",
+        "All rights reserved!", url[:-1], url + "2", chinese.replace("很", "真"), chinese[:-1],
+        "Le.", "sevens", "one  tow", "one two.", "a b c d e f gg", "a b c d e f x g", "", "  ",
+    ]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: (r.n_equal, r.n_near) for r in linededup.line_report(frame).collect()}
+    # too short for an edit: "Le.", "sevens"; two edits: "one  tow"
+    near = {13, 14, 15, 16, 17, 21, 22, 23}
+    assert found == {i: (int(8 <= i < 13), int(i in near)) for i in range(len(lines))}
+
+
 def test_lines_keep_columns(docs):
     out = linededup.line_dedup(docs)
     assert out.schema == docs.schema and out.count() == docs.count()
