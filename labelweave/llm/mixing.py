@@ -11,9 +11,11 @@ starts over when all are taken.
 
 Defined results: a null text has no words; sources without words get the target 0;
 repeated doc_ids are separate documents; ties between quotients go to the earlier
-source. Other columns are ignored by the plan and kept by ``mixed``. There are at
-most about ``SEATS`` seats, whatever the corpus, so blocks grow with it; a source
-whose target is under half a block gets none.
+source. Other columns are ignored by the plan and kept by ``mixed``. Large sources
+share at most about ``SEATS`` seats, whatever the corpus, so their blocks grow with it.
+A source whose target is under ``LEAST_BLOCKS`` of these blocks has blocks of its own
+size, as many as its target needs to be met closely, and the nearest number of seats,
+which lie between the others by their place (2 k + 1) / blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import global_rank, rank_within
@@ -34,9 +36,13 @@ from .rounds import each, mapped, opened, packed, partitions, stored
 
 WEIGHTS = (1, 2, 3)
 PASSES = 3
-#: Blocks of the smallest target, and a bound for all of them.
+#: Blocks of the smallest target, and a bound for all blocks of one size.
 BLOCKS_OF_SMALLEST = 1024
 SEATS = 1 << 20
+#: Blocks that the target of every source has at least, unless these have a single word.
+LEAST_BLOCKS = 512
+#: Blocks listed at once.
+LISTED = 1 << 16
 SHARD_SEATS = 1 << 10
 
 
@@ -108,23 +114,42 @@ def targets(
 
 
 def block_words(plan: DataFrame) -> tuple[int, int]:
-    """Words of a block and the number of blocks of the mix."""
+    """Words of a block of large sources, and the number of blocks of the mix."""
     least, everything = plan.filter("target > 0").agg(F.min("target"), F.sum("target")).first()
     if not everything:
         return 1, 0
     b = max(1, int(least // BLOCKS_OF_SMALLEST), -int(-everything // SEATS))
-    return b, round(everything / b)
+    large = plan.filter(_own_block(b) == b).agg(F.sum("target")).first()[0] or 0
+    return b, round(large / b) + _small_seats(plan, b)
+
+
+def _own_block(b: int) -> Column:
+    """Words of a block of a source: ``b``, or less where that would be too coarse."""
+    own = F.floor(F.col("target") / LEAST_BLOCKS).cast("long")
+    return F.least(F.lit(b).cast("long"), F.greatest(F.lit(1).cast("long"), own))
+
+
+def _small_seats(plan: DataFrame, b: int) -> int:
+    small = plan.filter((F.col("target") > 0) & (_own_block(b) < b))
+    return small.agg(F.sum(F.round(F.col("target") / _own_block(b)).cast("long"))).first()[0] or 0
 
 
 def seats(plan: DataFrame, b: int, n: int, passes: int = PASSES) -> DataFrame:
-    """(source_no, k, seat, shard): the n highest quotients of all sources."""
-    blocks = F.ceil(F.col("source_size") / b)
-    most = F.least(blocks * passes, F.floor(F.col("target") / b) + 3).cast("long")
-    quotients = plan.filter("target > 0").select(
-        "source_no", "target", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)).alias("k")
-    ).select("source_no", "k", (F.col("target") / (2 * F.col("k") + 1)).alias("quotient"))
-    ranked = global_rank(quotients, [F.desc("quotient"), "source_no", "k"], "seat")
-    return ranked.filter(F.col("seat") <= n).select(
+    """(source_no, k, seat, shard): the n highest quotients, of small sources their nearest number."""
+    some = plan.filter("target > 0").withColumn("own", _own_block(b))
+    own = F.col("target") / F.col("own")
+    most = F.least(F.ceil(F.col("source_size") / F.col("own")) * passes, F.floor(own) + 3)
+    most = F.when(F.col("own") == b, most).otherwise(F.round(own)).cast("long")
+    quotients = some.filter(most > 0).select(
+        "source_no", "own", own.alias("blocks"), F.explode(F.sequence(F.lit(0).cast("long"), most - 1)).alias("k")
+    ).select("source_no", "own", "k", (F.col("blocks") / (2 * F.col("k") + 1)).alias("quotient"))
+    order = [F.desc("quotient"), "source_no", "k"]
+    n_small = _small_seats(plan, b)
+    taken = global_rank(quotients.filter(F.col("own") == b), order, "seat").filter(F.col("seat") <= n - n_small)
+    if n_small:
+        small = quotients.filter(F.col("own") < b)
+        taken = global_rank(taken.drop("seat").unionByName(small), order, "seat")
+    return taken.select(
         "source_no", "k", "seat", F.expr(f"(seat - 1) div {SHARD_SEATS}L").alias("shard")
     )
 
@@ -136,10 +161,15 @@ def quotas(taken_seats: DataFrame) -> DataFrame:
 
 def chosen_blocks(plan: DataFrame, taken_seats: DataFrame, b: int, seed: int) -> DataFrame:
     """(source_no, block, times): blocks in seeded order, as many as the source has seats."""
-    n_blocks = F.ceil(F.col("source_size") / b).cast("long")
+    n_blocks = F.ceil(F.col("source_size") / _own_block(b)).cast("long")
+    zero = F.lit(0).cast("long")
+    part = F.col("part") * LISTED
     listed = plan.filter("source_size > 0").select(
         "source_no", n_blocks.alias("blocks"),
-        F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("block"),
+        F.explode(F.sequence(zero, F.floor((n_blocks - 1) / LISTED))).alias("part"),
+    ).select(
+        "source_no", "blocks",
+        F.explode(F.sequence(part, F.least(F.col("blocks"), part + LISTED) - 1)).alias("block"),
     ).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "source_no", "block")))
     order = rank_within(listed, ["source_no"], "_h", "block", out="_k", digits=2)
     # how often a source's k-th block is taken: its seats k, k + blocks, k + 2 blocks ..
@@ -166,20 +196,21 @@ def mix_plan(
     plan = stored(targets(sizes, weights, passes))
     b, n = block_words(plan)
     chosen = stored(chosen_blocks(plan, stored(seats(plan, b, n, passes)), b, seed))
+    plan = plan.withColumn("own", _own_block(b))
     numbered = sizes.join(plan, sizes.source.eqNullSafe(plan.source)).drop(plan.source)
     laid_out = before_each(
         ranged(numbered, "doc_id", 4 * partitions(sizes)),
         ["source_no"], ["doc_id", "size", "row"], "size", "_start",
     )
-    last = F.expr(f"(_start + size - 1) div {b}L")
+    last = F.expr("(_start + size - 1) div own")
     parts = (
         laid_out.filter("size > 0")
-        .withColumn("block", F.explode(F.sequence(F.expr(f"_start div {b}L"), last)))
+        .withColumn("block", F.explode(F.sequence(F.expr("_start div own"), last)))
         .join(chosen, ["source_no", "block"])
         .select(
             "row",
-            F.greatest(F.lit(0), F.col("block") * b - F.col("_start")).alias("first"),
-            F.least("size", (F.col("block") + 1) * b - F.col("_start")).alias("end"),
+            F.greatest(F.lit(0), F.col("block") * F.col("own") - F.col("_start")).alias("first"),
+            F.least("size", (F.col("block") + 1) * F.col("own") - F.col("_start")).alias("end"),
             "times",
         )
         .groupBy("row")
@@ -191,7 +222,7 @@ def mix_plan(
     return (
         numbered.join(parts, "row", "left")
         .withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
-        .drop("source_no")
+        .drop("source_no", "own")
     )
 
 

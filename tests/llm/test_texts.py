@@ -158,6 +158,22 @@ def test_mix(docs, rows):
     assert (out.taken <= 3 * out["size"]).all()
 
 
+def test_small_sources_of_a_large_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SEATS", 2048)
+    monkeypatch.setattr(mixing, "LISTED", 16)
+    texts = [(f"s{k}", 20 + 37 * k) for k in range(6)] + [("t", 900), ("u", 1000), ("v", 20000), ("w", 30000)]
+    rows = [(i, name, "w " * (n // 4 + 1)) for name, n in texts for i in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plan = mixing.targets(mixing.sized(frame))
+    b, n = mixing.block_words(plan)
+    assert b > 20 and mixing.seats(plan, b, n).count() == n
+    out = mixing.mix_plan(mixing.sized(frame)).toPandas()
+    assert list(out.columns) == ["row", "doc_id", "source", "size", "source_size", "target", "taken", "spans"]
+    for source, mine in out.groupby("source"):
+        target = mine.target.iloc[0]
+        assert abs(mine.taken.sum() - target) <= max(3, 0.01 * target), source
+
+
 def test_mixed_documents(docs):
     out = mixing.mixed(docs)
     assert out.schema == docs.schema
