@@ -47,9 +47,7 @@ def logreg_pairs(spark, d):
     """Pair regression on the train part, evaluated on the test part."""
     side = views.label_side(spark, d)
     train, test = split_rows(spark, d)
-    model = learning.fit_linear_pairs(
-        learning.training_pairs(train, side, "vec_id"), side, max_iter=100
-    )
+    model = learning.fit_linear_pairs(learning.training_pairs(train, side, "vec_id"), side)
     return metric_rows(spark, learning.evaluate(model, test))
 
 
@@ -60,9 +58,7 @@ def gbt_pairs(spark, d):
     train, test = split_rows(spark, d)
     train_pairs = learning.training_pairs(train, side, "vec_id")
     test_pairs = learning.training_pairs(test, side, "vec_id")
-    model = learning.fit_boosted_pairs(
-        train_pairs, side, rounds=5, max_depth=3, pca_components=16
-    )
+    model = learning.fit_boosted_pairs(train_pairs, side, pca_components=16)
     curves = learning.loss_curves(model, {"train": train_pairs, "test": test_pairs})
     return spark.createDataFrame(curves, "split string, round int, loss double")
 
@@ -71,9 +67,7 @@ def gbt_pairs(spark, d):
 def loss_curve(spark, d):
     """Objective of the pair regression after every iteration."""
     side = views.label_side(spark, d)
-    model = learning.fit_linear_pairs(
-        learning.training_pairs(rows(spark, d), side, "vec_id"), side, max_iter=50
-    )
+    model = learning.fit_linear_pairs(learning.training_pairs(rows(spark, d), side, "vec_id"), side)
     return spark.createDataFrame(list(enumerate(model.loss_curve)), "iteration int, loss double")
 
 
@@ -82,7 +76,7 @@ def pair_fit_summary(spark, d):
     """Pair counts and mean losses of the pair regression on both parts."""
     side = views.label_side(spark, d)
     train, test = (learning.training_pairs(part, side, "vec_id") for part in split_rows(spark, d))
-    model = learning.fit_linear_pairs(train, side, max_iter=50)
+    model = learning.fit_linear_pairs(train, side)
     return metric_rows(spark, learning.pair_fit_summary(model, train, test))
 
 
@@ -112,9 +106,7 @@ def grid_search(spark, d):
 def model_scores(spark, d):
     """Match probability of every (row, label) from the fitted pair regression."""
     side = views.label_side(spark, d)
-    model = learning.fit_linear_pairs(
-        learning.training_pairs(rows(spark, d), side, "vec_id"), side, max_iter=50
-    )
+    model = learning.fit_linear_pairs(learning.training_pairs(rows(spark, d), side, "vec_id"), side)
     return scoring.long_scores(model.score_rows(rows(spark, d)), side, ["vec_id"])
 
 
@@ -217,8 +209,6 @@ def swarm_search(spark, d):
             {"name": "C", "kind": "log_float", "min": 0.01, "max": 100.0},
             {"name": "n_neg", "kind": "int", "min": 1, "max": 6},
         ],
-        particles=2,
-        iterations=1,
     )
     data = [
         (h["iteration"], h["particle"], h["values"]["C"], h["values"]["n_neg"], h["fitness"], h["threshold"])

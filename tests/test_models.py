@@ -399,3 +399,30 @@ def test_train_and_submit(spark, tmp_path):
     assert wide[0]["good"] and not wide[0]["bad"] and wide[5]["other"]
     kept = store.get_predictions("classifier", "train")
     assert kept.columns == ["text", "true", "predicted"] and kept.filter(F.col("true") == F.col("predicted")).count() == 6
+
+
+@pytest.mark.parametrize(
+    "name, module, fit, least",
+    [
+        *((n, learning, "fit_linear_pairs", {"max_iter": 1000}) for n in ("logreg_pairs", "loss_curve", "pair_fit_summary", "model_scores")),
+        ("gbt_pairs", learning, "fit_boosted_pairs", {"rounds": 200, "max_depth": 6}),
+        ("swarm_search", search, "swarm_search", {"particles": 5, "iterations": 4}),
+    ],
+)
+def test_queries_use_whole_settings(spark, monkeypatch, name, module, fit, least):
+    import inspect
+
+    from labelweave.plans import model_queries
+
+    own, used = getattr(module, fit), {}
+
+    def seen(*args, **kwargs):
+        bound = inspect.signature(own).bind(*args, **kwargs)
+        bound.apply_defaults()
+        used.update(bound.arguments)
+        raise StopIteration
+
+    monkeypatch.setattr(module, fit, seen)
+    with pytest.raises(StopIteration):
+        getattr(model_queries, name)(spark, "/root/testdata/sf0.001")
+    assert {k: used[k] for k in least} == least
