@@ -13,6 +13,7 @@ from . import (
     lexical,
     linededup,
     mixing,
+    ngramjoin,
     periodic,
     segmentations,
     simhash,
@@ -176,3 +177,8 @@ _TERMS = (
 )
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op12_ngram_join")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_groups(table(spark, sf_dir, "documents"))

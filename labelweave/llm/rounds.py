@@ -116,11 +116,14 @@ def packed(
             yield emit()
 
     out = mapped(numbered(df), run, "batch long, payload binary")
-    if not keep:
-        return out
+    return bucketed(out) if keep else out
+
+
+def bucketed(df: DataFrame, key: str = "batch") -> DataFrame:
+    """Write the rows to the shared folder, bucketed by a key, so that joins on it move nothing."""
     name = f"llm_{uuid.uuid4().hex}"
-    out.write.option("path", shared_path(df)).option("compression", "none").bucketBy(
-        partitions(df), "batch"
+    df.write.option("path", shared_path(df)).option("compression", "none").bucketBy(
+        partitions(df), key
     ).saveAsTable(name)
     # the frame knows the files and their buckets; the catalog need not
     table = df.sparkSession.table(name)
