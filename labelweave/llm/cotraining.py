@@ -1,15 +1,18 @@
 """Quality classifier by co-training a text view and a page view.
 
-The text view sees what the text is written with: shares of letters, capitals, digits
-and of each mark, word lengths, words that come again at once. The page view sees
-what is known of the page without reading it: language, source, size, number and
-length of lines. Each is a ridge logistic regression. In each round either view names
-the pages of an unlabelled pool of which it is surest, in the proportion of the
-classes, and the other view learns from them. At the end the logits of both are
-combined and calibrated on labelled pages that neither has seen.
+The text view reads the text: shares of letters, capitals, digits and of each mark,
+shares of hashed words and of hashed stretches of three bytes, word lengths, words that
+come again at once, size, number and length of lines. The page view sees what is known
+of the page without reading it: language and source. Each is a ridge logistic
+regression. In each round either view names the pages of an unlabelled pool of which it
+is surest, in the proportion of the classes, and the other view learns from them. How
+sure a view has to be is read off the labelled pages, each judged by a fit without its
+fifth of them: where it is not right in ``SURE`` of the cases, it names none. At the end
+the logits of both views, of such fits again, are combined and calibrated on the labels.
 
 The fit reads a bounded sample, drawn by a hash of doc_id: at most ``LABELLED``
-labelled and ``POOL`` unlabelled documents, whatever the size of the corpus. Every
+labelled and ``POOL`` unlabelled documents, whatever the size of the corpus; of rows
+with one doc_id it takes one. Every
 document is scored, in one pass over its whole text.
 
 Defined results: a null or empty text is scored by its page view and zeros; a null
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import flat, slices, word_names, words
+from .kernels import U64, flat, mix, slices, word_names, words
 from .rounds import mapped, numbered
 
 LABELLED = 12_288
@@ -40,10 +43,14 @@ ROUNDS = 4
 #: Share of the pool that a view names per round, and how sure it must be.
 NAMED = 0.05
 SURE = 0.95
-#: Every fifth labelled document is held out for the calibration.
-HELD_OUT = 5
+#: Labelled documents that a view has to be right about before it names any.
+PROVEN = 20
+#: Labelled documents are judged by fits without their part of so many.
+FOLDS = 5
 THRESHOLD = 0.5
 LANGS, SOURCES = 8, 32
+#: Cells of hashed words and of hashed stretches of three bytes.
+WORD_CELLS, GRAM_CELLS = 64, 64
 
 _MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
 _CLASSES = np.zeros(256, np.int64)
@@ -57,28 +64,32 @@ _CLASSES[10] = 5
 _CLASSES[128:192] = 6
 _CLASSES[192:] = 7
 N_CLASSES = 8 + len(_MARKS)
+TEXT_WIDTH = N_CLASSES + WORD_CELLS + GRAM_CELLS + 8
 
 
 def features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Text and page features of each document."""
     raw, offsets = flat(b.column(b.schema.get_field_index("text")), b"\n")
-    text, layout = [], []
+    text = [np.empty((0, TEXT_WIDTH))]
     for i, j in slices(offsets):
         part, bounds = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         size = np.diff(bounds)
-        of = np.repeat(np.arange(j - i) * N_CLASSES, size)
-        of += _CLASSES[part]
-        seen = np.bincount(of, minlength=(j - i) * N_CLASSES).reshape(j - i, N_CLASSES).astype(float)
-        seen[:, 5] -= 1  # the line break put after each text
-        lines = seen[:, 5] + 1
-        shares = seen / np.maximum(size - 1, 1)[:, None]
+        byte_doc = np.repeat(np.arange(j - i), size)
+
+        def shares(doc: np.ndarray, cell: np.ndarray, cells: int, n: np.ndarray, count=j - i) -> np.ndarray:
+            seen = np.bincount(doc * cells + cell, minlength=count * cells).reshape(count, cells)
+            return np.log1p(100 * seen / np.maximum(n, 1)[:, None])
+
+        letters = np.delete(part, bounds[1:] - 1), np.delete(byte_doc, bounds[1:] - 1)
+        lines = 1 + np.bincount(letters[1], letters[0] == 10, j - i)
         starts, ends = words(part)
         named = word_names(part, starts, ends)
-        first = np.searchsorted(starts, bounds)
-        n = np.maximum(np.diff(first), 1)
         doc = np.searchsorted(bounds, starts, "right") - 1
+        n_words = np.bincount(doc, minlength=j - i)
+        wide = part.astype(np.uint64)
+        gram = wide[:-2] | wide[1:-1] << U64(8) | wide[2:] << U64(16)
 
-        def per_word(values: np.ndarray, doc=doc, n=n, count=j - i) -> np.ndarray:
+        def per_word(values: np.ndarray, doc=doc, n=np.maximum(n_words, 1), count=j - i) -> np.ndarray:
             return np.bincount(doc, values, count) / n
 
         length = (ends - starts).astype(float)
@@ -89,13 +100,15 @@ def features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
             again.append(per_word(same))
         mean = per_word(length)
         spread = np.sqrt(np.maximum(per_word(length * length) - mean * mean, 0))
-        text.append(np.column_stack([np.log1p(100 * shares), mean, spread, *again]))
-        layout.append(np.column_stack([np.log1p(size - 1), np.log1p(lines), np.log1p((size - 1) / lines)]))
-    width = N_CLASSES + 5
-    text = np.concatenate([np.empty((0, width)), *text])
-    layout = np.concatenate([np.empty((0, 3)), *layout])
+        layout = np.log1p(size - 1), np.log1p(lines), np.log1p((size - 1) / lines)
+        text.append(np.column_stack([
+            shares(letters[1], _CLASSES[letters[0]], N_CLASSES, size - 1),
+            shares(doc, (named >> U64(40)).astype(np.int64) % WORD_CELLS, WORD_CELLS, n_words),
+            shares(byte_doc[: len(gram)], (mix(gram) >> U64(40)).astype(np.int64) % GRAM_CELLS, GRAM_CELLS, size),
+            mean, spread, *again, *layout,
+        ]))
     kinds = [_one_hot(b.column(b.schema.get_field_index(c)), k) for c, k in (("lang", LANGS), ("source", SOURCES))]
-    return text, np.column_stack([layout, *kinds])
+    return np.concatenate(text), np.column_stack(kinds)
 
 
 def _one_hot(column: pa.Array, size: int) -> np.ndarray:
@@ -159,22 +172,18 @@ def co_train(
     rounds: int = ROUNDS,
 ) -> CoTrained:
     """Fit both views on labelled rows and a pool without labels."""
-    held = np.arange(len(y)) % HELD_OUT == 0
-    if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
-        held[:] = False
     data = (text, page)
-    own = [[x[~held]] for x in data]
-    labels = [[y[~held]] for _ in data]
+    own, labels = [[x] for x in data], [[y] for _ in data]
     open_ = np.ones(len(pool[0]), bool)
-    share = y[~held].mean()
+    share = y.mean()
     for _ in range(rounds):
         views = [View.fit(np.concatenate(x), np.concatenate(l)) for x, l in zip(own, labels)]
         named = []
-        for view, x in zip(views, pool):
-            p = _probability(view.logits(x))
+        for view, x, seen, l in zip(views, pool, own, labels):
+            p, judged = _probability(view.logits(x)), _probability(_judged(seen, l))
             n = NAMED * open_.sum()
-            for value, sure, part in ((1, p, share), (0, 1 - p, 1 - share)):
-                some = np.flatnonzero(open_ & (sure >= SURE))
+            for value, sure, said, part in ((1, p, judged, share), (0, 1 - p, 1 - judged, 1 - share)):
+                some = np.flatnonzero(open_ & (sure >= _least_sure(said, y == value)))
                 best = some[np.argsort(-sure[some], kind="stable")[: int(np.ceil(n * part))]]
                 named.append((value, best))
         for other, (value, best) in zip((1, 1, 0, 0), named):
@@ -185,9 +194,28 @@ def co_train(
             break
         open_[taken] = False
     views = [View.fit(np.concatenate(x), np.concatenate(l)) for x, l in zip(own, labels)]
-    judge = held if held.any() else ~held
-    logits = np.column_stack([v.logits(x[judge]) for v, x in zip(views, data)])
-    return CoTrained(*views, View.fit(logits, y[judge], ridge=1.0))
+    logits = np.column_stack([_judged(x, l) for x, l in zip(own, labels)])
+    return CoTrained(*views, View.fit(logits, y, ridge=1.0))
+
+
+def _judged(own: list[np.ndarray], labels: list[np.ndarray]) -> np.ndarray:
+    """Logits of the labelled rows, the first of ``own``, by fits that have not seen them."""
+    x, y = own[0], labels[0]
+    out = np.zeros(len(y))
+    for fold in range(FOLDS):
+        held = np.arange(len(y)) % FOLDS == fold
+        rest = np.concatenate([y[~held], *labels[1:]])
+        if held.any() and len(np.unique(rest)) == 2:
+            out[held] = View.fit(np.concatenate([x[~held], *own[1:]]), rest).logits(x[held])
+    return out
+
+
+def _least_sure(said: np.ndarray, right: np.ndarray) -> float:
+    """How sure a view has to be of a class to be right in ``SURE`` of the labelled rows."""
+    order = np.argsort(-said, kind="stable")
+    rate = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+    some = np.flatnonzero((rate >= SURE) & (np.arange(len(order)) >= PROVEN - 1) & (said[order] > 0.5))
+    return max(SURE, float(said[order][some[-1]])) if len(some) else np.inf
 
 
 _COLUMNS = ("doc_id", "text", "lang", "source")
@@ -204,11 +232,12 @@ def fit(
         .groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
     )
     docs = docs.select(*_COLUMNS)
-    with_label = docs.select("doc_id").distinct().join(known, "doc_id").orderBy(hashed, "doc_id").limit(labelled)
-    without = docs.select("doc_id").distinct().join(known, "doc_id", "left_anti").filter("doc_id is not null")
-    without = without.orderBy(hashed, "doc_id").limit(pool).withColumn("_y", F.lit(-1))
-    # at most labelled + pool rows of two numbers
-    sample = docs.join(F.broadcast(with_label.unionByName(without)), "doc_id")
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text", "lang", "source")).alias("_h"))
+    with_label = ids.join(known, "doc_id").orderBy(hashed, "doc_id").limit(labelled)
+    without = ids.join(known, "doc_id", "left_anti").orderBy(hashed, "doc_id").limit(pool)
+    # at most labelled + pool rows of three numbers; one row is measured of each
+    drawn = F.broadcast(with_label.unionByName(without.withColumn("_y", F.lit(-1))))
+    sample = docs.withColumn("_h", F.xxhash64("text", "lang", "source")).join(drawn, ["doc_id", "_h"])
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,7 +249,8 @@ def fit(
                 ["doc_id", "y", "x"],
             )
 
-    rows = mapped(sample, measure, "doc_id long, y int, x binary").toPandas()
+    measured = mapped(sample, measure, "doc_id long, y int, x binary")
+    rows = measured.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas()
     rows = rows.sort_values(["y", "doc_id", "x"], ignore_index=True)
     # labelled rows in an order that has nothing to do with their id
     order = np.argsort([zlib.crc32(str(i).encode()) for i in rows["doc_id"]], kind="stable")
@@ -229,7 +259,7 @@ def fit(
     if not {0, 1} <= set(y):
         return None
     x = np.stack([np.frombuffer(r, np.float32) for r in rows["x"]]).astype(float)
-    cut, some = N_CLASSES + 5, y >= 0
+    cut, some = TEXT_WIDTH, y >= 0
     return co_train(x[some, :cut], x[some, cut:], y[some], (x[~some, :cut], x[~some, cut:]))
 
 
@@ -260,6 +290,21 @@ def scored(docs: DataFrame, model: CoTrained | None, threshold: float = THRESHOL
     return mapped(numbered(docs), run, schema)
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with their own columns only, that the classifier keeps."""
+    model = fit(docs, labels, label)
+    if model is None:
+        return docs
+    columns = docs.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = model.score(*features(b.rename_columns(columns)))[2] >= threshold
+            yield b.filter(pa.array(keep)).rename_columns(columns)
+
+    return mapped(numbered(docs), run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """Fit on the labels and score every document."""
     return scored(docs, fit(docs, labels, label))

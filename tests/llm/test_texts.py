@@ -8,7 +8,17 @@ import numpy as np
 import pytest
 import xxhash
 
-from labelweave.llm import cotraining, mixing, token_files, winnowing
+from labelweave.llm import (
+    cotraining,
+    linededup,
+    mixing,
+    rounds,
+    simhash,
+    suffixes,
+    superkmer,
+    token_files,
+    winnowing,
+)
 from labelweave.llm import segmentations as seg
 from labelweave.llm.queries import vocabulary
 
@@ -189,6 +199,61 @@ def test_quotas_are_whole(docs):
     assert (found.groupby("shard").blocks.sum()[:-1] == mixing.SHARD_SEATS).all()
 
 
+def test_shards_get_their_quotas(docs):
+    plan = mixing.targets(mixing.sized(docs))
+    b, n = mixing.block_words(plan)
+    seats = mixing.seats(plan, b, n)
+    quotas = {(r.shard, r.source_no): r.blocks for r in mixing.quotas(seats).collect()}
+    given, times = Counter(), Counter()
+    for r in mixing.chosen_blocks(plan, seats, b, 42).collect():
+        given.update((shard, r.source_no) for shard in r.shards)
+        times[r.source_no, r.block] = r.times
+        assert r.times == len(r.shards)
+    assert given == quotas and len({s for s, _ in quotas}) > 1
+    for source in {s for s, _ in times}:  # no block is taken again before all others are
+        own = [t for (s, _), t in times.items() if s == source]
+        assert max(own) - min(own) <= 1 or min(own) == 0
+
+
+def test_rows_of_very_many_partitions():
+    at = np.arange(3)
+    found = [rounds.row_numbers((part << 32) + number, at) for part in (0, 1, 2_100, 4_000_000) for number in (0, 1, 900_000)]
+    numbers = np.concatenate(found)
+    assert len(set(numbers.tolist())) == len(numbers) and numbers.min() >= 0 and (np.diff(numbers) > 0).all()
+
+
+def test_fit_of_a_hot_id_takes_one_row(spark, monkeypatch):
+    rows = [(1, f"word {k}", "en", "s") for k in range(300)] + [(k, "good text here", "en", "t") for k in range(2, 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 11)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(cotraining, "co_train", lambda text, page, y, pool: seen.append((len(y), len(pool[0]))))
+    cotraining.fit(frame, labels, labelled=4, pool=6)
+    assert seen == [(4, 6)]
+
+
+def test_good_documents_keep_their_own_columns(spark, docs):
+    labels = spark.createDataFrame([(3 * i, i % 2) for i in range(40)], "doc_id long, quality int")
+    out = cotraining.good_documents(docs, labels)
+    assert out.schema == docs.schema and 0 < out.count() < docs.count()
+    assert out.filter("keep = 2").count() == out.count()
+    assert cotraining.good_documents(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_null_ids(spark):
+    text = "some words that come again and again and again in a text of words " * 4
+    rows = [(None, text, "en", "a"), (None, text, "en", None), (None, None, None, "a"), (5, text, "de", "a"), (5, "", "en", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    labels = spark.createDataFrame([(5, 1), (None, 0)], "doc_id long, quality int")
+    for out in (
+        mixing.mix_plan(mixing.sized(frame)), winnowing.report(frame), superkmer.without_repeats(frame),
+        suffixes.without_repeats(frame), simhash.near_duplicates(frame), linededup.line_dedup(frame),
+        cotraining.quality_scores(frame, labels), token_files.token_table(frame, vocabulary("word_bpe_49k.json")),
+    ):
+        found = [r.doc_id for r in out.collect()]
+        assert sorted(map(str, found)) == sorted(str(r[0]) for r in rows)
+
+
 def test_classifier_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     documents = spark.read.parquet(f"{folder}/documents.parquet")
