@@ -6,16 +6,17 @@ own words, and what it cannot give is shared again by weight. The words of a sou
 in order of doc_id, are cut into blocks of the same number of words. Seats, one per
 block of the mix, go to the sources with the highest quotients target / (2 k + 1);
 consecutive seats make a shard, which gives each shard whole quotas that follow the
-targets. A source's k-th seat takes the k-th of its blocks in seeded order, and
-starts over when all are taken.
+targets. The quotas are filled shard after shard from the blocks of each source in
+seeded order, starting over when all are taken; a taken stretch knows its shards.
 
 Defined results: a null text has no words; sources without words get the target 0;
 repeated doc_ids are separate documents; ties between quotients go to the earlier
 source. Other columns are ignored by the plan and kept by ``mixed``. Large sources
 share at most about ``SEATS`` seats, whatever the corpus, so their blocks grow with it.
 A source whose target is under ``LEAST_BLOCKS`` of these blocks has blocks of its own
-size, as many as its target needs to be met closely, and the nearest number of seats,
-which lie between the others by their place (2 k + 1) / blocks.
+size, as many as its target needs to be met closely. The small sources are apportioned
+among themselves by the same quotients; their seats lie between those of the others by
+place, (2 k + 1) / blocks.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import global_rank, rank_within
 from .kernels import flat, slices, words
 from .ranges import before_each, ranged
-from .rounds import each, mapped, opened, packed, partitions, stored
+from .rounds import each, mapped, opened, packed, partitions, row_numbers, stored
 
 WEIGHTS = (1, 2, 3)
 PASSES = 3
@@ -135,11 +136,11 @@ def _small_seats(plan: DataFrame, b: int) -> int:
 
 
 def seats(plan: DataFrame, b: int, n: int, passes: int = PASSES) -> DataFrame:
-    """(source_no, k, seat, shard): the n highest quotients, of small sources their nearest number."""
+    """(source_no, k, seat, shard): the highest quotients of the large and of the small sources."""
     some = plan.filter("target > 0").withColumn("own", _own_block(b))
     own = F.col("target") / F.col("own")
     most = F.least(F.ceil(F.col("source_size") / F.col("own")) * passes, F.floor(own) + 3)
-    most = F.when(F.col("own") == b, most).otherwise(F.round(own)).cast("long")
+    most = most.cast("long")
     quotients = some.filter(most > 0).select(
         "source_no", "own", own.alias("blocks"), F.explode(F.sequence(F.lit(0).cast("long"), most - 1)).alias("k")
     ).select("source_no", "own", "k", (F.col("blocks") / (2 * F.col("k") + 1)).alias("quotient"))
@@ -147,7 +148,8 @@ def seats(plan: DataFrame, b: int, n: int, passes: int = PASSES) -> DataFrame:
     n_small = _small_seats(plan, b)
     taken = global_rank(quotients.filter(F.col("own") == b), order, "seat").filter(F.col("seat") <= n - n_small)
     if n_small:
-        small = quotients.filter(F.col("own") < b)
+        small = global_rank(quotients.filter(F.col("own") < b), order, "seat").filter(F.col("seat") <= n_small)
+        small = small.drop("seat")
         taken = global_rank(taken.drop("seat").unionByName(small), order, "seat")
     return taken.select(
         "source_no", "k", "seat", F.expr(f"(seat - 1) div {SHARD_SEATS}L").alias("shard")
@@ -160,7 +162,7 @@ def quotas(taken_seats: DataFrame) -> DataFrame:
 
 
 def chosen_blocks(plan: DataFrame, taken_seats: DataFrame, b: int, seed: int) -> DataFrame:
-    """(source_no, block, times): blocks in seeded order, as many as the source has seats."""
+    """(source_no, block, times, shards): blocks in seeded order that fill the shards' quotas."""
     n_blocks = F.ceil(F.col("source_size") / _own_block(b)).cast("long")
     zero = F.lit(0).cast("long")
     part = F.col("part") * LISTED
@@ -172,13 +174,16 @@ def chosen_blocks(plan: DataFrame, taken_seats: DataFrame, b: int, seed: int) ->
         F.explode(F.sequence(part, F.least(F.col("blocks"), part + LISTED) - 1)).alias("block"),
     ).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "source_no", "block")))
     order = rank_within(listed, ["source_no"], "_h", "block", out="_k", digits=2)
-    # how often a source's k-th block is taken: its seats k, k + blocks, k + 2 blocks ..
-    of_source = taken_seats.groupBy("source_no").agg(F.count(F.lit(1)).alias("_seats"))
-    times = F.expr("greatest(0L, _seats - _k + blocks) div blocks")
+    # a quota is filled from where the shards before it left off; the seeded order starts over
+    before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    filled = quotas(taken_seats).withColumn("_from", F.coalesce(F.sum("blocks").over(before), zero))
+    filled = filled.withColumn("_at", F.explode(F.expr("sequence(_from, _from + blocks - 1)")))
+    places = filled.join(plan.select("source_no", n_blocks.alias("_n")), "source_no")
+    places = places.select("source_no", F.expr("_at % _n + 1").alias("_k"), "shard")
     return (
-        order.join(of_source, "source_no")
-        .select("source_no", "block", times.alias("times"))
-        .filter("times > 0")
+        order.join(places, ["source_no", "_k"])
+        .groupBy("source_no", "block")
+        .agg(F.count(F.lit(1)).alias("times"), F.sort_array(F.collect_list("shard")).alias("shards"))
     )
 
 
@@ -190,8 +195,8 @@ def mix_plan(
 ) -> DataFrame:
     """Rows of ``sizes`` (row, doc_id, source, size, ..) with what the mix takes of them.
 
-    Adds source_size, target, taken and ``spans``, an array of (first, end, times) word
-    ranges that are taken.
+    Adds source_size, target, taken and ``spans``, an array of (first, end, times, shards)
+    word ranges that are taken, with a shard for each time.
     """
     plan = stored(targets(sizes, weights, passes))
     b, n = block_words(plan)
@@ -211,12 +216,12 @@ def mix_plan(
             "row",
             F.greatest(F.lit(0), F.col("block") * F.col("own") - F.col("_start")).alias("first"),
             F.least("size", (F.col("block") + 1) * F.col("own") - F.col("_start")).alias("end"),
-            "times",
+            "times", "shards",
         )
         .groupBy("row")
         .agg(
             F.sum((F.col("end") - F.col("first")) * F.col("times")).alias("taken"),
-            F.sort_array(F.collect_list(F.struct("first", "end", "times"))).alias("spans"),
+            F.sort_array(F.collect_list(F.struct("first", "end", "times", "shards"))).alias("spans"),
         )
     )
     return (
@@ -238,13 +243,13 @@ def mixed(
     line; one that is taken more than once has a row for each time. ``n_chars`` is
     set to the new length where there is such a column.
     """
-    batches = packed(docs)
+    batches = packed(docs, rows=1 << 20)
 
     def measure(batch: int, t: pa.Table, said: dict) -> Iterator[pa.RecordBatch]:
         size = word_counts(t.column("text"))
         at = np.arange(len(size))
         columns = {
-            "row": pa.array((batch << 20) + at), "batch": pa.array(np.full(len(size), batch)),
+            "row": pa.array(row_numbers(batch, at)), "batch": pa.array(np.full(len(size), batch)),
             "at": pa.array(at), "doc_id": t.column("doc_id").combine_chunks(),
             "source": t.column("source").combine_chunks(), "size": pa.array(size),
         }

@@ -261,6 +261,14 @@ def told(batches: DataFrame, **answers: DataFrame) -> DataFrame:
     return batches
 
 
+def row_numbers(batch: int, at: np.ndarray) -> np.ndarray:
+    """One number for each row of a batch of ``packed`` with at most 2**20 rows.
+
+    The partition has 23 bits, its batch 20 and the row 20.
+    """
+    return np.int64((batch >> 32 << 40) + ((batch & 0xFFFFFFFF) << 20)) + at
+
+
 def bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
