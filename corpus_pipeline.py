@@ -16,8 +16,7 @@ from labelweave.llm.rounds import stored
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps."""
-    scored = cotraining.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("keep").select(*docs.columns)
+    return cotraining.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of texts that share 0.8 of their five-word shingles."""
-    return simhash.first_of_similar(docs)
+    """The first document of each group of texts with near fingerprints."""
+    return simhash.first_of_groups(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
