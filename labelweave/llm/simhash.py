@@ -10,12 +10,6 @@ The values are many (the fingerprints times 2,081), and nearly all meet nobody.
 travel twice. First as cells of some 36 to 50 bits, sorted and gap-coded at about two
 bytes each, which tells each batch of fingerprints the values that may be shared.
 Then those alone travel in full. Links become components by ``components``.
-
-One fingerprint meets few of the texts that share, say, 0.8 of their shingles: these
-differ in some 10 of 64 bits. ``first_of_similar`` therefore takes ``PIECES`` short
-fingerprints from independent hashes, links texts where any of them differ in at most
-two bits, and checks each link on the bits of all pieces, of which the share that
-differs tells the angle between the sets of shingles and so their Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -54,12 +48,6 @@ SHINGLE = 4
 RADIUS = 4
 #: Fingerprints whose values a task holds at once.
 BATCH = 2048
-#: Of similar texts: shingles, the least Jaccard similarity, 64-bit lanes and their pieces.
-SIMILAR_SHINGLE = 5
-LEAST_SIMILAR = 0.8
-LANES = 21
-PIECE_BITS = 36
-PIECES = 64 * LANES // PIECE_BITS
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -236,108 +224,3 @@ def first_of_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     kept = kept.distinct().withColumnRenamed("doc_id", "_kept")
     return docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept"]), "left_semi")
-
-
-def pieces_of(lanes: np.ndarray) -> np.ndarray:
-    """The short fingerprints of each row of lanes, each with its number above its bits."""
-    wide = np.concatenate([lanes, np.zeros((len(lanes), 1), U64)], axis=1)
-    out = np.empty((len(lanes), PIECES), U64)
-    for k in range(PIECES):
-        at, shift = divmod(PIECE_BITS * k, 64)
-        own = wide[:, at] >> U64(shift)
-        if shift:
-            own = own | (wide[:, at + 1] << U64(64 - shift))
-        out[:, k] = (own & U64((1 << PIECE_BITS) - 1)) | U64(k << PIECE_BITS)
-    return out
-
-
-def lanes_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """``LANES`` independent fingerprints of each text."""
-    rng = np.random.default_rng(SEED)
-    odd = rng.integers(0, 1 << 63, LANES, dtype=U64) * U64(2) + U64(1)
-    return np.stack([fold(mix(hashes * k), counts) for k in odd], axis=1)
-
-
-def sketches(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(doc_id, node, n, lanes): hash of a text's words, its different shingles, fingerprints."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, offsets = flat(b.column("text"))
-            for i, j in slices(offsets):
-                texts = [raw[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
-                node = [xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in texts]
-                found = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-                n = np.fromiter(map(len, found), np.int64, j - i)
-                lanes = lanes_of(np.concatenate(found), n)
-                bits = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, lanes.size + 1, LANES, dtype=np.int32)),
-                    pa.array(lanes.ravel().view(np.int64)),
-                )
-                yield pa.record_batch(
-                    [b.column("doc_id").slice(i, j - i), pa.array(np.array(node, U64).view(np.int64)), pa.array(n), bits],
-                    ["doc_id", "node", "n", "lanes"],
-                )
-
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, node long, n long, lanes array<long>")
-
-
-def _neighbours(value: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each member that shares a value, with the smallest of its group and with the one before."""
-    order = np.lexsort((who, value))
-    value, who = value[order], who[order]
-    new = np.ones(len(value), bool)
-    new[1:] = value[1:] != value[:-1]
-    start = np.flatnonzero(new)[np.cumsum(new) - 1] if len(value) else np.empty(0, np.int64)
-    later = np.flatnonzero(~new)
-    found = np.concatenate(
-        [np.stack([who[later], who[start[later]]], 1), np.stack([who[later], who[later - 1]], 1)]
-    )
-    found = np.unique(found, axis=0)
-    return np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])
-
-
-def similar_links(classes: DataFrame, least: float = LEAST_SIMILAR) -> DataFrame:
-    """(a, b): nodes of ``classes`` (node, n, lanes) that meet and are at least so similar."""
-    masks = ball(1, PIECE_BITS)
-
-    def values(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        nodes = t.column("node").to_numpy().view(U64)
-        lanes = t.column("lanes").combine_chunks().flatten().to_numpy().view(U64)
-        own = pieces_of(lanes.reshape(-1, LANES))
-        return nodes, (own[:, :, None] ^ masks).ravel()
-
-    some = classes.filter("n > 0").select("node", "n", "lanes")
-    met = _met(some, "node", values, PIECES * len(masks), _neighbours)
-    met = stored(met.filter("a <> b").distinct())
-    sides = [
-        some.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("lanes").alias(f"lanes_{k}"))
-        for k in ("a", "b")
-    ]
-    differ = F.expr(
-        "aggregate(zip_with(lanes_a, lanes_b, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
-    )
-    # the cosine of the sets, what they share, and its part of what either has
-    shared = F.cos(differ * F.lit(np.pi / (64 * LANES))) * F.sqrt(F.col("n_a") * F.col("n_b"))
-    both = met.join(sides[0], "a").join(sides[1], "b").withColumn("shared", shared)
-    return both.filter(F.col("shared") >= F.lit(least) * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
-
-
-def first_of_similar(docs: DataFrame, least: float = LEAST_SIMILAR) -> DataFrame:
-    """Documents whose doc_id is the smallest of their group of similar ones, with all columns.
-
-    Texts with the same words, whatever their case and blanks, are always linked.
-    Repeated and null doc_ids are treated as by ``first_of_groups``.
-    """
-    marked = stored(sketches(docs))
-    classes = stored(
-        marked.groupBy("node").agg(
-            F.min("doc_id").alias("lowest"), F.first("n").alias("n"), F.first("lanes").alias("lanes")
-        )
-    )
-    joined = components(similar_links(classes, least))
-    label = classes.join(joined, "node", "left").select(
-        "lowest", F.coalesce("component", "node").alias("component")
-    )
-    kept = label.groupBy("component").agg(F.min("lowest").alias("_kept")).select("_kept").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept"]), "left_semi")

@@ -148,33 +148,6 @@ def test_first_of_groups(docs, rows):
     assert {r.doc_id for r in out.collect()} == groups
 
 
-def test_first_of_similar(spark, docs, none):
-    rng = random.Random(5)
-
-    def shingles(w):
-        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-
-    rows, near, similar = [], [], []
-    for i in range(60):
-        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
-        rows.append((2 * i, " ".join(words)))
-        copy = list(words)
-        for k in rng.sample(range(300), (6, 5, 30)[i % 3]):  # similar 0.8 to 0.9, or about 0.4
-            copy[k] = f"x{rng.randrange(3000)}"
-        a, b = shingles(words), shingles(copy)
-        similar.append(len(a & b) / len(a | b))
-        rows.append((2 * i + 1, " ".join(copy).upper()))
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    kept = {r.doc_id for r in simhash.first_of_similar(frame).collect()}
-    assert kept >= {2 * i for i in range(60)}
-    near = [i for i, x in enumerate(similar) if x >= 0.82]
-    assert len(near) >= 20 and sum(2 * i + 1 not in kept for i in near) >= 0.9 * len(near)
-    assert all(2 * i + 1 in kept for i, x in enumerate(similar) if x < 0.7)
-    out = simhash.first_of_similar(docs)
-    assert out.schema == docs.schema and out.filter("text = '' or text is null").count() == 1
-    assert simhash.first_of_similar(none).count() == 0
-
-
 def test_odd_radius_is_refused(docs):
     with pytest.raises(ValueError, match="even"):
         simhash.near_duplicates(docs, radius=3)
