@@ -58,6 +58,7 @@ from .rounds import (
     mapped,
     pack_table,
     packed,
+    row_numbers,
     stored,
     told,
 )
@@ -70,6 +71,8 @@ VERIFY = 16
 #: A shingle that more classes have makes no pairs but a pivot; a power of two.
 MANY = 128
 SKETCH_WORDS = 8
+#: Parts of a group that meet its pivot in tasks of their own; far fewer than its classes.
+PARTS = 32
 #: Buckets of pivots are numbered from here on.
 HOT = 1 << 40
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -146,12 +149,8 @@ def set_batches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return bucketed(mapped(texts, each(build), "batch long, payload binary"))
 
 
-def _nodes(batch: int, at: np.ndarray) -> np.ndarray:
-    """Numbers of the rows of a batch, as ``_node`` has them in SQL."""
-    return np.int64((batch >> 32 << 40) + ((batch & 0xFFFFFFFF) << 20)) + at
-
-
 def _node() -> str:
+    """SQL of ``row_numbers``."""
     return "shiftleft(shiftright(rep.batch, 32), 40) + shiftleft(rep.batch & 4294967295, 20) + rep.at"
 
 
@@ -284,7 +283,7 @@ def _asked(batches: DataFrame, plan: _Plan) -> DataFrame:
     def prefixes(batch: int, t: pa.Table, said: dict) -> Iterator[list]:
         x = _Classes(t, said["own"])
         p = _Prefixes(x, plan, said["met"])
-        node = _nodes(batch, x.at)
+        node = row_numbers(batch, x.at)
         cold = np.flatnonzero(~p.hot)
         cold = cold[np.argsort(p.key[cold], kind="stable")]
         docs = np.unique(p.of[cold])
@@ -349,7 +348,7 @@ def _hot_members(batches: DataFrame, plan: _Plan) -> DataFrame:
     def run(batch: int, t: pa.Table, said: dict) -> Iterator[pa.RecordBatch]:
         x = _Classes(t, said["own"])
         p = _Prefixes(x, plan, said["met"])
-        node = _nodes(batch, x.at)
+        node = row_numbers(batch, x.at)
         keys, _ = _lowest(p, node)
         if not len(keys):
             return
@@ -371,7 +370,7 @@ def _whole_sets(batches: DataFrame, nodes: DataFrame) -> DataFrame:
         sets = pa.ListArray.from_arrays(
             pa.array(np.append(x.first, len(x.keys)).astype(np.int32)), pa.array(x.keys.view(np.int64))
         )
-        yield pa.record_batch([pa.array(_nodes(batch, x.at)), pa.array(x.n), sets], ["node", "n", "set"])
+        yield pa.record_batch([pa.array(row_numbers(batch, x.at)), pa.array(x.n), sets], ["node", "n", "set"])
 
     wanted = told(batches.select("batch", "payload"), wanted=_placed(nodes))
     return bucketed(mapped(wanted.filter("wanted is not null"), each(run), "node long, n long, set array<long>"), "node")
@@ -398,20 +397,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, plan: _Plan) -> DataFrame:
     return mapped(both.selectExpr("a", "b", "n_a + n_b as sizes", "left", "right"), run, "a long, b long")
 
 
+def _salted(groups: DataFrame) -> DataFrame:
+    """The row of a group for each of its parts. A group has more classes than parts, by far."""
+    return groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """(grp, token, df): how many differences of a group have a shingle; combined before they are sent."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            token = b.column("differ").flatten().to_numpy()
+            grp = np.repeat(b.column("grp").to_numpy(), b.column("differ").value_lengths().to_numpy())
+            (grp, token), df = np.unique(np.stack([grp, token]), axis=1, return_counts=True)
+            yield pa.record_batch([pa.array(grp), pa.array(token), pa.array(df)], ["grp", "token", "df"])
+
+    found = mapped(rows.select("grp", "differ"), run, "grp long, token long, df long")
+    return found.groupBy("grp", "token").agg(F.sum("df").alias("df"))
+
+
 def _hot_links(rows: DataFrame, plan: _Plan) -> list[DataFrame]:
     """Links inside groups of classes that share a hot shingle: (grp, x, n, differ), level by level."""
     links = []
     while rows.take(1):
+        rows = rows.withColumn("part", F.expr(f"cast(pmod(xxhash64(x), {PARTS}) as int)"))
         size = rows.groupBy("grp").agg(F.count("*").alias("size"))
-        counts = rows.select("grp", F.explode("differ").alias("token")).groupBy("grp", "token").agg(F.count("*").alias("df"))
-        most = counts.join(size, "grp").filter("2 * df > size").groupBy("grp").agg(F.collect_list("token").alias("most"))
+        most = _counts(rows).join(size, "grp").filter("2 * df > size").groupBy("grp").agg(F.collect_list("token").alias("most"))
         most = size.join(most, "grp", "left").select("grp", F.coalesce("most", F.array().cast("array<long>")).alias("most"))
-        rows = rows.join(most, "grp").selectExpr(
-            "grp", "x", "n", "concat(array_except(differ, most), array_except(most, differ)) as differ"
+        rows = rows.join(_salted(most), ["grp", "part"]).selectExpr(
+            "grp", "part", "x", "n", "concat(array_except(differ, most), array_except(most, differ)) as differ"
         )
         rows = stored(rows.withColumn("v", F.expr(f"{plan.a} * size(differ) - {plan.b} * n")))
         low = rows.groupBy("grp").agg(F.min(F.struct("v", "x")).alias("low"))
-        rows = rows.join(low, "grp")
+        rows = rows.join(_salted(low), ["grp", "part"]).drop("part")
         links.append(rows.filter("v + low.v <= 0 and x <> low.x").selectExpr("x as a", "low.x as b"))
         spelt = rows.select("grp", "x", F.explode("differ").alias("token"))
         shared = spelt.groupBy("grp", "token").agg(F.count("*").alias("df")).filter("df > 1")
