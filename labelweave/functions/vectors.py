@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -114,34 +115,59 @@ def score_against(matrix: np.ndarray):
     return F.arrow_udf(score, "array<double>")
 
 
-def token_dims(text: Column | str, dims: int = 64) -> Column:
-    """The hashed dimension of each token of a text, in order; tokens are runs of
-    non-space characters."""
-    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    return F.transform(
-        tokens,
-        lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % F.lit(dims)).cast("int"),
-    )
-
-
-def counted(dims: int) -> Callable[[Column], Column]:
-    """Unit-length counts of an array of dimensions, a whole Arrow batch at a time.
-
-    An empty or NULL array gives a vector of zeros.
+#: White space between tokens.
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of text that are cut into tokens at once.
+_TEXT_BYTES = 4 << 20
+
+
+def _token_counts(texts: pa.Array, dims: int) -> np.ndarray:
+    """Tokens of each text per hashed dimension. Each different token is hashed once."""
+    empty = pa.scalar(b"", pa.large_binary())
+    column = pc.binary_join_element_wise(texts, pa.scalar(b" ", pa.large_binary()), empty)
+    buffers = column.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64, len(column) + 1, column.offset * 8)
+    raw = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]]
+    blank = _BLANK[raw]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(blank) and not blank[0]:
+        edges = np.concatenate([[0], edges])
+    starts, ends = edges[::2], edges[1::2]
+    cuts = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    kept = pa.py_buffer(np.ascontiguousarray(raw[~blank]))
+    coded = pa.Array.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), kept]
+    ).dictionary_encode()
+    digests = (hashlib.md5(t, usedforsecurity=False).digest() for t in coded.dictionary.to_pylist())
+    dim = np.array([int.from_bytes(d[:4], "big") % dims for d in digests], np.int64)
+    row = np.searchsorted(offsets - offsets[0], starts, "right") - 1
+    cells = row * dims + dim[coded.indices.to_numpy()] if len(starts) else np.empty(0, np.int64)
+    return np.bincount(cells, minlength=len(texts) * dims).reshape(len(texts), dims)
+
+
+def hashed_tokens(dims: int) -> Callable[[Column], Column]:
+    """Arrow function: text -> unit-length counts of its tokens' hashed dimensions.
+
+    Tokens are runs of non-space characters; a token's dimension comes from the first
+    eight digits of its md5. A text without tokens, or a null, gives a vector of zeros.
     """
 
-    def count(places: pa.Array) -> pa.Array:
-        n = len(places)
-        if isinstance(places, pa.ChunkedArray):
-            places = places.combine_chunks()
-        sizes = pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False)
-        cells = np.repeat(np.arange(n), sizes) * dims + places.flatten().to_numpy(zero_copy_only=False)
-        seen = np.bincount(cells, minlength=n * dims).reshape(n, dims).astype(float)
+    def embed(texts: pa.Array) -> pa.Array:
+        column = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+        parts, at = [np.empty((0, dims))], 0
+        while at < len(column):
+            done = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, done + _TEXT_BYTES, "right")))
+            parts.append(_token_counts(column.slice(at, end - at), dims).astype(float))
+            at = end
+        seen = np.concatenate(parts)
         seen /= np.sqrt((seen * seen).sum(1, keepdims=True)) + 1e-12
-        offsets = np.arange(0, n * dims + 1, dims, dtype=np.int32)
+        offsets = np.arange(0, len(column) * dims + 1, dims, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(seen.ravel()))
 
-    return F.arrow_udf(count, "array<double>")
+    return F.arrow_udf(embed, "array<double>")
 
 
 def hash_vectors(
@@ -151,4 +177,4 @@ def hash_vectors(
 
     A text without tokens keeps its row, with a vector of zeros.
     """
-    return df.select(row_id, counted(dims)(token_dims(F.col(text), dims)).alias(vector))
+    return df.select(row_id, hashed_tokens(dims)(F.col(text)).alias(vector))

@@ -14,23 +14,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    LogisticRegressionModel,
-)
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import pair_features, score_against, sigmoid
-from . import metrics, pairs, shared_fit
+from . import metrics, pair_fit, pairs, shared_fit
 from .frames import stacked
 from .ranking import contiguous_folds
 from .scoring import LabelSide, long_scores, similarity_rows, truth_array
-
-SIDE_BY_SIDE_LABELS = 32
+from .tree_scores import FlatTrees, loss_by_round, tree_scores
 
 
 def with_vector(df: DataFrame, array: str, out: str = "features") -> DataFrame:
@@ -38,27 +33,6 @@ def with_vector(df: DataFrame, array: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(array).cast("array<double>")))
 
 
-def logistic(
-    C: float,
-    weight_sum: float,
-    max_iter: int,
-    label: str,
-    weight: str | None = None,
-    tol: float = 1e-6,
-):
-    """Logistic regression with L2 strength 1/C on the sum of the losses."""
-    fit = LogisticRegression(
-        featuresCol="features",
-        labelCol=label,
-        regParam=1.0 / (C * weight_sum),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=tol,
-    )
-    return fit.setWeightCol(weight) if weight else fit
-
-
 def linear_scores(weights: np.ndarray, offsets: Sequence[float], vector: str) -> Column:
     """Array of probabilities: sigmoid of the linear scores of a vector."""
     logits = score_against(np.asarray(weights))(F.col(vector))
@@ -169,7 +143,7 @@ class LinearPairModel:
 
     side: LabelSide
     mode: str
-    fitted: LogisticRegressionModel
+    fitted: pair_fit.PairWeights
     threshold: float = 0.5
     loss_curve: list[float] = field(default_factory=list)
 
@@ -200,6 +174,10 @@ class LinearPairModel:
         weights, offsets = self.folded()
         return df.withColumn(out, linear_scores(weights, offsets, vector))
 
+    def pair_scores(self, pairs: DataFrame) -> DataFrame:
+        """Training pairs with the match probability as ``score``."""
+        return self.score_rows(pairs, "vector", "_all").withColumn("score", F.col("_all")[F.col("label_idx")]).drop("_all")
+
 
 @dataclass
 class BoostedPairModel:
@@ -211,53 +189,15 @@ class BoostedPairModel:
     threshold: float = 0.5
     loss_curve: list[float] = field(default_factory=list)
 
-    def score_pairs(
-        self, df: DataFrame, keep: Sequence[str], vector: str = "vector", whole: bool = False
-    ) -> DataFrame:
-        """One row per (row, label) with the match probability as ``score``; ``whole``
-        also keeps the vector."""
-        indexed = df.select(*keep, vector, F.posexplode(label_literal(self.side)).alias("label_idx", "vector_label"))
-        features = indexed.withColumn(
-            "features", array_to_vector(pair_features(vector, "vector_label", self.mode))
-        )
-        scored = self.fitted.transform(features.drop("vector_label"))
-        kept = [*keep, vector] if whole else keep
-        return scored.select(*kept, "label_idx", vector_to_array("probability")[1].alias("score"))
+    def pair_scores(self, pairs: DataFrame) -> DataFrame:
+        """Training pairs with the match probability as ``score``."""
+        scored = self.fitted.transform(pairs.filter("features is not null"))
+        return scored.withColumn("score", vector_to_array("probability")[1])
 
     def score_rows(self, df: DataFrame, vector: str = "vector", out: str = "scores") -> DataFrame:
-        """Arrays of scores.
-
-        A few labels are scored side by side in one projection, without a
-        shuffle. Many labels are scored as pairs, which carry their row and are
-        gathered again by its number.
-        """
-        if len(self.side) <= SIDE_BY_SIDE_LABELS:
-            return self._side_by_side(df, vector, out)
-        columns = df.columns
-        numbered = df.withColumn("_row", F.monotonically_increasing_id())
-        scored = self.score_pairs(numbered, ["_row", *(c for c in columns if c != vector)], vector, whole=True)
-        score = F.array_sort(F.collect_list(F.struct("label_idx", "score")))
-        return (
-            scored.groupBy("_row")
-            .agg(score.alias("_s"), *[F.first(c).alias(c) for c in columns])
-            .select(*columns, F.transform("_s", lambda x: x["score"]).alias(out))
-        )
-
-    def _side_by_side(self, df: DataFrame, vector: str, out: str) -> DataFrame:
-        rows = df
-        for i, label in enumerate(self.side.matrix):
-            features = array_to_vector(pair_features(vector, F.lit(label), self.mode))
-            scored = self.fitted.transform(rows.withColumn("features", features))
-            rows = scored.select(
-                *rows.columns, vector_to_array("probability")[1].alias(f"_score{i}")
-            )
-        names = [f"_score{i}" for i in range(len(self.side))]
-        return rows.withColumn(out, F.array(*names)).drop(*names)
-
-
-def label_literal(side: LabelSide) -> Column:
-    """The label vectors as an array of arrays."""
-    return F.array(*[F.lit(v) for v in side.matrix])
+        """Arrays of scores, null without a vector; neither pairs nor a shuffle are made."""
+        trees = FlatTrees.of(self.fitted)
+        return df.withColumn(out, tree_scores(trees, self.side.matrix, self.mode, vector))
 
 
 def training_pairs(
@@ -270,14 +210,18 @@ def training_pairs(
     seed: int = 42,
     mode: str = "concat+diff+prod",
 ) -> DataFrame:
-    """Sampled pairs with ``label`` (double) and ``features`` (vector)."""
+    """Sampled pairs: ``label`` (double), ``features`` (vector), and what these are made of,
+    ``vector`` and ``label_idx``. Who does not read the features does not have them made."""
     sampled = pairs.contrastive_pairs(df, side.keys, row_id, labels, n_neg, seed, keep=[vector])
-    featured = pairs.featured_pairs(pairs.with_label_vectors(sampled, side), mode, vector, "_f")
+    placed = sampled.withColumn("label_idx", F.array_position(F.lit(list(side.keys)), F.col("label_key")).cast("int") - 1)
+    featured = pairs.featured_pairs(pairs.with_label_vectors(placed, side), mode, vector, "_f")
     return featured.select(
         row_id,
         "label_key",
+        F.col(vector).alias("vector"),
+        "label_idx",
         F.col("label").cast("double").alias("label"),
-        array_to_vector("_f").alias("features"),
+        F.when(F.col(vector).isNotNull(), array_to_vector("_f")).alias("features"),
     )
 
 
@@ -295,22 +239,15 @@ def fit_linear_pairs(
     balanced: bool = True,
 ) -> LinearPairModel | None:
     """Balanced pair regression; None when there is nothing to learn from."""
-    train = train.persist()
+    compact = pair_fit.compact(train).persist()
     try:
-        if not enough_pairs(train):
-            return None
-        rows, weight = train, None
-        if balanced:
-            weights = {r["label"]: r["weight"] for r in metrics.class_weights(train).collect()}
-            weight = "_w"
-            rows = train.withColumn(
-                "_w", F.when(F.col("label") == 1.0, weights[1.0]).otherwise(weights[0.0])
-            )
-        model = logistic(C, float(train.count()), max_iter, "label", weight).fit(rows)
-        curve = list(model.summary.objectiveHistory)
+        found = pair_fit.fit(compact, side.matrix, mode, C, balanced, max_iter)
     finally:
-        train.unpersist()
-    return LinearPairModel(side, mode, model, loss_curve=curve)
+        compact.unpersist()
+    if found is None:
+        return None
+    weights, curve = found
+    return LinearPairModel(side, mode, weights, loss_curve=curve)
 
 
 def centred_pca(train: DataFrame, k: int, out: str = "projected", features: str = "features") -> PipelineModel:
@@ -350,7 +287,7 @@ def fit_boosted_pairs(
     """
     if early_stopping and validation is None:
         raise ValueError("early stopping needs a validation table")
-    train = train.persist()
+    train = train.filter("features is not null").persist()
     try:
         if not enough_pairs(train):
             return None
@@ -398,9 +335,7 @@ def pair_fit_summary(model, train: DataFrame, validation: DataFrame | None = Non
     def mean_loss(rows: DataFrame | None) -> float:
         if model is None or rows is None:
             return math.nan
-        scored = model.fitted.transform(rows).select(
-            vector_to_array("probability")[1].alias("score"), (F.col("label") == 1.0).alias("truth")
-        )
+        scored = model.pair_scores(rows).select("score", (F.col("label") == 1.0).alias("truth"))
         value = metrics.pair_log_loss(scored).first()[0]
         return math.nan if value is None else value
 
@@ -414,15 +349,11 @@ def pair_fit_summary(model, train: DataFrame, validation: DataFrame | None = Non
 
 
 def loss_curves(model: BoostedPairModel, tables: dict[str, DataFrame]) -> list[tuple[str, int, float]]:
-    """Loss after every boosting round on each table: (split, round, loss)."""
-    trees = model.fitted.stages[-1]
-    out = []
+    """Loss after every boosting round on each table: (split, round, loss), in a pass a table."""
+    trees, out = FlatTrees.of(model.fitted), []
     for split, table in tables.items():
-        rows = table
-        for stage in model.fitted.stages[:-1]:
-            rows = stage.transform(rows)
-        rows = rows.select(F.col(trees.getFeaturesCol()), "label")
-        out += [(split, i + 1, float(x)) for i, x in enumerate(trees.evaluateEachIteration(rows))]
+        pairs_of = table.filter("features is not null").select("label", vector_to_array("features").alias("features"))
+        out += [(split, i + 1, float(x)) for i, x in enumerate(loss_by_round(trees, pairs_of))]
     return out
 
 
@@ -461,3 +392,18 @@ def evaluate(
         )
     finally:
         snapshot.unpersist()
+
+
+def evaluate_splits(
+    model, tables: Mapping[str, DataFrame], threshold: float | None = None, labels: str = "labels", vector: str = "vector"
+) -> dict[str, dict[str, float]]:
+    """``evaluate`` of each table, by its name, with the number of its rows as ``n_rows``."""
+    threshold = model.threshold if threshold is None else threshold
+    out = {}
+    for split, rows in tables.items():
+        snapshot = score_snapshot(model, rows, [], labels, vector).persist()
+        try:
+            out[split] = snapshot_metrics(snapshot, model.side, threshold) | {"n_rows": float(snapshot.count())}
+        finally:
+            snapshot.unpersist()
+    return out

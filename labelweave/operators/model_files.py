@@ -10,10 +10,11 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import SparkSession
 
 from . import learning
+from .pair_fit import PairWeights
 from .scoring import LabelSide
 
 
@@ -57,7 +58,11 @@ def save_model(spark: SparkSession, model, path: str) -> None:
     elif isinstance(model, (learning.LinearPairModel, learning.BoostedPairModel)):
         kind = "linear" if isinstance(model, learning.LinearPairModel) else "boosted"
         settings = Settings(kind, model.threshold, model.mode, [float(x) for x in model.loss_curve])
-        model.fitted.write().save(f"{path}/fitted")
+        if kind == "linear":
+            row = [([float(x) for x in model.fitted.coefficients], float(model.fitted.intercept))]
+            spark.createDataFrame(row, "weights array<double>, offset double").coalesce(1).write.parquet(f"{path}/weights")
+        else:
+            model.fitted.write().save(f"{path}/fitted")
     else:
         settings = Settings("pipeline")
         model.write().save(f"{path}/fitted")
@@ -80,7 +85,8 @@ def load_model(spark: SparkSession, path: str):
         weights = np.array([r["weights"] for r in rows])
         return learning.LabelwiseModel(side, weights, [r["offset"] for r in rows], settings.threshold)
     if settings.kind == "linear":
-        fitted = LogisticRegressionModel.load(f"{path}/fitted")
+        row = spark.read.parquet(f"{path}/weights").first()
+        fitted = PairWeights(DenseVector(row["weights"]), row["offset"])
         return learning.LinearPairModel(side, settings.mode, fitted, settings.threshold, settings.loss_curve)
     fitted = PipelineModel.load(f"{path}/fitted")
     return learning.BoostedPairModel(side, settings.mode, fitted, settings.threshold, settings.loss_curve)

@@ -197,7 +197,7 @@ def tune_linear_pairs(
         pairs_of = learning.training_pairs(
             train_rows, side, row_id, vector, labels, int(v["n_neg"]), mode=v["mode"]
         )
-        return learning.fit_linear_pairs(pairs_of, side, v["mode"], float(v["C"]), 100, bool(v["balanced"]))
+        return learning.fit_linear_pairs(pairs_of, side, v["mode"], float(v["C"]), balanced=bool(v["balanced"]))
 
     return _tuned(fit, eval_rows, side, specs, metric, tune_threshold, threshold, vector, labels, swarm)
 

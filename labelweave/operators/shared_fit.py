@@ -40,14 +40,14 @@ def _batch(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.column_stack([x, np.ones(len(x))]), y.astype(float), b.column(2).to_numpy()
 
 
-def _summed(rows: DataFrame, part, size: int) -> np.ndarray:
-    """Sum over all batches of the arrays that ``part`` gives."""
+def summed(rows: DataFrame, part, size: int, read=_batch) -> np.ndarray:
+    """Sum over all batches of the arrays that ``part`` gives for what ``read`` makes of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
             if b.num_rows:
-                total += part(*_batch(b))
+                total += part(*read(b))
         group = TaskContext.get().partitionId() % GROUPS
         yield pa.record_batch([pa.array([group]), pa.array([total.tobytes()])], ["g", "sums"])
 
@@ -136,7 +136,7 @@ def _newton(rows, width, some, settings, n, positive, balanced, max_iter, tol) -
                     out[s, k, 1 + size :] = ((xs * curve[:, k : k + 1]).T @ xs).ravel()
             return out.ravel()
 
-        sums = _summed(rows, part, len(held) * count * each).reshape(len(held), count, each)
+        sums = summed(rows, part, len(held) * count * each).reshape(len(held), count, each)
         for s, k in zip(*np.nonzero(open_)):
             here = at[s, k]
             value = strength[s] * sums[s, k, 0] + 0.5 * (keep * here * here).sum()
@@ -167,4 +167,4 @@ def held_out_counts(
             out[s] = (said & true).sum(), (said & ~true).sum(), (~said & true).sum()
         return out.ravel()
 
-    return _summed(rows, part, len(settings) * 3).reshape(-1, 3)
+    return summed(rows, part, len(settings) * 3).reshape(-1, 3)

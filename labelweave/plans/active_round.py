@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -31,12 +32,14 @@ def run_round(
     n_neg: int = 3,
     mode: str = "concat+diff+prod",
     C: float = 1.0,
-    max_iter: int = 100,
+    max_iter: int = 1000,
     seed: int = 42,
+    fit: Callable[[DataFrame], object] | None = None,
 ) -> Round:
     """Fit on the labelled rows of the pool and requeue the others.
 
-    Below two labelled pairs nothing is fitted: the scores are similarities and no
+    ``fit`` makes any model with ``score_rows`` and ``pair_scores`` of the training pairs,
+    or None; without it the pair regression is fitted. Below two labelled pairs nothing is fitted: the scores are similarities and no
     round is counted. The queue is written as the next version of the dataset
     ``queue``, and the round, once its scores are known, as a row of the round table.
     """
@@ -48,7 +51,7 @@ def run_round(
         train = learning.training_pairs(
             labelled, side, row_id, n_neg=n_neg, seed=seed, mode=mode
         )
-        fitted = learning.fit_linear_pairs(train, side, mode, C, max_iter)
+        fitted = fit(train) if fit else learning.fit_linear_pairs(train, side, mode, C, max_iter)
     model = learning.fitted_or_zero_shot(fitted, side, threshold)
     model.threshold = threshold
     scores = learning.evaluate(model, evaluation)

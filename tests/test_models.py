@@ -106,17 +106,18 @@ def test_pair_regression_guard_and_optimum(spark, rows, side):
     assert len(model.loss_curve) > 1 and model.loss_curve[-1] <= model.loss_curve[0]
 
 
-def test_boosted_pairs(spark, tmp_path, rows, side, monkeypatch):
+def test_boosted_pairs(spark, tmp_path, rows, side):
     train = learning.training_pairs(rows, side, "row_id", n_neg=2).repartition(2).cache()
     model = learning.fit_boosted_pairs(train, side, rounds=4, max_depth=3, pca_components=6)
     curve = learning.loss_curves(model, {"train": train})
     assert [c[1] for c in curve] == [1, 2, 3, 4] and curve[-1][2] < curve[0][2]
     near = {r["row_id"]: r["scores"] for r in model.score_rows(rows).select("row_id", "scores").collect()}
-    monkeypatch.setattr(learning, "SIDE_BY_SIDE_LABELS", 1)
     assert model.score_rows(rows).columns == [*rows.columns, "scores"]
-    far = {r["row_id"]: r["scores"] for r in model.score_rows(rows).select("row_id", "scores").collect()}
-    assert near.keys() == far.keys() and all(np.allclose(near[i], far[i]) for i in near)
-    monkeypatch.undo()
+    # the trees walked in batches give what Spark's own model gives for the pairs
+    own = model.pair_scores(train).select("row_id", "label_idx", "score").collect()
+    assert len(own) > 200 and all(abs(near[r["row_id"]][r["label_idx"]] - r["score"]) < 1e-12 for r in own)
+    spark_loss = model.fitted.stages[-1].evaluateEachIteration(model.fitted.stages[0].transform(train).select("projected", "label"))
+    assert np.allclose([c[2] for c in curve], spark_loss)
     path = str(tmp_path / "boosted")
     model_files.save_model(spark, model, path)
     again = model_files.load_model(spark, path)
@@ -124,6 +125,35 @@ def test_boosted_pairs(spark, tmp_path, rows, side, monkeypatch):
     assert all(np.allclose(near[i], back[i]) for i in near)
 
 
+def test_boosted_scores_of_many_labels_and_null_vectors(spark, rows):
+    rng = np.random.default_rng(9)
+    keys = tuple(f"c::{i}" for i in range(40))
+    side = LabelSide(keys, ("c",) * 40, tuple(map(tuple, rng.normal(size=(40, D)))))
+    labelled = rows.withColumn("labels", F.expr("array(concat('c::', row_id % 40))"))
+    gaps = labelled.withColumn("vector", F.when(F.col("row_id") % 7 > 0, F.col("vector")))
+    model = learning.fit_boosted_pairs(learning.training_pairs(gaps, side, "row_id"), side, rounds=2, max_depth=2)
+    scored = model.score_rows(gaps)
+    assert "hashpartitioning" not in scored._jdf.queryExecution().executedPlan().toString()
+    found = scored.select("row_id", "scores").collect()
+    assert all((r.scores is None) == (r.row_id % 7 == 0) for r in found) and len(found) == 120
+    assert {len(r.scores) for r in found if r.scores} == {40}
+    assert model.score_rows(gaps.limit(0)).count() == 0
+    whole = learning.evaluate_splits(model, {"train": labelled.filter("row_id < 80"), "eval": labelled.filter("row_id >= 80")})
+    assert whole["train"]["n_rows"] == 80 and whole["eval"]["n_rows"] == 40
+    assert whole["eval"]["micro_f1"] == learning.evaluate(model, labelled.filter("row_id >= 80"))["micro_f1"]
+
+
+@pytest.mark.parametrize("mode", ["concat+diff+prod", "diff", "concat+prod"])
+def test_pair_fit_equals_newton_on_expanded_features(rows, side, mode):
+    train = learning.training_pairs(rows, side, "row_id", n_neg=2, mode=mode)
+    got = [(r["features"].toArray(), r["label"]) for r in train.collect()]
+    X, y = np.stack([x for x, _ in got]), np.array([v for _, v in got])
+    w, b = newton(X, y, 0.5, np.ones(len(y)))
+    model = learning.fit_linear_pairs(train, side, mode, C=0.5, balanced=False)
+    assert np.allclose(model.fitted.coefficients.toArray(), w, atol=1e-4) and abs(model.fitted.intercept - b) < 1e-4
+    assert len(model.loss_curve) < 20 and model.loss_curve[0] == pytest.approx(np.log(2))
+
+
 def test_saved_linear_model(spark, tmp_path, rows, side):
     model = learning.fit_linear_pairs(learning.training_pairs(rows, side, "row_id"), side, max_iter=20)
     model.threshold = 0.4
@@ -209,6 +239,15 @@ def test_active_rounds(spark, tmp_path, rows, side):
     assert table[0]["labeled_total"] == 120 - open_rows
 
 
+def test_a_round_of_another_model(spark, tmp_path, rows, side):
+    store = Store(spark, str(tmp_path), "other")
+    done = active_round.run_round(
+        store, rows, rows, side, fit=lambda train: learning.fit_boosted_pairs(train, side, rounds=2, max_depth=2)
+    )
+    assert done.number == 1 and isinstance(done.model, learning.BoostedPairModel)
+    assert 0 < store.rounds().first()["macro_f1"] <= 1
+
+
 def test_ad_hoc_texts(spark, side):
     import pandas as pd
 
