@@ -134,18 +134,34 @@ def generate_answers(
 
 
 def predict(
-    df: DataFrame,
+    texts,
     model,
     threshold: float | None = None,
-    keep: Sequence[str] = (),
+    keep: Sequence[str] | None = None,
     categories: bool = False,
     vector: str = "vector",
+    make_encoder: Callable[[], Encoder] | None = None,
+    text: str = "text",
+    spark: SparkSession | None = None,
 ) -> DataFrame:
     """Wide prediction frame of any model with ``side``, ``threshold`` and ``score_rows``.
 
+    ``texts`` is a table, or a list or a pandas Series of texts, whose places become
+    ``row_id``. With ``make_encoder`` the column ``text`` is encoded; without it the table
+    has to bring the vectors. Lists keep ``row_id`` and ``text`` unless told otherwise.
+
     The threshold given here wins over the model's own. Works on streams with
     models that score row by row.
     """
+    if isinstance(texts, DataFrame):
+        df, keep = texts, keep or ()
+    else:
+        if make_encoder is None:
+            raise ValueError("a list of texts needs an encoder")
+        df = as_text_frame(spark or SparkSession.active(), texts)
+        keep = ("row_id", "text") if keep is None else keep
+    if make_encoder is not None:
+        df = encode_texts(df, make_encoder, text, vector)
     thr = model.threshold if threshold is None else float(threshold)
     scored = model.score_rows(df, vector=vector)
     cols = wide_columns(model.side, thr)

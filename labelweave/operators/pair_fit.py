@@ -56,12 +56,52 @@ def compact(train: DataFrame) -> DataFrame:
 
 def _read(labels: np.ndarray):
     def read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        t = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        t = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, labels.shape[1])
         return t, labels[b.column(1).to_numpy()], b.column(2).to_numpy()
 
     return read
 
 
+def class_weights(pairs: DataFrame, balanced: bool = True) -> tuple[int, float, float]:
+    """Number of pairs and the weight of a positive and of a negative one; 0 if there is none."""
+    counts = {r["label"]: r["n"] for r in pairs.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n = sum(counts.values())
+    up, down = ((n / (2 * counts[k]) if balanced else 1.0) if counts.get(k) else 0.0 for k in (1.0, 0.0))
+    return n, up, down
+
+
+def _sides(t: np.ndarray, l: np.ndarray) -> np.ndarray:
+    return np.column_stack([t, l, t * l, np.ones(len(t))])
+
+
+def _loss_sums(pairs: DataFrame, labels: np.ndarray, w: np.ndarray, up: float, down: float) -> np.ndarray:
+    """Loss, gradient and curvature at the weights ``w`` of [t, l, t * l, 1]."""
+    size = len(w)
+
+    def part(t, l, y):
+        out = np.zeros(1 + size + size * size)
+        for a in range(0, len(t), ROWS):
+            x, ys = _sides(t[a : a + ROWS], l[a : a + ROWS]), y[a : a + ROWS]
+            z = x @ w
+            weight = np.where(ys > 0, up, down)
+            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            out[0] += (weight * np.logaddexp(0, np.where(ys > 0, -z, z))).sum()
+            out[1 : 1 + size] += x.T @ (weight * (p - ys))
+            out[1 + size :] += ((x * (weight * p * (1 - p))[:, None]).T @ x).ravel()
+        return out
+
+    return summed(pairs, part, 1 + size + size * size, _read(labels))
+
+
+def slope(pairs: DataFrame, labels: np.ndarray, mode: str, found: PairWeights, C: float, balanced: bool) -> np.ndarray:
+    """Gradient of C times the weighted loss plus half the squared weights; zero at the optimum."""
+    labels = np.asarray(labels, float)
+    _, up, down = class_weights(pairs, balanced)
+    made, at = spread(labels.shape[1], mode), np.append(found.coefficients.toArray(), found.intercept)
+    sums = _loss_sums(pairs, labels, made @ at, up, down)
+    return C * made.T @ sums[1 : 1 + len(made)] + np.append(at[:-1], 0.0)
+
+
 def fit(
     pairs: DataFrame,
     labels: np.ndarray,
@@ -77,33 +117,16 @@ def fit(
     weighted loss and half the squared weights over C n.
     """
     labels = np.asarray(labels, float)
-    counts = {r["label"]: r["n"] for r in pairs.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
+    n, up, down = class_weights(pairs, balanced)
+    if not up * down:
         return None
-    n = sum(counts.values())
-    up, down = (n / (2 * counts[k]) if balanced else 1.0 for k in (1.0, 0.0))
     made = spread(labels.shape[1], mode)
     size, features = made.shape
     keep = np.append(np.ones(features - 1), 0.0)  # the intercept is free
     at, step, base, best = np.zeros(features), np.zeros(features), np.zeros(features), np.inf
     curve = []
     for _ in range(max_iter):
-        w = made @ at
-
-        def part(t, l, y, w=w):
-            out = np.zeros(1 + size + size * size)
-            for a in range(0, len(t), ROWS):
-                ts, ls, ys = t[a : a + ROWS], l[a : a + ROWS], y[a : a + ROWS]
-                x = np.column_stack([ts, ls, ts * ls, np.ones(len(ts))])
-                z = x @ w
-                weight = np.where(ys > 0, up, down)
-                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                out[0] += (weight * np.logaddexp(0, np.where(ys > 0, -z, z))).sum()
-                out[1 : 1 + size] += x.T @ (weight * (p - ys))
-                out[1 + size :] += ((x * (weight * p * (1 - p))[:, None]).T @ x).ravel()
-            return out
-
-        sums = summed(pairs, part, 1 + size + size * size, _read(labels))
+        sums = _loss_sums(pairs, labels, made @ at, up, down)
         value = C * sums[0] + 0.5 * (keep * at * at).sum()
         curve.append(value / (C * n))
         if value > best + 1e-9 * abs(best) and np.abs(step).max() > tol:
@@ -118,3 +141,62 @@ def fit(
             break
         at = base + step
     return PairWeights(DenseVector(base[:-1]), float(base[-1])), curve
+
+
+@dataclass
+class PairAxes:
+    """Mean, principal axes (as columns) and variances of the pair features."""
+
+    labels: np.ndarray
+    mode: str
+    mean: np.ndarray
+    axes: np.ndarray
+    variances: np.ndarray
+    total: float
+
+    def project(self, vector: str, label_idx: str):
+        """Column expression: a pair's features, centred, on the axes; null without a vector."""
+
+        @F.arrow_udf("array<double>")
+        def projected(t: pa.Array, place: pa.Array) -> pa.Array:
+            known = t.is_valid().to_numpy(zero_copy_only=False)
+            values = t.drop_null()
+            x = values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, self.labels.shape[1])
+            l = self.labels[place.to_numpy(zero_copy_only=False)[known].astype(int)]
+            made = spread(self.labels.shape[1], self.mode)[:, :-1]
+            found = [(_sides(x[a : a + ROWS], l[a : a + ROWS]) @ made - self.mean) @ self.axes for a in range(0, len(x), ROWS)]
+            width = self.axes.shape[1]
+            offsets = np.concatenate([[0], np.cumsum(known * width)]).astype(np.int32)
+            flat = np.concatenate([np.empty((0, width)), *found]).ravel()
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(~known))
+
+        return projected(F.col(vector), F.col(label_idx))
+
+
+def axes(pairs: DataFrame, labels: np.ndarray, mode: str, k: int) -> PairAxes:
+    """PCA of the features of ``compact`` pairs, from one pass over the vectors.
+
+    The covariance of [t, l, t * l] gives that of all feature modes. ``k`` is kept between
+    2 and the data's own size; the largest entry of an axis is positive.
+    """
+    labels = np.asarray(labels, float)
+    size = 3 * labels.shape[1] + 1
+
+    def part(t, l, y):
+        out = np.zeros((size, size))
+        for a in range(0, len(t), ROWS):
+            x = _sides(t[a : a + ROWS], l[a : a + ROWS])
+            out += x.T @ x
+        return out.ravel()
+
+    sums = summed(pairs, part, size * size, _read(labels)).reshape(size, size)
+    n, made = sums[-1, -1], spread(labels.shape[1], mode)[:, :-1]
+    if not n:
+        raise ValueError("no pairs with vectors")
+    mean = sums[-1] / n
+    covariance = made.T @ (sums - n * np.outer(mean, mean)) @ made / max(1, n - 1)
+    variances, found = np.linalg.eigh(covariance)
+    k = max(2, min(k, len(variances), int(n)))
+    found = found[:, ::-1][:, :k]
+    found = found * np.sign(found[np.abs(found).argmax(0), np.arange(found.shape[1])])
+    return PairAxes(labels, mode, mean @ made, found, variances[::-1][:k], float(np.trace(covariance)))

@@ -121,8 +121,8 @@ def tree_scores(trees: FlatTrees, labels: np.ndarray, mode: str, vector: str | C
     def score(column: pa.Array) -> pa.Array:
         known = column.is_valid()
         vectors = column.drop_null()
-        values = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
-        found = trees.probabilities(values, labels, mode) if len(vectors) else np.empty((0, len(labels)))
+        values = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, labels.shape[1])
+        found = trees.probabilities(values, labels, mode)
         lengths = np.where(known.to_numpy(zero_copy_only=False), len(labels), 0)
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         return pa.ListArray.from_arrays(
@@ -140,7 +140,8 @@ def loss_by_round(trees: FlatTrees, pairs: DataFrame) -> np.ndarray:
         total, rows = np.zeros(n), 0
         for b in batches:
             sign = 2 * b.column("label").to_numpy() - 1
-            x = b.column("features").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            x = b.column("features").flatten().to_numpy(zero_copy_only=False)
+            x = x.reshape(b.num_rows, -1) if b.num_rows else x
             for a in range(0, b.num_rows, ROWS):
                 margin = np.cumsum(trees.leaves(x[a : a + ROWS]), axis=1)
                 total += 2 * np.logaddexp(0, -2 * sign[a : a + ROWS, None] * margin).sum(0)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import learning, metrics, scoring, search
+from ..operators import learning, metrics, pair_fit, scoring, search
 from ..operators.ranking import mark_hash_split, test_size
 from ..session import ensure_checkpoint_dir
 from . import views
 from .catalog import query
 from .metric_queries import _SWEEP, rounded
+from .pair_queries import _PAIRS_SQL
 
 
 def rows(spark, d):
@@ -85,10 +86,47 @@ def pca_project(spark, d):
     """Pair features on their first 8 principal axes."""
     side = views.label_side(spark, d)
     train = learning.training_pairs(rows(spark, d), side, "vec_id")
-    from pyspark.ml.functions import vector_to_array
+    found = pair_fit.axes(pair_fit.compact(train), side.matrix, "concat+diff+prod", 8)
+    return train.select("vec_id", "label_key", found.project("vector", "label_idx").alias("projected"))
 
-    projected = learning.centred_pca(train, 8).transform(train)
-    return projected.select("vec_id", "label_key", vector_to_array("projected").alias("projected"))
+
+@query(
+    "pca_variance",
+    _PAIRS_SQL
+    + """, d AS (SELECT i, t, l FROM (
+    SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS t, unnest(vector_label)::DOUBLE AS l
+    FROM pairs JOIN vec_labels USING (vec_id) JOIN label_vectors USING (label_key)))
+SELECT round(sum(v), 6) AS total_variance FROM (
+  SELECT var_samp(t) + var_samp(l) + var_samp(t - l) + var_samp(t * l) AS v FROM d GROUP BY i)""",
+)
+def pca_variance(spark, d):
+    """Variance of all pair features together, from the moments that the axes come from."""
+    side = views.label_side(spark, d)
+    train = learning.training_pairs(rows(spark, d), side, "vec_id")
+    found = pair_fit.axes(pair_fit.compact(train), side.matrix, "concat+diff+prod", 8)
+    return spark.createDataFrame([(round(found.total, 6),)], "total_variance double")
+
+
+@query(
+    "pair_fit_checks",
+    _PAIRS_SQL
+    + """, c AS (SELECT count(*) AS n, sum(label) AS p FROM pairs)
+SELECT unnest(['n_pairs', 'positive_weight', 'negative_weight', 'prior_loss', 'slope_vanishes']) AS metric,
+  unnest([n::DOUBLE, round(n / (2 * p), 6), round(n / (2 * (n - p)), 6), round(ln(2), 6), 1.0]) AS value FROM c""",
+)
+def pair_fit_checks(spark, d):
+    """What the pair regression starts from and ends with: pairs, class weights, the loss
+    without weights, and whether the gradient is gone at the weights found."""
+    side = views.label_side(spark, d)
+    train = pair_fit.compact(learning.training_pairs(rows(spark, d), side, "vec_id"))
+    n, up, down = pair_fit.class_weights(train)
+    found, curve = pair_fit.fit(train, side.matrix, "concat+diff+prod")
+    slope = pair_fit.slope(train, side.matrix, "concat+diff+prod", found, 1.0, True)
+    values = {
+        "n_pairs": n, "positive_weight": round(up, 6), "negative_weight": round(down, 6),
+        "prior_loss": round(curve[0], 6), "slope_vanishes": float(abs(slope).max() < 1e-5),
+    }
+    return metric_rows(spark, values)
 
 
 @query("grid_search")

@@ -173,7 +173,7 @@ _TEXT_PAIRS_SQL = (
     views.with_views("vec_labels")
     + f""", owned AS (SELECT vec_id, list_sort(list_distinct(labels)) AS s, md5(concat_ws('|', '42', vec_id)) AS h
   FROM vec_labels WHERE len(labels) > 0),
-its AS (SELECT unnest([0, 1]) AS iteration),
+its AS (SELECT unnest(range(20)) AS iteration),
 numbered AS (SELECT vec_id, l, row_number() OVER (PARTITION BY l ORDER BY h, vec_id) AS rn, count(*) OVER (PARTITION BY l) AS n
   FROM (SELECT vec_id, h, unnest(s) AS l FROM owned)),
 own AS (SELECT vec_id, list({{'l': l, 'rn': rn, 'n': n}} ORDER BY l) AS o FROM numbered WHERE n > 1 GROUP BY vec_id),
@@ -202,6 +202,6 @@ def text_pairs(spark, d):
     return pairs.text_pairs(
         views.vec_labels(spark, d).select("vec_id", "labels"),
         "vec_id",
-        num_iterations=2,
+        num_iterations=20,
         seed=views.SEED,
     )

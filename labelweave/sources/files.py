@@ -31,9 +31,15 @@ def extension(path: str) -> str:
     return PurePosixPath(path.rstrip("/")).suffix.lower()
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Text columns unless a schema is given; nothing is inferred."""
-    reader = spark.read.options(**CSV_READ)
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Text columns unless a schema is given; nothing is inferred.
+
+    Where no cell holds a line break, ``multi_line=False`` lets a large file be read by
+    many tasks; otherwise a file is read by one.
+    """
+    reader = spark.read.options(**CSV_READ | {"multiLine": multi_line})
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelweave.functions import text, vectors
-from labelweave.operators import extraction, inference, learning, metrics, model_files, scoring, search
+from labelweave.operators import extraction, inference, learning, metrics, model_files, pair_fit, scoring, search
 from labelweave.operators.scoring import LabelSide
 from labelweave.plans import active_round, train_submit
 from labelweave.sources.store import Store
@@ -178,6 +178,41 @@ def test_pca_equals_centred_svd(rows, data):
     assert len(wide) == D
 
 
+@pytest.mark.parametrize("mode", ["concat+diff+prod", "diff+prod"])
+def test_pair_axes_equal_svd_of_expanded_features(rows, side, mode):
+    train = learning.training_pairs(rows, side, "row_id", n_neg=2, mode=mode)
+    gaps = train.unionByName(train.limit(3).withColumn("vector", F.lit(None).cast("array<double>")))
+    found = pair_fit.axes(pair_fit.compact(gaps), side.matrix, mode, 3)
+    X = np.stack([r["features"].toArray() for r in train.collect()])
+    centred = X - X.mean(0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(found.variances, s[:3] ** 2 / (len(X) - 1)) and np.allclose(found.total, X.var(0, ddof=1).sum())
+    got = gaps.select("row_id", "label_key", "features", found.project("vector", "label_idx").alias("p"))
+    seen = [r for r in got.collect() if r.p is not None]
+    assert len(seen) == len(X) and got.filter("p is null").count() == 3
+    for r in seen[:50]:
+        want = (r["features"].toArray() - X.mean(0)) @ vt[:3].T
+        assert np.allclose(np.abs(r.p), np.abs(want), atol=1e-6)  # features hold labels as floats
+
+
+def test_predict_from_texts(spark, side):
+    import pandas as pd
+
+    def factory():
+        import numpy as np
+
+        return lambda texts: np.array([[len(t), 1.0, *[0.0] * (D - 2)] for t in texts], float)
+
+    model = learning.CosineModel(side, threshold=0.1)
+    table = spark.createDataFrame([(0, "abc"), (1, None)], "row_id bigint, text string")
+    want = [tuple(r) for r in inference.predict(table, model, keep=["row_id", "text"], make_encoder=factory).orderBy("row_id").collect()]
+    for texts in (["abc", None], pd.Series(["abc", None])):
+        got = inference.predict(texts, model, make_encoder=factory, spark=spark)
+        assert [tuple(r) for r in got.orderBy("row_id").collect()] == want and got.columns[:2] == ["row_id", "text"]
+    with pytest.raises(ValueError, match="encoder"):
+        inference.predict(["abc"], model, spark=spark)
+
+
 def test_grid_search(spark):
     rng = np.random.default_rng(1)
     X = np.array([[2.0, 0]] * 3 + [[0, 2.0]] * 3) + rng.normal(0, 0.01, (6, 2))
