@@ -1,22 +1,15 @@
-"""Running values over groups of any size.
+"""Running values over all rows.
 
-Rows are cut into ranges of the order column. A window covers one range of one
-group, and what the earlier ranges of the group add up to is carried in by a join
-on (group, range). A group with a third of all rows thus uses as many tasks as
-there are ranges it spans. Group keys must not be NULL. Inputs are used twice and
-should be checkpointed or read from a table.
+Rows are cut into ranges of the order column. A window covers one range, and what the
+earlier ranges add up to is carried in by a join on the range.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
 RANGE = "_range"
 QUANTILE_ACCURACY = 10_000
 
@@ -35,30 +28,6 @@ def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFra
     return marked.withColumn(RANGE, F.col("_b").cast("int")).drop("_order", "_b")
 
 
-def running_sum(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column | str, out: str
-) -> DataFrame:
-    """Sum of the value over a group up to and including the row."""
-    v = F.col(value) if isinstance(value, str) else value
-    local = (
-        Window.partitionBy(*keys, RANGE)
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        df.groupBy(*keys, RANGE)
-        .agg(F.sum(v).alias("_t"))
-        .select(*keys, RANGE, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_carry"))
-    )
-    return (
-        df.withColumn("_local", F.sum(v).over(local))
-        .join(carry, [*keys, RANGE])
-        .withColumn(out, F.col("_local") + F.col("_carry"))
-        .drop("_local", "_carry")
-    )
-
-
 def running_total_and_peak(
     df: DataFrame, order: str, value: str, total: str, peak: str
 ) -> DataFrame:
@@ -67,17 +36,13 @@ def running_total_and_peak(
     Inside a range both start at zero; the ranges before shift them. Only one row
     per range is combined across ranges.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     so_far = (
         Window.partitionBy(RANGE)
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = (
-        df.withColumn("_sum", F.sum(value).over(so_far))
-        .withColumn("_top", F.max("_sum").over(so_far))
-        .checkpoint()
-    )
+    # read twice, from the same exchange
+    local = df.withColumn("_sum", F.sum(value).over(so_far)).withColumn("_top", F.max("_sum").over(so_far))
     earlier = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         local.groupBy(RANGE)
@@ -93,21 +58,3 @@ def running_total_and_peak(
         .withColumn(peak, F.greatest("_high", F.col("_start") + F.col("_top")))
         .drop("_sum", "_top", "_start", "_high")
     )
-
-
-def previous_value(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, out: str
-) -> DataFrame:
-    """Value of the row before in a group, NULL on its first row; values are not NULL."""
-    local = Window.partitionBy(*keys, RANGE).orderBy(order)
-    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    ends = df.groupBy(*keys, RANGE).agg(F.max_by(value, order).alias("_t"))
-    carry = ends.select(
-        *keys, RANGE, F.last("_t", ignorenulls=True).over(earlier).alias("_carry")
-    )
-    return (
-        df.withColumn("_local", F.lag(value).over(local))
-        .join(carry, [*keys, RANGE])
-        .withColumn(out, F.coalesce("_local", "_carry"))
-        .drop("_local", "_carry")
-    )

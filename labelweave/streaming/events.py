@@ -9,25 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.labels import empty_labels
-from ..operators.running import (
-    RANGE,
-    previous_value,
-    running_sum,
-    running_total_and_peak,
-    with_ranges,
-)
+from ..operators.running import RANGE, running_total_and_peak, with_ranges
 from ..session import ensure_checkpoint_dir
 from ..sources import folders
 
 #: Parts of the folds, by a hash of the row; a batch reads only the parts of its rows.
 PARTS = 64
 COMPACT_EVERY = 16
+#: Parts of a range of events, by a hash of the row, that are worked off side by side.
+RANGE_PARTS = 8
 EVENT_SCHEMA = "seq bigint, row_id bigint, label_key string, action string"
 # last edit as one number, so that the aggregate keeps a fixed-width buffer
 _CODES = {"off": 0, "on": 1, "clear": 2}
@@ -80,14 +79,15 @@ def labels_now(events: DataFrame) -> DataFrame:
 def label_transitions(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """``seq, row_id, change``: -1, 0 or +1 in the number of labelled rows per event.
 
-    Clears cut a row's edits into epochs. Inside an epoch an edit changes the
-    row's label count when it differs from the last edit of the same label, and
-    the row becomes labelled or unlabelled when that count leaves or reaches 0.
+    Events are cut into ranges of ``seq``. What a range does to a row is told by its last
+    clear and the last edit of each label, of which the later one counts, as in a prefix
+    sum; so the labels that a row has when a range begins follow from small summaries.
+    With these, the parts of all ranges are worked off side by side. An event without
+    action is left out.
     """
     ensure_checkpoint_dir(events.sparkSession)
     # a missing row id is a row of its own: two columns that are never NULL
-    row = ["_row", "_norow"]
-    keyed = events.select(
+    keyed = events.filter("action is not null").select(
         "seq",
         F.coalesce("row_id", F.lit(0)).cast("bigint").alias("_row"),
         F.col("row_id").isNull().alias("_norow"),
@@ -95,42 +95,63 @@ def label_transitions(events: DataFrame, ranges: int | None = None) -> DataFrame
         "action",
     )
     base = with_ranges(keyed, "seq", ranges).checkpoint()
+    given = _labels_before(base).withColumn("_given", F.lit(True))
+    both = base.withColumn("_given", F.lit(False)).unionByName(given)
+    part = F.pmod(F.xxhash64("_row", "_norow"), F.lit(RANGE_PARTS)).alias("_part")
+    changed = both.groupBy(RANGE, part).applyInArrow(_changes, f"seq long, _row long, _norow boolean, {RANGE} int, change int")
+    return changed.select("seq", F.when(~F.col("_norow"), F.col("_row")).alias("row_id"), RANGE, "change")
+
+
+def _labels_before(base: DataFrame) -> DataFrame:
+    """The labels that a row has when a range with events of it begins, as further edits."""
+    row = ["_row", "_norow"]
     is_clear = F.col("action") == "clear"
-    is_toggle = ~is_clear & F.col("label_key").isNotNull()
-    epochs = (
-        running_sum(base, row, "seq", is_clear.cast("int"), "epoch")
-        .select("seq", *row, RANGE, "epoch", "label_key", "action")
-        .checkpoint()
-    )
-    toggles = epochs.filter(is_toggle).withColumn("on", (F.col("action") == "on").cast("int"))
-    steps = (
-        previous_value(toggles, [*row, "epoch", "label_key"], "seq", "on", "was")
-        .withColumn("delta", F.col("on") - F.coalesce("was", F.lit(0)))
-        .select("seq", *row, "epoch", RANGE, "delta")
-        .checkpoint()
-    )
-    counted = running_sum(steps, [*row, "epoch"], "seq", "delta", "n")
-    change = (F.col("n") > 0).cast("int") - ((F.col("n") - F.col("delta")) > 0).cast("int")
-    toggled = counted.select("seq", *row, RANGE, change.alias("change"))
-    ended = steps.groupBy(*row, (F.col("epoch") + 1).alias("epoch")).agg(
-        F.sum("delta").alias("left")
-    )
-    emptied = -(F.coalesce("left", F.lit(0)) > 0).cast("int")
-    cleared = (
-        epochs.filter(is_clear)
-        .join(ended, [*row, "epoch"], "left")
-        .select("seq", *row, RANGE, emptied.alias("change"))
-    )
-    ignored = epochs.filter(~is_clear & F.col("label_key").isNull()).select(
-        "seq", *row, RANGE, F.lit(0).alias("change")
+    edit = F.when(~is_clear & F.col("label_key").isNotNull(), F.struct("seq", (F.col("action") == "on").alias("on")))
+    summary = base.groupBy(*row, RANGE, "label_key").agg(
+        F.max(F.when(is_clear, F.col("seq"))).alias("clear"), F.max(edit).alias("edit")
     )
+    present = summary.groupBy(*row, RANGE).agg(F.max("clear").alias("clear"))
+    edits = summary.filter("edit is not null").select(*row, RANGE, "label_key", "edit")
+    # a line per label of a row and range with events of it; as many as there are ranges, at most
+    grid = present.join(edits.select(*row, "label_key").distinct(), row).join(edits, [*row, RANGE, "label_key"], "left")
+    earlier = Window.partitionBy(*row, "label_key").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        toggled.unionByName(cleared)
-        .unionByName(ignored)
-        .select("seq", F.when(~F.col("_norow"), F.col("_row")).alias("row_id"), RANGE, "change")
+        grid.withColumn("_edit", F.last("edit", ignorenulls=True).over(earlier))
+        .withColumn("_clear", F.max("clear").over(earlier))
+        .filter("_edit.on and (_clear is null or _edit.seq > _clear)")
+        .select(F.col("_edit.seq").alias("seq"), *row, "label_key", F.lit("on").alias("action"), RANGE)
     )
 
 
+def _changes(t: pa.Table) -> pa.Table:
+    """Change of every event of a part of a range; edits that were given come first."""
+    seq, row, none, given = (t.column(c).to_numpy() for c in ("seq", "_row", "_norow", "_given"))
+    clear = pc.equal(t.column("action"), "clear").to_numpy()
+    on = pc.equal(t.column("action"), "on").to_numpy()
+    label = pc.fill_null(pc.dictionary_encode(t.column("label_key").combine_chunks()).indices, -1).to_numpy(zero_copy_only=False)
+    order = np.lexsort((seq, ~given, row, none))
+    row, none, clear, on, label = (x[order] for x in (row, none, clear, on, label))
+    # an epoch begins with a row and after each clear
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (none[1:] != none[:-1]) | clear[:-1]
+    epoch = np.cumsum(new) - 1
+    toggle = np.flatnonzero(~clear & (label >= 0))
+    by_label = toggle[np.lexsort((toggle, label[toggle], epoch[toggle]))]
+    was = np.zeros(len(by_label), bool)
+    same = (epoch[by_label][1:] == epoch[by_label][:-1]) & (label[by_label][1:] == label[by_label][:-1])
+    was[1:] = same & on[by_label][:-1]
+    delta = np.zeros(len(row), np.int64)
+    delta[by_label] = on[by_label].astype(np.int64) - was
+    total = np.cumsum(delta)
+    before = (total - delta)[np.flatnonzero(new)][epoch]  # of the epochs before
+    n = total - before
+    change = (n > 0).astype(np.int32) - ((n - delta) > 0)
+    change = np.where(clear, -(n > 0).astype(np.int32), change).astype(np.int32)
+    events = ~given[order]
+    out = t.select(["seq", "_row", "_norow", RANGE]).take(pa.array(order[events]))
+    return out.append_column("change", pa.array(change[events]))
+
+
 def rounds_of(
     transitions: DataFrame, every: int, labelled: int = 0, trained_at: int = 0
 ) -> DataFrame:
