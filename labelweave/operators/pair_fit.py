@@ -128,7 +128,7 @@ def fit(
     for _ in range(max_iter):
         sums = _loss_sums(pairs, labels, made @ at, up, down)
         value = C * sums[0] + 0.5 * (keep * at * at).sum()
-        curve.append(value / (C * n))
+        curve.append(float(value / (C * n)))
         if value > best + 1e-9 * abs(best) and np.abs(step).max() > tol:
             step /= 2  # too far
             curve.pop()
