@@ -1,6 +1,7 @@
-"""Substring dedup of byte strings by distributed prefix doubling.
+"""Substring dedup of byte strings by names that double in length, and minimiser sampling.
 
-Two positions hold the same ``LENGTH`` bytes exactly if their ranks at half that
+Names are hashes made inside a batch and take the place of ranks: Spark sorts no pairs of
+position ranks in rounds of growing offsets. Two positions hold the same ``LENGTH`` bytes exactly if their ranks at half that
 length are equal, and so are the ranks half of it further on; ranks at a length come
 from pairs of ranks at half the length. Ranks are 64-bit names, made by doubling from
 the eight bytes at a position (exact) to 16, 32 and 50 bytes; a pair of the last is a
