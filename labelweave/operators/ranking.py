@@ -2,8 +2,8 @@
 
 Three tools cover every global-order need:
 
-* ``kth_smallest`` finds an exact order statistic by narrowing a histogram; each
-  pass is one small aggregate over one column. Splits and folds are then plain
+* ``order_statistics`` finds exact order statistics by narrowing histograms; each
+  pass is one small aggregate over one column for all of them. Splits and folds are then plain
   row-wise predicates, so no row is moved.
 * ``global_rank`` numbers all rows: range partitioning, a sort inside each
   partition, and per-partition offsets. Equal keys spread over partitions.
@@ -14,8 +14,9 @@ Three tools cover every global-order need:
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from ..session import ensure_checkpoint_dir
 
 HISTOGRAM_BINS = 4096
 HASH_KEY_DIGITS = 15
+MD5_DIGITS = 32
+CUT_DIGITS = 3
 LOCAL_INDEX_MASK = (1 << 33) - 1
 
 
@@ -50,51 +53,72 @@ def kth_smallest(
     """Exact k-th smallest value (1-based) of an integer column.
 
     Returns the value and the number of rows strictly below it, None when k is
-    out of range. A pass collects at most ``HISTOGRAM_BINS`` counts; once the bin
-    that holds the answer has few rows, its distinct values end the search.
+    out of range.
     """
-    low, high, total = span or column_span(df, column)
-    if k < 1 or k > total:
-        return None
-    below, inside = 0, total
-    while low < high:
-        # few rows: count per value; many rows: count per equally wide bin
-        width = 1 if inside <= HISTOGRAM_BINS else (high - low) // HISTOGRAM_BINS + 1
-        bins = (
-            df.filter(F.col(column).between(low, high))
-            .groupBy(F.expr(f"(`{column}` - {low}L) div {width}L").alias("bin"))
-            .count()
-            .collect()
-        )
-        for bin_no, count in sorted((r["bin"], r["count"]) for r in bins):
-            if below + count >= k:
-                low, high = low + bin_no * width, min(high, low + (bin_no + 1) * width - 1)
-                inside = count
-                break
-            below += count
-    return low, below
+    return order_statistics(df, column, [k], span)[0]
 
 
-def hash_cut(df: DataFrame, row_id: str, k: int, seed: int | str) -> Column:
+def order_statistics(
+    df: DataFrame, column: str, ks: Sequence[int], span: tuple[int, int, int] | None = None
+) -> list[tuple[int, int] | None]:
+    """``kth_smallest`` for several k, all narrowed in the same passes over the column.
+
+    A pass collects at most ``HISTOGRAM_BINS`` counts for each k; once the bin that
+    holds an answer has few rows, its distinct values end the search.
+    """
+    low, high, total = span or column_span(df, column)
+    # where the answer for k lies: smallest and largest value, rows below, rows inside
+    found = {k: (low, high, 0, total) for k in ks if 1 <= k <= total}
+    while open_ranges := sorted({(lo, hi, inside) for lo, hi, _, inside in found.values() if lo < hi}):
+        number, bin_of, widths = F.lit(None).cast("int"), F.lit(None).cast("bigint"), {}
+        for i, (lo, hi, inside) in enumerate(open_ranges):
+            # few rows: count per value; many rows: count per equally wide bin
+            widths[lo, hi] = i, 1 if inside <= HISTOGRAM_BINS else (hi - lo) // HISTOGRAM_BINS + 1
+            here = F.col(column).between(lo, hi)
+            number = F.when(here, F.lit(i)).otherwise(number)
+            bin_of = F.when(here, F.expr(f"(`{column}` - {lo}L) div {widths[lo, hi][1]}L")).otherwise(bin_of)
+        rows = df.select(number.alias("_range"), bin_of.alias("_bin")).filter("_range is not null")
+        counts = sorted(tuple(r) for r in rows.groupBy("_range", "_bin").count().collect())
+        for k, (lo, hi, below, inside) in found.items():
+            if lo == hi:
+                continue
+            mine, width = widths[lo, hi]
+            for bin_no, count in ((b, c) for i, b, c in counts if i == mine):
+                if below + count >= k:
+                    found[k] = lo + bin_no * width, min(hi, lo + (bin_no + 1) * width - 1), below, count
+                    break
+                below += count
+    return [found[k][0::2][:2] if k in found else None for k in ks]
+
+
+def hash_cut(df: DataFrame, row_id: str, k: int | Callable[[int], int], seed: int | str) -> Column:
     """Row-wise predicate that is true for the first k rows in seeded hash order.
 
-    Order is (md5, row_id); row ids are unique. The cut is a literal, so using
-    the predicate needs no shuffle.
+    Order is (md5, row_id); row ids are unique. ``k`` may follow from the number of
+    rows. The cut is a literal, so using the predicate needs no shuffle. Hashes fill
+    their range evenly, so a pass counts by the next three of their digits: one pass
+    counts the rows as well, and the rows that share six digits are few.
     """
     hashed = hash_order(seed, row_id)
-    keys = df.select(F.col(row_id).alias("_id"), hashed.alias("_h")).withColumn(
-        "_k", hash_number(F.col("_h"))
-    )
-    if k <= 0:
-        return F.lit(False)
-    found = kth_smallest(keys, "_k", k)
-    if found is None:
-        return F.lit(True)
-    value, below = found
-    # rows that share all 60 leading bits: practically one row, ordered exactly
-    last = (
-        keys.filter(F.col("_k") == value).orderBy("_h", "_id").limit(k - below).collect()[-1]
-    )
+    keys = df.select(F.col(row_id).alias("_id"), hashed.alias("_h"))
+    prefix, below, inside = "", 0, None
+    while inside is None or (inside > HISTOGRAM_BINS and len(prefix) < MD5_DIGITS):
+        digits = F.substring("_h", len(prefix) + 1, CUT_DIGITS).alias("_d")
+        inner = keys.filter(F.col("_h").startswith(prefix)) if prefix else keys
+        counts = sorted(tuple(r) for r in inner.groupBy(digits).count().collect())
+        if inside is None:
+            total = sum(n for _, n in counts)
+            k = k(total) if callable(k) else k
+            if k <= 0:
+                return F.lit(False)
+            if k > total:
+                return F.lit(True)
+        for part, inside in counts:
+            if below + inside >= k:
+                prefix += part
+                break
+            below += inside
+    last = keys.filter(F.col("_h").startswith(prefix)).orderBy("_h", "_id").limit(k - below).collect()[-1]
     return (hashed < F.lit(last["_h"])) | (
         (hashed == F.lit(last["_h"])) & (F.col(row_id) <= F.lit(last["_id"]))
     )
@@ -104,7 +128,7 @@ def mark_hash_split(
     df: DataFrame, row_id: str, size_of, seed: int | str = 42, out: str = "is_test"
 ) -> DataFrame:
     """Exact-size seeded split; ``size_of(n)`` gives the size of the marked part."""
-    return df.withColumn(out, hash_cut(df, row_id, size_of(df.count()), seed))
+    return df.withColumn(out, hash_cut(df, row_id, size_of, seed))
 
 
 def test_size(fraction: float):
@@ -130,7 +154,7 @@ def split_by_text(
     ensure_checkpoint_dir(df.sparkSession)
     # written once, as the search for the cut reads it several times
     texts = df.select(F.md5(text).alias("_t")).distinct().checkpoint()
-    cut = hash_cut(texts, "_t", validation_size(fraction)(texts.count()), seed)
+    cut = hash_cut(texts, "_t", validation_size(fraction), seed)
     return df.withColumn("_t", F.md5(text)).withColumn(out, cut).drop("_t")
 
 
@@ -145,12 +169,9 @@ def contiguous_folds(df: DataFrame, row_id: str, k: int, out: str = "fold") -> D
     """Unshuffled folds by integer row id; the first ``n % k`` folds are one larger."""
     span = column_span(df, row_id)
     size, extra = divmod(span[2], k)
-    ends, at = [], 0
-    for i in range(k - 1):
-        at += size + (1 if i < extra else 0)
-        found = kth_smallest(df, row_id, at, span)
-        if found is not None:
-            ends.append(found[0])
+    sizes = [size + (1 if i < extra else 0) for i in range(k - 1)]
+    found = order_statistics(df, row_id, list(accumulate(sizes)), span)
+    ends = [f[0] for f in found if f is not None]
     passed = [F.when(F.col(row_id) > e, 1).otherwise(0) for e in ends]
     return df.withColumn(out, reduce(lambda a, b: a + b, passed, F.lit(0)))
 
