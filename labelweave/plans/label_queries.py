@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as lab
 from ..functions import vectors
 from ..functions.text import described_tag, with_allowed_labels
-from ..operators import frames, scoring
+from ..operators import frames, scoring, vocabularies
 from . import views
 from .catalog import query
 
@@ -117,9 +117,25 @@ FROM labelled_docs, doc_classes""",
 )
 def multi_hot(spark, d):
     docs = views.labelled_docs(spark, d)
-    classes = frames.fit_classes(docs)
-    bits = F.transform(lab.multi_hot("labels", classes), lambda b: b.cast("string"))
-    return docs.select("doc_id", F.array_join(bits, "").alias("bits"))
+    vocab = vocabularies.numbered_vocabulary(docs)
+    numbered = vocabularies.label_numbers(docs, vocab, "doc_id")
+    hot = vocabularies.dense_hot("label_ids", vocab.count())
+    return numbered.select("doc_id", F.array_join(F.transform(hot, lambda b: b.cast("string")), "").alias("bits"))
+
+
+@query(
+    "label_numbers",
+    views.with_views("labelled_docs")
+    + """, v AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM (SELECT DISTINCT unnest(labels) AS k FROM labelled_docs)),
+o AS (SELECT doc_id, string_agg(i::VARCHAR, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, unnest(labels) AS k FROM labelled_docs) JOIN v USING (k) GROUP BY 1)
+SELECT doc_id, coalesce(ids, '') AS label_ids FROM labelled_docs LEFT JOIN o USING (doc_id)""",
+)
+def label_numbers(spark, d):
+    """Sparse form of the multi-hot vector."""
+    docs = views.labelled_docs(spark, d)
+    numbered = vocabularies.label_numbers(docs, vocabularies.numbered_vocabulary(docs), "doc_id")
+    return numbered.select("doc_id", F.array_join(F.col("label_ids").cast("array<string>"), ",").alias("label_ids"))
 
 
 @query(

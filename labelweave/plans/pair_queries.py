@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import FEATURE_MODES, plain_zero
-from ..operators import frames, metrics, pairs
+from ..operators import frames, metrics, pairs, vocabularies
 from . import views
 from .catalog import query
 
@@ -74,6 +74,35 @@ def ratio_pairs(spark, d):
     )
 
 
+_DEALT_SQL = """WITH tagged AS (SELECT p_partkey, list_distinct([p_brand, p_type]) AS tags FROM part),
+vocab AS (SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS idx
+  FROM (SELECT DISTINCT unnest(tags) AS tag FROM tagged) WHERE tag IS NOT NULL),
+size AS (SELECT count(*) AS n FROM vocab),
+prime AS (SELECT n, min(p) AS p FROM (SELECT n, unnest(range(greatest(n, 2), 2 * n + 4)) AS p FROM size)
+  WHERE len(list_filter(range(2, p), lambda q: p % q = 0)) = 0 GROUP BY n),
+own AS (SELECT p_partkey, list(idx ORDER BY idx) AS ids
+  FROM (SELECT p_partkey, unnest(tags) AS tag FROM tagged) JOIN vocab USING (tag) GROUP BY 1),
+dealt AS (SELECT p_partkey, ids, n, p,
+    ('0x' || substr(md5(concat_ws('|', '42', p_partkey, 'start')), 1, 15))::BIGINT % p AS a,
+    ('0x' || substr(md5(concat_ws('|', '42', p_partkey, 'step')), 1, 15))::BIGINT % (p - 1) + 1 AS b
+  FROM own, prime),
+walked AS (SELECT p_partkey, ids, list_filter(list_transform(range(0, p), lambda j: (a + j * b) % p),
+    lambda x: x < n AND NOT list_contains(ids, x))[1:2 * len(ids)] AS others FROM dealt)
+SELECT p_partkey, tag AS label_key, label FROM (
+  SELECT p_partkey, unnest(ids) AS idx, 1 AS label FROM walked
+  UNION ALL SELECT p_partkey, unnest(others), 0 FROM walked) JOIN vocab USING (idx)"""
+
+
+@query("dealt_pairs", _DEALT_SQL)
+def dealt_pairs(spark, d):
+    """Ratio pairs from a vocabulary table, with dealt negatives."""
+    tagged = product_tags(spark, d)
+    vocab = vocabularies.numbered_vocabulary(tagged, "tags")
+    return vocabularies.ratio_pairs_from_table(
+        tagged, vocab, "p_partkey", negatives_per_positive=2, seed=views.SEED
+    )
+
+
 @query("all_pairs", _TAGS_SQL + "SELECT p_partkey, tag AS label_key, label FROM grid")
 def all_pairs(spark, d):
     tagged = product_tags(spark, d)
