@@ -260,43 +260,71 @@ TEMPLATES = [
 
 def _pick_sql(what: str, values: str) -> str:
     return (
-        f"list_extract({values}, (('0x' || substr(md5(concat_ws('|', '42', c_custkey, {what})), 1, 15))::BIGINT "
+        f"list_extract({values}, (('0x' || substr(md5(concat_ws('|', '42', try_id, {what})), 1, 15))::BIGINT "
         f"% len({values}))::INT + 1)"
     )
 
 
 _P = {k: "v." + k for k in ("brand", "type", "place")}
-_GENERATE_SQL = f"""WITH v AS (
+_GENERATE_SQL = f"""v AS (
   SELECT (SELECT list(DISTINCT p_brand ORDER BY p_brand) FROM part) AS brand,
     (SELECT list(DISTINCT p_type ORDER BY p_type) FROM part) AS type,
     (SELECT list(DISTINCT n_name ORDER BY n_name) FROM nation) AS place),
-c AS (SELECT c_custkey, {_pick_sql("'template'", "['positive', 'negative', 'neutral']")} AS bucket,
+c AS (SELECT try_id, {_pick_sql("'template'", "['positive', 'negative', 'neutral']")} AS bucket,
     {_pick_sql("'positive', '0'", "v.brand")} AS a0, {_pick_sql("'positive', '1'", "v.type")} AS a1,
     {_pick_sql("'positive', '2'", "v.place")} AS a2,
     {_pick_sql("'negative', '0'", "v.place")} AS b0, {_pick_sql("'negative', '1'", "v.type")} AS b1,
     {_pick_sql("'negative', '2'", "v.brand")} AS b2,
     {_pick_sql("'neutral', '0'", "v.brand")} AS n0, {_pick_sql("'neutral', '1'", "v.type")} AS n1,
     {_pick_sql("'neutral', '2'", "v.type")} AS n2
-  FROM customer, v),
-t AS (SELECT c_custkey, bucket AS label_key, CASE bucket
+  FROM tries, v),
+t AS (SELECT try_id, bucket AS label_key, CASE bucket
     WHEN 'positive' THEN 'The ' || a0 || ' ' || a1 || ' part is great, shipped to ' || a2 || '.'
     WHEN 'negative' THEN b0 || ' got a broken ' || b1 || ' part from ' || b2 || '.'
     ELSE n0 || ' sells ' || n1 || ' and ' || n2 || ' parts.' END AS text FROM c)
 """
 
 
+_CUSTOMER_TRIES = "WITH tries AS (SELECT c_custkey AS try_id FROM customer),\n"
+
+
+def _slots(spark, d):
+    part = views.table(spark, d, "part")
+    return generation.slot_table(
+        {
+            "brand": (part, "p_brand"),
+            "type": (part, "p_type"),
+            "place": (views.table(spark, d, "nation"), "n_name"),
+        }
+    )
+
+
 @query(
     "generate_texts",
-    _GENERATE_SQL
-    + "SELECT text, min(c_custkey) AS c_custkey, arg_min(label_key, c_custkey) AS label_key FROM t GROUP BY text",
+    _CUSTOMER_TRIES
+    + _GENERATE_SQL
+    + "SELECT text, min(try_id) AS c_custkey, arg_min(label_key, try_id) AS label_key FROM t GROUP BY text",
 )
 def generate_texts(spark, d):
     """Labelled texts from templates; one try per customer, slots filled from the tables."""
-    slots = {
-        "brand": generation.slot_values(views.table(spark, d, "part"), "p_brand"),
-        "type": generation.slot_values(views.table(spark, d, "part"), "p_type"),
-        "place": generation.slot_values(views.table(spark, d, "nation"), "n_name"),
-    }
     tries = views.table(spark, d, "customer").select("c_custkey")
-    made = generation.filled_templates(tries, "c_custkey", TEMPLATES, slots, views.SEED)
+    made = generation.filled_from_table(tries, "c_custkey", TEMPLATES, _slots(spark, d), views.SEED)
     return generation.unique_texts(made, "c_custkey")
+
+
+@query(
+    "generate_new_texts",
+    """WITH goal AS (SELECT count(*) // 10 AS n FROM customer),
+tries AS (SELECT unnest(range(0, n * 50)) AS try_id FROM goal),
+"""
+    + _GENERATE_SQL
+    + """, once AS (SELECT text, min(try_id) AS try_id, arg_min(label_key, try_id) AS label_key FROM t GROUP BY text),
+fresh AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', try_id)), try_id) AS rn
+  FROM once WHERE text NOT IN (SELECT text FROM t WHERE try_id IN (SELECT c_custkey FROM customer)))
+SELECT text, try_id, label_key FROM fresh, goal WHERE rn <= n""",
+)
+def generate_new_texts(spark, d):
+    """A text for every tenth customer, none of them among those of ``generate_texts``."""
+    n = views.table(spark, d, "customer").count() // 10
+    known = generate_texts(spark, d)
+    return generation.generate(spark, n, TEMPLATES, _slots(spark, d), views.SEED, avoid=known)

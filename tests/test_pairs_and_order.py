@@ -1,11 +1,12 @@
 import hashlib
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelweave.operators import frames, generation, pairs, queues, ranking
+from labelweave.operators import frames, generation, pairs, queues, ranking, vocabularies
 
 KEYS = [f"c::{i}" for i in range(5)]
 
@@ -95,6 +96,86 @@ def test_kth_smallest(spark, k):
     assert ranking.kth_smallest(df, "x", 101) is None
 
 
+def jobs_of(spark, run):
+    """Number of jobs that a call starts, by its job group."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "count")
+    try:
+        out = run()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_order_statistics_share_their_passes(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.integers(-(10**15), 10**15, 6000), np.full(3000, 7)])
+    df = spark.createDataFrame([(int(v),) for v in values], "x bigint").coalesce(2)
+    ks = [0, 1, 2, 3000, 4500, 4501, 9000, 9001, 4500]
+    found, order = ranking.order_statistics(df, "x", ks), np.sort(values)
+    for k, f in zip(ks, found):
+        at = int(order[k - 1]) if 1 <= k <= len(order) else None
+        assert f == (None if at is None else (at, int((values < at).sum())))
+
+
+def test_cuts_take_few_passes(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a job a pass
+    try:
+        df = spark.range(60_000).select((F.col("id") * 3).alias("row_id"))
+        folds, passes = jobs_of(spark, lambda: ranking.contiguous_folds(df, "row_id", 5))
+        assert passes <= 3
+        split, passes = jobs_of(spark, lambda: ranking.mark_hash_split(df, "row_id", ranking.test_size(0.3)))
+        assert passes <= 3
+        assert [r["count"] for r in folds.groupBy("fold").count().collect()] == [12_000] * 5
+        assert split.filter("is_test").count() == 18_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_hash_cut_of_empty_and_whole_tables(spark):
+    empty = spark.range(0).withColumnRenamed("id", "row_id")
+    assert ranking.mark_hash_split(empty, "row_id", ranking.test_size(0.3)).count() == 0
+    some = spark.range(5).withColumnRenamed("id", "row_id")
+    for k in (0, 5, 9):
+        assert some.filter(ranking.hash_cut(some, "row_id", k, 1)).count() == min(k, 5)
+
+
+def test_numbered_vocabulary_and_dealt_negatives(spark):
+    rows = [(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["c", None, "hot"])] + [(i, ["hot"]) for i in range(5, 60)]
+    rows += [(100 + i, [f"k{i}"]) for i in range(20)]
+    df = spark.createDataFrame(rows, "row_id bigint, tags array<string>")
+    vocab = vocabularies.numbered_vocabulary(df, "tags").checkpoint()
+    names = [r["label_key"] for r in vocab.orderBy("label_idx").collect()]
+    assert names == sorted({t for _, ts in rows for t in ts or [] if t})
+    numbers = {r["row_id"]: r["label_ids"] for r in vocabularies.label_numbers(df, vocab, "row_id", "tags").collect()}
+    assert numbers == {i: sorted(names.index(t) for t in set(ts or []) if t) for i, ts in rows}
+    wide = vocabularies.ratio_pairs_from_table(df, vocab, "row_id", negatives_per_positive=3).collect()
+    for i, ts in rows:
+        own = {t for t in ts or [] if t}
+        plus = [r["label_key"] for r in wide if r["row_id"] == i and r["label"] == 1]
+        minus = [r["label_key"] for r in wide if r["row_id"] == i and r["label"] == 0]
+        assert sorted(plus) == sorted(own)
+        assert len(minus) == len(set(minus)) == min(3 * len(own), len(names) - len(own)) and not own & set(minus)
+    everything = vocabularies.ratio_pairs_from_table(df, vocab, "row_id", negatives_per_positive=99)
+    assert everything.groupBy("row_id").count().filter(f"count <> {len(names)}").count() == 0
+    none = vocabularies.numbered_vocabulary(df.filter("false"), "tags")
+    assert none.count() == 0
+    assert {tuple(r[0]) for r in df.select(vocabularies.dense_hot(F.array(F.lit(1)), 0)).collect()} == {()}
+
+
+def test_slot_table_gives_the_same_texts(spark):
+    templates = [("s::pos", "The {thing} is {good} and {good}."), ("s::neg", "{thing} broke."), ("s::no", "Nothing")]
+    slots = {"thing": ["box", "cable", "lamp"], "good": ["fine", "great", "solid"]}
+    tables = {k: (spark.createDataFrame([(x,) for x in [*v, *v, None]], "v string"), "v") for k, v in slots.items()}
+    table = generation.slot_table(tables)
+    tries = spark.range(200).withColumnRenamed("id", "try_id")
+    made = generation.filled_templates(tries, "try_id", templates, slots, 3)
+    joined = generation.filled_from_table(tries, "try_id", templates, table, 3)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, made.collect()))
+    with pytest.raises(KeyError):
+        generation.filled_from_table(tries, "try_id", [("a", "{none}")], table)
+
+
 @pytest.mark.parametrize("n", [1, 2, 10, 33])
 def test_split_sizes(spark, n):
     df = spark.range(n).withColumnRenamed("id", "row_id")
