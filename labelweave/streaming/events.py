@@ -7,14 +7,15 @@ tables and, where noted, on streams.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.labels import empty_labels
@@ -321,6 +322,21 @@ def _state_before(spark: SparkSession, root: str, batch_id: int) -> tuple[int, i
     return row["labelled"], row["trained_at"], row["rounds"]
 
 
+def _write_rounds(moved: DataFrame, root: str, batch_id: int, every: int, counts: tuple[int, int, int]) -> None:
+    """Write the numbered events of a batch and the counts after it."""
+    labelled, trained_at, rounds = counts
+    out = rounds_of(moved, every, labelled, trained_at).withColumn("round", F.col("round") + F.lit(rounds))
+    out.write.mode("overwrite").parquet(f"{root}/rounds/batch={batch_id}")
+    done = moved.sparkSession.read.parquet(f"{root}/rounds/batch={batch_id}").agg(
+        F.max_by("labelled_total", "seq").alias("labelled"), F.max("round").alias("rounds")
+    )
+    state = done.select(
+        F.coalesce("labelled", F.lit(labelled)).cast("bigint").alias("labelled"),
+        F.coalesce("rounds", F.lit(rounds)).cast("bigint").alias("rounds"),
+    ).withColumn("trained_at", F.lit(trained_at) + (F.col("rounds") - F.lit(rounds)) * F.lit(every))
+    state.write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
+
+
 def retrain_sink(root: str, every: int):
     """``foreachBatch`` sink that numbers retrain rounds across batches.
 
@@ -360,25 +376,91 @@ def retrain_sink(root: str, every: int):
             moved = label_transitions(known.unionByName(edits)).filter(F.col("seq") >= lowest)
         else:
             moved = label_transitions(edits)
-        out = rounds_of(moved, every, labelled, trained_at).withColumn(
-            "round", F.col("round") + F.lit(rounds)
-        )
-        out.write.mode("overwrite").parquet(f"{root}/rounds/batch={batch_id}")
+        _write_rounds(moved, root, batch_id, every, (labelled, trained_at, rounds))
         write_fold(root)(batch, batch_id)
-        done = spark.read.parquet(f"{root}/rounds/batch={batch_id}").agg(
-            F.max_by("labelled_total", "seq").alias("labelled"), F.max("round").alias("rounds")
-        )
-        state = done.select(
-            F.coalesce("labelled", F.lit(labelled)).cast("bigint").alias("labelled"),
-            F.coalesce("rounds", F.lit(rounds)).cast("bigint").alias("rounds"),
-        ).withColumn(
-            "trained_at", F.lit(trained_at) + (F.col("rounds") - F.lit(rounds)) * F.lit(every)
-        )
-        state.write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
 
     return sink
 
 
+class RowLabels(StatefulProcessor):
+    """State of a row: its labels now. Gives ``seq, row_id, change`` of its edits.
+
+    ``change`` is -1, 0 or +1 in the number of labelled rows, as in ``label_transitions``.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._labels = handle.getValueState("labels", "labels array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        edits = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        have = set(self._labels.get()[0]) if self._labels.exists() else set()
+        change = np.zeros(len(edits), np.int32)
+        for i, (action, label) in enumerate(zip(edits["action"], edits["label_key"])):
+            before = bool(have)
+            if action == "clear":
+                have.clear()
+            elif action == "on" and isinstance(label, str):
+                have.add(label)
+            elif action == "off":
+                have.discard(label)
+            change[i] = bool(have) - before
+        if have:
+            self._labels.update((sorted(have),))
+        else:
+            self._labels.clear()
+        yield pd.DataFrame({"seq": edits["seq"].to_numpy(), "_row": key[0], "_norow": key[1], "change": change})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_transitions(stream: DataFrame) -> DataFrame:
+    """``label_transitions`` of a stream, with the labels of a row as keyed state.
+
+    ``seq`` grows from batch to batch. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``). The state is partitioned by row
+    and kept with the checkpoint of the query, so a restart goes on where it ended; a
+    batch touches the state of its own rows only. The edits of one row in one batch are
+    worked off by one task: bound the batches by the source's options.
+    """
+    keyed = stream.filter("action is not null").select(
+        "seq",
+        F.coalesce("row_id", F.lit(0)).cast("bigint").alias("_row"),
+        F.col("row_id").isNull().alias("_norow"),
+        "label_key",
+        "action",
+    )
+    moved = keyed.groupBy("_row", "_norow").transformWithStateInPandas(
+        RowLabels(), "seq long, _row long, _norow boolean, change int", "Append", "None"
+    )
+    return moved.select("seq", F.when(~F.col("_norow"), F.col("_row")).alias("row_id"), "change")
+
+
+def number_rounds_sink(root: str, every: int):
+    """``foreachBatch`` sink that numbers the rounds of ``stream_transitions``.
+
+    Only the row of counts of the batch before is read; a repeated batch writes the same.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        counts = _state_before(spark, root, batch_id)
+        batch = batch.persist()
+        try:
+            _write_rounds(with_ranges(batch, "seq"), root, batch_id, every, counts)
+        finally:
+            batch.unpersist()
+
+    return sink
+
+
+def start_stateful_counter(
+    stream: DataFrame, root: str, every: int, processing_time: str | None = None
+) -> StreamingQuery:
+    """``start_retrain_counter`` with keyed state in place of folds; the same rounds."""
+    return _start(stream_transitions(stream), root, number_rounds_sink(root, every), processing_time)
+
+
 def start_retrain_counter(
     stream: DataFrame, root: str, every: int, processing_time: str | None = None
 ) -> StreamingQuery:

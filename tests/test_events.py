@@ -147,6 +147,32 @@ def test_streamed_rounds(spark, tmp_path, edits):
     assert [(r["seq"], r["labelled_total"], r["round"], r["remaining"]) for r in got] == replay(edits, 5)[1]
 
 
+def test_keyed_state_goes_on_after_a_restart(spark, tmp_path, edits):
+    """Two runs over parts of the files number the same rounds as the batch form."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    root, folder = str(tmp_path / "state"), str(tmp_path / "arriving")
+    strange = [(None, "x", "on"), (None, None, "clear"), (0, "y", "on"), (0, None, "off"), (0, "y", None), (0, "y", "off")]
+    rows = [tuple(r) for r in edits]
+    last = max(r[0] for r in rows)
+    rows += [(last + 1 + i, *r) for i, r in enumerate(strange)]
+    rows.sort()
+    try:
+        for part in range(4):
+            some = rows[part * len(rows) // 4 : (part + 1) * len(rows) // 4]
+            spark.createDataFrame(some, ev.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+            stream = spark.readStream.schema(ev.EVENT_SCHEMA).parquet(folder)
+            if part % 2:  # two runs
+                q = ev.start_stateful_counter(stream.repartition(2), root, 5)
+                assert q.awaitTermination(240)
+    finally:
+        spark.conf.unset(key)
+    names = ["seq", "row_id", "labelled_total", "round", "remaining"]
+    got = spark.read.parquet(f"{root}/rounds").select(names).orderBy("seq").collect()
+    expected = ev.retrain_rounds(spark.createDataFrame(rows, ev.EVENT_SCHEMA), 5).select(names).orderBy("seq").collect()
+    assert got == expected and len(got) == len(rows) - 1
+
+
 def encoder_factory():
     """A nested factory travels by value, as this module is unknown to the workers."""
 
