@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -366,6 +367,44 @@ def score_snapshot(model, rows: DataFrame, keep: Sequence[str], labels: str = "l
     return scored.select(*keep, "scores", truth_array(labels, model.side).alias("truth"))
 
 
+def split_snapshot(
+    model, splits: Mapping[str, DataFrame], keep: Sequence[str], labels: str = "labels", vector: str = "vector"
+) -> DataFrame:
+    """``score_snapshot`` of several tables, told apart by the column ``split``."""
+    parts = [
+        score_snapshot(model, rows, keep, labels, vector).withColumn("split", F.lit(name))
+        for name, rows in splits.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def split_scores(snapshot: DataFrame, side: LabelSide, thresholds: Sequence[float]) -> DataFrame:
+    """``split, threshold, n_eval, macro_f1, micro_f1`` of a snapshot, in one pass over it.
+
+    ``n_eval`` is the number of rows of the split. A row without scores predicts nothing.
+    """
+    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    long = long_scores(snapshot, side, ["split"], truth="truth")
+    long = long.select("split", "label_idx", "truth", "score", grid)
+    hit = F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False))
+    counts = long.groupBy("split", "threshold", "label_idx").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(hit & F.col("truth"), 1)).alias("tp"),
+        F.count(F.when(hit, 1)).alias("predicted"),
+        F.count(F.when(F.col("truth"), 1)).alias("true"),
+    )
+
+    def f1(tp: Column, predicted: Column, true: Column) -> Column:
+        # 2 tp / (predicted + true), 0 where there is nothing
+        return F.coalesce(2 * tp / F.nullif(predicted + true, F.lit(0)), F.lit(0.0))
+
+    return counts.groupBy("split", "threshold").agg(
+        F.max("n").alias("n_eval"),
+        F.avg(f1(F.col("tp"), F.col("predicted"), F.col("true"))).alias("macro_f1"),
+        f1(F.sum("tp"), F.sum("predicted"), F.sum("true")).alias("micro_f1"),
+    )
+
+
 def snapshot_metrics(snapshot: DataFrame, side: LabelSide, threshold: float) -> dict[str, float]:
     """All summary numbers of a snapshot at one threshold."""
     long = long_scores(snapshot, side, [], truth="truth")

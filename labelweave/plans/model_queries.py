@@ -233,6 +233,31 @@ def rethreshold(spark, d):
     return rounded(out)
 
 
+@query(
+    "rethreshold_splits",
+    views.with_views("scores")
+    + """, ranked AS (SELECT vec_id, row_number() OVER (ORDER BY md5(concat_ws('|', '42', vec_id)), vec_id) AS rn,
+  count(*) OVER () AS n FROM vec_labels WHERE len(labels) > 0),
+parts AS (SELECT vec_id, CASE WHEN rn <= ceil(0.3 * n) THEN 'test' ELSE 'train' END AS split FROM ranked),
+c AS (SELECT split, threshold, label_idx, count(*) AS n, count(*) FILTER (score >= threshold AND truth) AS tp,
+  count(*) FILTER (score >= threshold AND NOT truth) AS fp, count(*) FILTER (score < threshold AND truth) AS fn
+  FROM scores JOIN parts USING (vec_id), (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) g(threshold) GROUP BY ALL)
+SELECT split, threshold, max(n) AS n_eval,
+  round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 9) AS macro_f1,
+  round(coalesce(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 0), 9) AS micro_f1
+FROM c GROUP BY split, threshold""",
+)
+def rethreshold_splits(spark, d):
+    """Both splits with their row counts, at several thresholds, from scores written once."""
+    side = views.label_side(spark, d)
+    ensure_checkpoint_dir(spark)
+    scored = views.scored(spark, d, side).filter(F.size("labels") > 0)
+    marked = mark_hash_split(scored.select("vec_id", "scores", "truth"), "vec_id", test_size(0.3), views.SEED)
+    split = F.when(F.col("is_test"), "test").otherwise("train").alias("split")
+    snapshot = marked.select(split, "scores", "truth").checkpoint()
+    return rounded(learning.split_scores(snapshot, side, [0.05, 0.1, 0.2]))
+
+
 @query("swarm_search")
 def swarm_search(spark, d):
     """All evaluations of a small swarm over C and the number of negatives."""

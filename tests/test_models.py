@@ -500,3 +500,18 @@ def test_queries_use_whole_settings(spark, monkeypatch, name, module, fit, least
     with pytest.raises(StopIteration):
         getattr(model_queries, name)(spark, "/root/testdata/sf0.001")
     assert {k: used[k] for k in least} == least
+
+
+def test_split_snapshot_scores(spark, rows, side):
+    """Both splits, also one whose rows lack a vector, against the metrics of one table."""
+    model = learning.CosineModel(side, threshold=0.3)
+    bare = rows.limit(7).withColumn("vector", F.lit(None).cast(dict(rows.dtypes)["vector"]))
+    snapshot = learning.split_snapshot(model, {"all": rows, "bare": bare}, ["row_id"]).persist()
+    got = {(r["split"], r["threshold"]): r for r in learning.split_scores(snapshot, side, [0.1, 0.5]).collect()}
+    assert len(got) == 4
+    for t in (0.1, 0.5):
+        one = learning.evaluate(model, rows, t)
+        assert got["all", t]["n_eval"] == rows.count() and got["bare", t]["n_eval"] == 7
+        assert abs(got["all", t]["macro_f1"] - one["macro_f1"]) < 1e-12
+        assert abs(got["all", t]["micro_f1"] - one["micro_f1"]) < 1e-12
+        assert got["bare", t]["micro_f1"] == 0
