@@ -145,9 +145,11 @@ def generate(
     seed: int = 42,
     avoid: DataFrame | None = None,
     tries_per_text: int = 50,
+    fewer: bool = False,
 ) -> DataFrame:
     """Exactly n unique texts that do not occur in ``avoid``; fails when too few exist.
 
+    With ``fewer`` all texts found are returned where the tries give less than n.
     ``slots`` are lists of values or a ``slot_table``.
     """
     tries = spark.range(n * tries_per_text).withColumnRenamed("id", "try_id")
@@ -158,6 +160,6 @@ def generate(
     ensure_checkpoint_dir(spark)
     found = found.checkpoint()
     have = found.count()
-    if have < n:
+    if have < n and not fewer:
         raise RuntimeError(f"only {have} unique texts after {n * tries_per_text} tries")
     return found.filter(hash_cut(found, "try_id", n, seed))

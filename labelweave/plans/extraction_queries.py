@@ -324,7 +324,11 @@ fresh AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', try_id)
 SELECT text, try_id, label_key FROM fresh, goal WHERE rn <= n""",
 )
 def generate_new_texts(spark, d):
-    """A text for every tenth customer, none of them among those of ``generate_texts``."""
+    """A text for every tenth customer, none of them among those of ``generate_texts``.
+
+    Templates and slots make a fixed number of texts, so many customers leave fewer new ones
+    than that, or none; then all of them are returned, as the SQL does.
+    """
     n = views.table(spark, d, "customer").count() // 10
     known = generate_texts(spark, d)
-    return generation.generate(spark, n, TEMPLATES, _slots(spark, d), views.SEED, avoid=known)
+    return generation.generate(spark, n, TEMPLATES, _slots(spark, d), views.SEED, avoid=known, fewer=True)

@@ -270,6 +270,18 @@ def test_generated_texts(spark):
         generation.fill_slots("{none}", slots, 1, "id", "b")
 
 
+def test_fewer_generated_texts(spark):
+    """All texts there are, or none, where that may be fewer than asked for."""
+    templates = [("s::neg", "{thing} broke."), ("s::pos", "{thing} is fine.")]
+    slots = {"thing": ["box", "cable", "lamp"]}
+    some = generation.generate(spark, 20, templates, slots, fewer=True)
+    assert len({r["text"] for r in some.collect()}) == some.count() == 6
+    rest = generation.generate(spark, 20, templates, slots, avoid=some.filter("try_id % 2 = 0"), fewer=True)
+    assert {r["try_id"] for r in rest.collect()} == {r["try_id"] for r in some.collect() if r["try_id"] % 2}
+    assert generation.generate(spark, 20, templates, slots, avoid=some, fewer=True).count() == 0
+    with pytest.raises(RuntimeError):
+        generation.generate(spark, 20, templates, slots)
+
 
 def test_rank_within_keeps_rows_without_a_group(spark):
     df = spark.createDataFrame([(1, "g"), (2, None), (3, None)], "id bigint, g string")
