@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import U64, flat, mix, slices, word_names, words
-from .rounds import mapped, numbered
+from .rounds import mapped, numbered, release
 
 LABELLED = 12_288
 POOL = 12_288
@@ -48,6 +48,8 @@ PROVEN = 20
 #: Labelled documents are judged by fits without their part of so many.
 FOLDS = 5
 THRESHOLD = 0.5
+#: Rows that a fit holds at once in double precision.
+ROWS = 1024
 LANGS, SOURCES = 8, 32
 #: Cells of hashed words and of hashed stretches of three bytes.
 WORD_CELLS, GRAM_CELLS = 64, 64
@@ -130,17 +132,22 @@ class View:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> View:
-        mean, scale = x.mean(0), x.std(0)
+    def fit(cls, parts: list[np.ndarray], y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> View:
+        """Newton steps from sums over some rows of the parts at a time."""
+        mean = sum(b.sum(0) for b in _blocks(parts)) / len(y)
+        scale = np.sqrt(sum(((b - mean) ** 2).sum(0) for b in _blocks(parts)) / len(y))
         scale[scale < 1e-9] = 1
-        z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
-        w = np.zeros(z.shape[1])
+        w = np.zeros(len(mean) + 1)
         penalty = np.full(len(w), ridge)
         penalty[0] = 1e-6
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            slope = z.T @ (p - y) + penalty * w
-            curve = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(penalty)
+            slope, curve, at = penalty * w, np.diag(penalty), 0
+            for b in _blocks(parts):
+                z = np.column_stack([np.ones(len(b)), (b - mean) / scale])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                slope += z.T @ (p - y[at : at + len(b)])
+                curve += (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
+                at += len(b)
             step = np.linalg.solve(curve, slope)
             w -= step
             if np.abs(step).max() < 1e-6:
@@ -148,7 +155,15 @@ class View:
         return cls(mean, scale, w)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(((x - self.mean) / self.scale) @ self.weights[1:] + self.weights[0], -30, 30)
+        out = [((b - self.mean) / self.scale) @ self.weights[1:] + self.weights[0] for b in _blocks([x])]
+        return np.clip(np.concatenate([np.empty(0), *out]), -30, 30)
+
+
+def _blocks(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """Some rows at a time, in double precision."""
+    for x in parts:
+        for a in range(0, len(x), ROWS):
+            yield x[a : a + ROWS].astype(float)
 
 
 def _probability(logits: np.ndarray) -> np.ndarray:
@@ -177,7 +192,7 @@ def co_train(
     open_ = np.ones(len(pool[0]), bool)
     share = y.mean()
     for _ in range(rounds):
-        views = [View.fit(np.concatenate(x), np.concatenate(l)) for x, l in zip(own, labels)]
+        views = [View.fit(x, np.concatenate(l)) for x, l in zip(own, labels)]
         named = []
         for view, x, seen, l in zip(views, pool, own, labels):
             p, judged = _probability(view.logits(x)), _probability(_judged(seen, l))
@@ -193,9 +208,9 @@ def co_train(
         if not len(taken):
             break
         open_[taken] = False
-    views = [View.fit(np.concatenate(x), np.concatenate(l)) for x, l in zip(own, labels)]
+    views = [View.fit(x, np.concatenate(l)) for x, l in zip(own, labels)]
     logits = np.column_stack([_judged(x, l) for x, l in zip(own, labels)])
-    return CoTrained(*views, View.fit(logits, y, ridge=1.0))
+    return CoTrained(*views, View.fit([logits], y, ridge=1.0))
 
 
 def _judged(own: list[np.ndarray], labels: list[np.ndarray]) -> np.ndarray:
@@ -206,7 +221,7 @@ def _judged(own: list[np.ndarray], labels: list[np.ndarray]) -> np.ndarray:
         held = np.arange(len(y)) % FOLDS == fold
         rest = np.concatenate([y[~held], *labels[1:]])
         if held.any() and len(np.unique(rest)) == 2:
-            out[held] = View.fit(np.concatenate([x[~held], *own[1:]]), rest).logits(x[held])
+            out[held] = View.fit([x[~held], *own[1:]], rest).logits(x[held])
     return out
 
 
@@ -250,17 +265,22 @@ def fit(
             )
 
     measured = mapped(sample, measure, "doc_id long, y int, x binary")
-    rows = measured.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas()
-    rows = rows.sort_values(["y", "doc_id", "x"], ignore_index=True)
-    # labelled rows in an order that has nothing to do with their id
-    order = np.argsort([zlib.crc32(str(i).encode()) for i in rows["doc_id"]], kind="stable")
-    rows = rows.iloc[order]
-    y = rows["y"].to_numpy(int)
-    if not {0, 1} <= set(y):
+    # the features stay in the buffers they come in; a fit reads some rows of them at a time
+    rows = measured.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow().combine_chunks()
+    y, ids = rows["y"].to_numpy(), rows["doc_id"].to_numpy()
+    if not {0, 1} <= set(y.tolist()):
         return None
-    x = np.stack([np.frombuffer(r, np.float32) for r in rows["x"]]).astype(float)
-    cut, some = TEXT_WIDTH, y >= 0
-    return co_train(x[some, :cut], x[some, cut:], y[some], (x[~some, :cut], x[~some, cut:]))
+    # labelled rows in an order that has nothing to do with their id
+    order = np.lexsort((ids, y))
+    order = order[np.argsort([zlib.crc32(str(i).encode()) for i in ids[order].tolist()], kind="stable")]
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(len(y), -1)
+    del rows
+    known, other = order[y[order] >= 0], order[y[order] < 0]
+    page = x[:, TEXT_WIDTH:]
+    model = co_train(x[known, :TEXT_WIDTH], page[known], y[known], (x[other, :TEXT_WIDTH], page[other]))
+    del x, page
+    release()
+    return model
 
 
 def scored(docs: DataFrame, model: CoTrained | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fingerprints, segmentations, token files, mixing and the classifier."""
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -264,6 +265,23 @@ def test_classifier_on_held_out_labels(spark):
     assert out[out.quality == 1].keep.mean() > 0.98
 
 
+def test_a_view_holds_few_rows_at_once():
+    rng = np.random.default_rng(3)
+    y = np.arange(20_000) % 2
+    x = (rng.standard_normal((len(y), 64)) + y[:, None] * 0.2).astype(np.float32)
+    tracemalloc.start()
+    view = cotraining.View.fit([x[:7000], x[7000:]], y)
+    said = view.logits(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes, "a copy in double precision takes twice as much"
+    # at the optimum the slope of the penalised loss is zero
+    z = np.column_stack([np.ones(len(x)), (x - x.mean(0, dtype=float)) / x.std(0, dtype=float)])
+    assert np.allclose(z @ view.weights, said)
+    slope = z.T @ (1 / (1 + np.exp(-said)) - y) + np.r_[1e-6, np.ones(64)] * view.weights
+    assert np.abs(slope).max() < 1e-3
+
+
 def test_classifier_without_two_classes(spark, docs):
     labels = spark.createDataFrame([(3, 1), (6, 1), (9, None)], "doc_id long, quality int")
     out = cotraining.quality_scores(docs, labels)
