@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import pair_features, score_against, sigmoid
+from ..session import ensure_checkpoint_dir
 from . import metrics, pair_fit, pairs, shared_fit
 from .frames import stacked
 from .ranking import contiguous_folds
@@ -29,6 +30,10 @@ from .scoring import LabelSide, long_scores, similarity_rows, truth_array
 from .tree_scores import FlatTrees, loss_by_round, tree_scores
 
 
+#: Rows that a boosting task has at least, if there are enough, and feature values at most.
+LEAST_ROWS, MOST_VALUES = 4096, 1 << 24
+
+
 def with_vector(df: DataFrame, array: str, out: str = "features") -> DataFrame:
     """Spark ML vector next to an array column."""
     return df.withColumn(out, array_to_vector(F.col(array).cast("array<double>")))
@@ -262,6 +267,19 @@ def centred_pca(train: DataFrame, k: int, out: str = "projected", features: str
     return PipelineModel([centred, pca])
 
 
+def dealt_for_rounds(rows: DataFrame, width: int) -> DataFrame:
+    """Rows dealt evenly to one partition a core, or to more where these would be large, and written.
+
+    A pass of boosting is short, so what it takes is the start of its tasks. These are as
+    many as the partitions, and each brings the lineage along, which the checkpoint cuts.
+    """
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    n, cores = rows.count(), spark.sparkContext.defaultParallelism
+    few = max(1, min(cores, n // LEAST_ROWS))
+    return rows.repartition(max(few, math.ceil(n * width / MOST_VALUES))).checkpoint()
+
+
 def boosting_rounds(epochs: int, trees_per_epoch: int) -> int:
     """Boosting rounds of so many epochs, of which there is at least one."""
     return max(epochs, 1) * trees_per_epoch
@@ -317,12 +335,12 @@ def fit_boosted_pairs(
                 held.select("label", features).withColumn("_held", F.lit(True))
             )
             boosted = boosted.setValidationIndicatorCol("_held")
-        model = boosted.fit(rows)
-        stages.append(model)
-        fitted = PipelineModel(stages)
+        used = ["label", features, *(["_held"] if early_stopping else [])]
+        width = len(rows.select(features).first()[0])
+        dealt = dealt_for_rounds(rows.select(*used), width)
     finally:
         train.unpersist()
-    return BoostedPairModel(side, mode, fitted)
+    return BoostedPairModel(side, mode, PipelineModel([*stages, boosted.fit(dealt)]))
 
 
 def fitted_or_zero_shot(model, side: LabelSide, threshold: float = 0.5):

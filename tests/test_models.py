@@ -125,6 +125,25 @@ def test_boosted_pairs(spark, tmp_path, rows, side):
     assert all(np.allclose(near[i], back[i]) for i in near)
 
 
+def test_boosting_rows_are_dealt_to_few_partitions(spark, rows, side, monkeypatch):
+    """Rounds on pairs in many partitions run on few, without their lineage, and give the same trees."""
+    train = learning.training_pairs(rows, side, "row_id", n_neg=2).repartition(40).cache()
+    whole = learning.GBTClassifier(labelCol="label", maxIter=3, maxDepth=3, stepSize=0.1, seed=42).fit(train)
+    own, seen = learning.GBTClassifier.fit, []
+    monkeypatch.setattr(learning.GBTClassifier, "fit", lambda self, df: seen.append(df) or own(self, df))
+    model = learning.fit_boosted_pairs(train, side, rounds=3, max_depth=3)
+    assert seen[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert seen[0].count() == train.count()
+    got, want = learning.FlatTrees.of(model.fitted), learning.FlatTrees.of(learning.PipelineModel([whole]))
+    assert (got.feature == want.feature).all() and (got.children == want.children).all()
+    assert np.allclose(got.threshold, want.threshold) and np.allclose(got.value, want.value)
+    # more partitions than cores where these would be large
+    monkeypatch.setattr(learning, "MOST_VALUES", train.count() * 4 * D // 9)
+    assert learning.dealt_for_rounds(train.select("label", "features"), 4 * D).rdd.getNumPartitions() in (9, 10)
+
+
 def test_boosted_scores_of_many_labels_and_null_vectors(spark, rows):
     rng = np.random.default_rng(9)
     keys = tuple(f"c::{i}" for i in range(40))
