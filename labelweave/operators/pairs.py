@@ -153,9 +153,10 @@ def all_pairs(
 
 
 def with_label_vectors(pairs: DataFrame, side: LabelSide) -> DataFrame:
-    """Attach ``vector_label`` by key; Spark broadcasts the label side where it is small."""
+    """Attach ``vector_label`` by key. The labels are broadcast: Spark cannot tell their size, and
+    else moves the pairs to them, all of a label to one task."""
     vectors = side.frame(pairs.sparkSession).select("label_key", "vector_label")
-    return pairs.join(vectors, "label_key")
+    return pairs.join(F.broadcast(vectors), "label_key")
 
 
 def featured_pairs(

@@ -144,6 +144,20 @@ def test_boosting_rows_are_dealt_to_few_partitions(spark, rows, side, monkeypatc
     assert learning.dealt_for_rounds(train.select("label", "features"), 4 * D).rdd.getNumPartitions() in (9, 10)
 
 
+def test_training_pairs_stay_where_their_text_is(spark, rows, side):
+    """Neither a shuffle by the few labels nor a broadcast of the pairs, whatever Spark knows of sizes."""
+    for limit in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            made = learning.training_pairs(rows, side, "row_id")
+            plan = made._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        assert "BroadcastHashJoin [label_key" in plan and "BuildRight" in plan and "BuildLeft" not in plan
+    assert made.count() == made.select("row_id", "label_key").distinct().count() > 120
+
+
 def test_boosted_scores_of_many_labels_and_null_vectors(spark, rows):
     rng = np.random.default_rng(9)
     keys = tuple(f"c::{i}" for i in range(40))
